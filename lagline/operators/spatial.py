@@ -66,7 +66,9 @@ def day_stops(visits: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     return placed.join(reports.select(*PLACE).distinct(), PLACE, "left_semi")
 
 
-def nearest_stop(reports: DataFrame, stops: DataFrame, max_metres: float = STOP_MAX_METRES) -> DataFrame:
+def nearest_stop(
+    reports: DataFrame, stops: DataFrame, max_metres: float = STOP_MAX_METRES, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Nearest stop of the report's own route, destination and day; the stop id breaks ties.
 
     Every stop within reach lies in one of at most nine cells around a report, so an
@@ -74,7 +76,11 @@ def nearest_stop(reports: DataFrame, stops: DataFrame, max_metres: float = STOP_
     points, and the minimum combines before its shuffle, so neither a popular report
     place nor a popular stop place multiplies rows.
     """
-    places = reports.select(*PLACE, F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat")).distinct()
+    point = [*PLACE, "r_lon", "r_lat"]
+    places = (
+        reports.select(*PLACE, F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+        .groupBy(*point).agg(F.count(F.lit(1)).alias("here"))
+    )
     sites = (
         stops.groupBy(*PLACE, "lon", "lat").agg(F.min("stop").alias("stop"))
         .withColumn("cell", cell_of(F.col("lon"), F.col("lat"), max_metres))
@@ -84,14 +90,14 @@ def nearest_stop(reports: DataFrame, stops: DataFrame, max_metres: float = STOP_
         .join(sites, [*PLACE, "cell"])
         .withColumn("metres", metres_between(F.col("r_lon"), F.col("r_lat"), F.col("lon"), F.col("lat")))
         .where(F.col("metres") <= max_metres)
-        .groupBy(*PLACE, "r_lon", "r_lat")
+        .groupBy(*point, "here")
         .agg(F.min(F.struct("metres", "stop")).alias("_near"))
         .select(
-            *PLACE, F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"),
+            *PLACE, F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"), "here",
             F.col("_near.stop").alias("stop"), F.col("_near.metres").alias("metres"),
         )
     )
-    return reports.join(near, [*PLACE, "lon", "lat"], "left")
+    return attach_by_key(reports, near, [*PLACE, "lon", "lat"], "here", hot_rows)
 
 
 def matched_reports(
