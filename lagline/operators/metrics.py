@@ -96,16 +96,16 @@ def method_scores(
     """Metrics by split, population and method on identical rows."""
     rows = predicted.where(F.col("split").isin(splits))
     keep = ["split", "baseline_eligible", actual]
-    long = long_predictions(rows, keep, methods)
     keys = ["split", "population", "method"]
     if continuous:
+        long = long_predictions(rows, keep, methods)
         return error_metrics(with_population(long), keys, actual, "prediction", continuous=True)
-    # Equal errors first, populations second: the copies are of counts, not of rows.
-    error = (finite(F.col("prediction")) - finite(F.col(actual))).alias("_e")
-    counted = long.select("split", "baseline_eligible", "method", error).groupBy(
-        "split", "baseline_eligible", "method", "_e"
-    ).agg(F.count(F.lit(1)).alias("_w"))
-    return weighted_metrics(with_population(counted), keys)
+    # Equal outcomes and predictions collapse first; methods and populations then copy
+    # counts, not rows.
+    counted = rows.groupBy(*keep, *methods.values()).agg(F.count(F.lit(1)).alias("_w"))
+    long = long_predictions(counted, [*keep, "_w"], methods)
+    error = finite(F.col("prediction")) - finite(F.col(actual))
+    return weighted_metrics(with_population(long.withColumn("_e", error)), keys)
 
 
 def scores_by(
@@ -116,17 +116,16 @@ def scores_by(
 
     Output: dimension, member, method and the metrics; a null member stays a member.
     """
-    long = long_predictions(
-        predicted.select(actual, *methods.values(), *[c.alias(f"_by_{n}") for n, c in by.items()]),
-        [actual, *[f"_by_{n}" for n in by]], methods,
-    )
+    named = predicted.select(actual, *methods.values(), *[c.alias(f"_by_{n}") for n, c in by.items()])
+    dims = [f"_by_{n}" for n in by]
+    keys = ["dimension", "member", "method"]
     if continuous:
-        tagged = _tag_members(long, by)
-        return error_metrics(tagged, ["dimension", "member", "method"], actual, "prediction", continuous=True)
-    error = (finite(F.col("prediction")) - finite(F.col(actual))).alias("_e")
-    keys = [f"_by_{n}" for n in by]
-    counted = long.select(*keys, "method", error).groupBy(*keys, "method", "_e").agg(F.count(F.lit(1)).alias("_w"))
-    return weighted_metrics(_tag_members(counted, by), ["dimension", "member", "method"])
+        tagged = _tag_members(long_predictions(named, [actual, *dims], methods), by)
+        return error_metrics(tagged, keys, actual, "prediction", continuous=True)
+    counted = named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("_w"))
+    long = long_predictions(counted, [actual, *dims, "_w"], methods)
+    error = finite(F.col("prediction")) - finite(F.col(actual))
+    return weighted_metrics(_tag_members(long.withColumn("_e", error), by), keys)
 
 
 def _tag_members(rows: DataFrame, by: dict[str, Column]) -> DataFrame:
