@@ -52,9 +52,7 @@ def link_outcomes(
 ) -> DataFrame:
     """Event ledger: status of every live event and its outcome where exactly one fits."""
     events = live_events(observations, unicode_aware)
-    shared = events.where(F.col("match_instant").isNotNull()).groupBy(*MATCH).agg(
-        F.count(F.lit(1)).alias("live_events")
-    )
+    shared = events.groupBy(*MATCH).agg(F.count(F.lit(1)).alias("live_events"))
     facts = (
         shared.join(outcome_keys(outcomes, unicode_aware), MATCH, "left")
         .withColumn("_weight", F.col("live_events"))

@@ -35,8 +35,8 @@ def screen_reports(
         .withColumn("_in_scope", (F.col("type") == wanted_type) & F.coalesce("_covered", F.lit(False)))
     )
     repeats = (
-        scoped.where("_in_scope").groupBy("rid")
-        .agg(F.count(F.lit(1)).alias("_copies"), F.min("record_no").alias("_first"))
+        scoped.groupBy("rid")
+        .agg(F.count(F.lit(1)).alias("_copies"), F.min(F.when(F.col("_in_scope"), F.col("record_no"))).alias("_first"))
         .where("_copies > 1")
     )
     reason = (
@@ -90,14 +90,15 @@ def nearest_stop(
         .join(sites, [*PLACE, "cell"])
         .withColumn("metres", metres_between(F.col("r_lon"), F.col("r_lat"), F.col("lon"), F.col("lat")))
         .where(F.col("metres") <= max_metres)
-        .groupBy(*point, "here")
+        .groupBy(*point)
         .agg(F.min(F.struct("metres", "stop")).alias("_near"))
-        .select(
-            *PLACE, F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"), "here",
-            F.col("_near.stop").alias("stop"), F.col("_near.metres").alias("metres"),
-        )
     )
-    return attach_by_key(reports, near, [*PLACE, "lon", "lat"], "here", hot_rows)
+    # Every place keeps its row count, also those out of reach: a popular one is hot either way.
+    facts = places.join(near, point, "left").select(
+        *PLACE, F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"), "here",
+        F.col("_near.stop").alias("stop"), F.col("_near.metres").alias("metres"),
+    )
+    return attach_by_key(reports, facts, [*PLACE, "lon", "lat"], "here", hot_rows)
 
 
 def matched_reports(
