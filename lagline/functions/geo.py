@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 EARTH_DIAMETER = 12742000.0
 METRES_PER_DEGREE = 111194.9  # rounded down, so a cell is never smaller than asked for
@@ -61,14 +61,19 @@ def cell_of(lon: Column, lat: Column, metres: float) -> Column:
     return F.struct(band.alias("band"), column_of(lon, cells_in_band(band, metres)).alias("col"))
 
 
-def neighbour_cells(lon: Column, lat: Column, metres: float) -> Column:
-    """Every cell that can hold a point within `metres`: at most nine."""
-    cells = []
-    for step in (-1, 0, 1):
-        band = band_of(lat, metres) + step
-        count = cells_in_band(band, metres)
-        middle = column_of(lon, count)
-        cells += [
-            F.struct(band.alias("band"), F.pmod(middle + side, count).alias("col")) for side in (-1, 0, 1)
-        ]
-    return F.array_distinct(F.array(*cells))
+def explode_neighbour_cells(points: DataFrame, lon: str, lat: str, metres: float) -> DataFrame:
+    """Repeat each point for every cell that can hold another within `metres`: at most nine.
+
+    Bands are exploded before columns, so each band's width is worked out once.
+    """
+    own = band_of(F.col(lat), metres)
+    bands = points.withColumn("_band", F.explode(F.array(own - 1, own, own + 1))).withColumn(
+        "_count", cells_in_band(F.col("_band"), metres)
+    )
+    middle = column_of(F.col(lon), F.col("_count"))
+    sides = F.array_distinct(F.array(*[F.pmod(middle + side, F.col("_count")) for side in (-1, 0, 1)]))
+    return (
+        bands.withColumn("_col", F.explode(sides))
+        .withColumn("cell", F.struct(F.col("_band").alias("band"), F.col("_col").alias("col")))
+        .drop("_band", "_count", "_col")
+    )

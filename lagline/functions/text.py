@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Fixed value: digits with an optional sign, either plain or grouped in thousands.
 GROUPED_INTEGER = r"^[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)$"
@@ -36,7 +36,7 @@ def destination_name(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"^to\s+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(values: pd.Series) -> pd.Series:
     return values.map(
         lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split())

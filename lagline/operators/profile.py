@@ -151,15 +151,17 @@ def hour_profile(rows: DataFrame, minimum_count: int = 20, value: str = "delay_s
     return spine.join(kept, ["day_type", "hour"], "left")
 
 
-def delay_histogram(rows: DataFrame, value: str = "delay_seconds", low: float = -10, high: float = 30, bins: int = 100) -> DataFrame:
-    """Counts per equal bin of delay minutes; bin 0 holds what lies outside. The last
-    bin includes its upper edge."""
-    minutes = F.col(value) / F.lit(60.0)
-    inside = minutes.between(low, high)
-    number = F.least(F.width_bucket(minutes, F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins))
+def delay_histogram(
+    rows: DataFrame, value: str = "delay_seconds", low_minutes: int = -10, high_minutes: int = 30, bins: int = 100
+) -> DataFrame:
+    """Counts per equal bin of the delay range; bin 0 holds what lies outside. Whole
+    seconds decide the bin, and the last bin includes its upper edge."""
+    low, high = low_minutes * 60, high_minutes * 60
+    seconds = F.col(value)
+    number = F.least(F.floor((seconds - low) * bins / F.lit(high - low)) + 1, F.lit(bins))
     return (
-        rows.where(F.col(value).isNotNull())
-        .select(F.when(inside, number).otherwise(0).cast("int").alias("bin"))
+        rows.where(seconds.isNotNull())
+        .select(F.when(seconds.between(low, high), number).otherwise(0).cast("int").alias("bin"))
         .groupBy("bin").agg(F.count(F.lit(1)).alias("rows"))
     )
 
@@ -229,13 +231,17 @@ def report_summary(reports: DataFrame, first_day: str, last_day: str) -> DataFra
         .agg(F.sum("_n").alias("_n"))
     )
     spark = reports.sparkSession
-    months = f"transform(sequence(trunc(date'{first_day}', 'MM'), trunc(date'{last_day}', 'MM'), interval 1 month), d -> date_format(d, 'yyyy-MM'))"
-    spine = spark.sql(
-        "select part, explode(members) as member from values "
-        f"('month', {months}), "
-        "('hour', transform(sequence(0, 23), h -> format_string('%02d', h))), "
-        "('weekday', transform(sequence(0, 6), d -> cast(d as string))), "
-        "('missing_location', array('all')), ('records', array('all')) as t(part, members)"
+    first, last = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
+    month_steps = F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))
+    expected = {
+        "month": F.transform(month_steps, lambda d: F.date_format(d, "yyyy-MM")),
+        "hour": F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.format_string("%02d", h)),
+        "weekday": F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: d.cast("string")),
+        "missing_location": F.array(F.lit("all")), "records": F.array(F.lit("all")),
+    }
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), m.alias("members")) for n, m in expected.items()])
+    spine = spark.range(1).select(F.explode(parts).alias("_p")).select(
+        "_p.part", F.explode("_p.members").alias("member")
     )
     return (
         spine.join(counted, ["part", "member"], "full_outer")

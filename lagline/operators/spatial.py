@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lagline.functions.geo import cell_of, in_range, metres_between, neighbour_cells
+from lagline.functions.geo import cell_of, explode_neighbour_cells, in_range, metres_between
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.operators.clean import GROUP, with_group
 
@@ -86,7 +86,7 @@ def nearest_stop(
         .withColumn("cell", cell_of(F.col("lon"), F.col("lat"), max_metres))
     )
     near = (
-        places.withColumn("cell", F.explode(neighbour_cells(F.col("r_lon"), F.col("r_lat"), max_metres)))
+        explode_neighbour_cells(places, "r_lon", "r_lat", max_metres)
         .join(sites, [*PLACE, "cell"])
         .withColumn("metres", metres_between(F.col("r_lon"), F.col("r_lat"), F.col("lon"), F.col("lat")))
         .where(F.col("metres") <= max_metres)
