@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.operators.metrics import method_scores, scores_by
+from lagline.session import cut_lineage
 
 FINEST = ["stop_number", "destination", "day_type", "hour"]
 # The fallback order, finest first.
@@ -78,22 +79,39 @@ def predict_lookup(
     one join carries the answer back. Null keys match no level that contains them.
     """
     keys = levels[0]
-    resolved = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    for i, level in enumerate(levels):
-        table = model.where(F.col("level") == level_name(level)).select(
-            *level, F.col("median").alias(f"_m{i}")
+    tuples = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    asked = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("rank"), F.lit(level_name(level)).alias("level"),
+                *[(F.col(k) if k in level else F.lit(None).cast(tuples.schema[k].dataType)).alias(k) for k in keys],
+            )
+            for i, level in enumerate(levels)
+        ]
+    )
+    tables = model.where(F.col("level") != GLOBAL_LEVEL).select(
+        F.col("level").alias("_level"), *[F.col(k).alias(f"_m_{k}") for k in keys], "median"
+    )
+    fits = F.col("_ask.level") == F.col("_level")
+    for k in keys:
+        fits = fits & F.col(f"_ask.{k}").eqNullSafe(F.col(f"_m_{k}"))
+    # Keys a level leaves out are null on both sides; a null it needs is absent from
+    # the table, so it finds nothing.
+    found = (
+        tuples.withColumn("_ask", F.explode(asked)).join(tables, fits, "left")
+        .groupBy(*keys)
+        .agg(
+            F.first("_n").alias("_n"),
+            F.min(F.when(F.col("median").isNotNull(), F.struct("_ask.rank", "median", "_ask.level"))).alias("_best"),
+        )
+        .select(
+            *keys, "_n", F.col("_best.median").alias("_found"),
+            F.coalesce("_best.level", F.lit(GLOBAL_LEVEL)).alias("fallback_level"),
         )
-        resolved = resolved.join(table, level, "left")
-    global_median = model.where(F.col("level") == GLOBAL_LEVEL).select("median").scalar()
-    found = [F.col(f"_m{i}") for i in range(len(levels))]
-    name = F.lit(GLOBAL_LEVEL)
-    for i in reversed(range(len(levels))):
-        name = F.when(found[i].isNotNull(), F.lit(level_name(levels[i]))).otherwise(name)
-    resolved = resolved.select(
-        *keys, "_n", F.coalesce(*found).alias("_found"), name.alias("fallback_level")
     )
+    global_median = model.where(F.col("level") == GLOBAL_LEVEL).select("median").scalar()
     return (
-        attach_by_key(rows, resolved, keys, "_n", hot_rows)
+        attach_by_key(rows, found, keys, "_n", hot_rows)
         .withColumn("prediction_global", global_median)
         .withColumn("prediction_seconds", F.coalesce("_found", "prediction_global"))
         .withColumn("prediction_on_time", F.lit(0.0))
@@ -127,8 +145,11 @@ def check_chronology(prepared: DataFrame) -> None:
 
 
 def baseline_predictions(prepared: DataFrame, minimum_count: int = 20) -> DataFrame:
-    """Fit on eligible training rows, score validation and test rows."""
-    model = fit_lookup(training_rows(prepared), minimum_count)
+    """Fit on eligible training rows, score validation and test rows.
+
+    The fitted table is stored: every level of the fallback reads it.
+    """
+    model = cut_lineage(fit_lookup(training_rows(prepared), minimum_count))
     return predict_lookup(evaluation_rows(prepared), model).withColumn(
         "absolute_error_seconds", F.abs(F.col("prediction_seconds") - F.col("delay_seconds"))
     )

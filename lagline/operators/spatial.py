@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from lagline.functions.geo import cell_of, explode_neighbour_cells, in_range, metres_between
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.operators.clean import GROUP, with_group
+from lagline.session import cut_lineage
 
 FULL_BUS = "Full Bus Pass-Up"
 STOP_MAX_METRES = 150
@@ -31,7 +32,7 @@ def screen_reports(
     covered = covered_days.select(F.col("day").alias("day")).distinct().withColumn("_covered", F.lit(True))
     scoped = (
         reports.withColumn("day", day)
-        .join(covered, "day", "left")
+        .join(F.broadcast(covered), "day", "left")
         .withColumn("_in_scope", (F.col("type") == wanted_type) & F.coalesce("_covered", F.lit(False)))
     )
     repeats = (
@@ -104,8 +105,13 @@ def nearest_stop(
 def matched_reports(
     reports: DataFrame, visits: DataFrame, max_metres: float = STOP_MAX_METRES
 ) -> DataFrame:
-    """Kept reports with their nearest stop (null beyond reach) and report-time group."""
-    return with_group(nearest_stop(reports, day_stops(visits, reports), max_metres), "reported")
+    """Kept reports with their nearest stop (null beyond reach) and report-time group.
+
+    The kept reports are stored once: three steps read them, and screening them three
+    times costs more than writing the few columns left.
+    """
+    kept = cut_lineage(reports.select("rid", "route", "dest", "reported", "day", "lon", "lat"))
+    return with_group(nearest_stop(kept, day_stops(visits, kept), max_metres), "reported")
 
 
 def report_profiles(matched: DataFrame, keys: list[str] = GROUP, profiles: dict[str, int] = PROFILES) -> DataFrame:
