@@ -56,7 +56,7 @@ def parse_payload(envelopes: DataFrame) -> DataFrame:
     trip_block = F.array(F.struct(trip_root["route"].alias("route"), trip_root["scheduled-stops"].alias("scheduled-stops")))
     return (
         envelopes.withColumn("_body", F.from_json("payload_json", PAYLOAD))
-        .withColumn("trip_header", F.when(is_trip, trip_root.dropFields("scheduled-stops")))
+        .withColumn("trip_header", F.when(is_trip, trip_root.dropFields("`scheduled-stops`")))
         .withColumn("shared_stop", F.when(is_stop, stop_root["stop"]))
         .withColumn(
             "blocks",
@@ -135,7 +135,7 @@ def observation_rows(judged: DataFrame, requested_route: str, zone: str = LOCAL_
             F.posexplode("blocks").alias("_block", "_b"), _rows_before_block().alias("_starts"),
         )
         .withColumn("_before", F.col("_starts")[F.col("_block")])
-        .select("*", F.col("_b.route").alias("route"), F.posexplode("_b.scheduled-stops").alias("position", "event"))
+        .select("*", F.col("_b.route").alias("route"), F.posexplode(F.col("_b")["scheduled-stops"]).alias("position", "event"))
     )
     shared = F.coalesce(F.col("shared_stop"), F.to_json(F.struct(F.col("resource_id").alias("key"))))
     stop = F.coalesce(event["stop"], F.when(F.col("resource_type") == "stop", shared))
@@ -232,8 +232,8 @@ def trip_stop_rows(trip_snapshots: DataFrame) -> DataFrame:
             *trip_snapshots.columns, F.col("_trip.key").alias("payload_trip_key"),
             identity(F.col("_trip.bus")).alias("payload_bus_key"),
             identity(F.col("_trip.variant")).alias("payload_variant_key"),
-            F.col("_trip.schedule-type").alias("schedule_type"),
-            F.posexplode(F.col("_trip.scheduled-stops")).alias("position", "_event"),
+            F.col("_trip")["schedule-type"].alias("schedule_type"),
+            F.posexplode(F.col("_trip")["scheduled-stops"]).alias("position", "_event"),
         )
         .select(
             "*", event["key"].alias("event_key"), identity(event["stop"]).alias("stop_key"),

@@ -50,6 +50,11 @@ def wall_text(engine: str, column: str, spark_format: str, duck_format: str) ->
     return f"strftime({column}, '{duck_format}')"
 
 
+def iso_text(engine: str, column: str) -> str:
+    spaced = wall_text(engine, column, "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S")
+    return f"replace({spaced}, ' ', 'T')"
+
+
 def grouped_digits(engine: str, column: str) -> str:
     return f"format_number({column}, 0)" if engine == SPARK else "format('{{:,}}', " + column + ")"
 
@@ -172,7 +177,7 @@ def observations(engine: str) -> str:
         f"datediff({day}, date'2024-01-01')" if engine == SPARK else f"date_diff('day', date '2024-01-01', {day})"
     )
     due = plus(engine, day, f"(3 - {gap} % 3) * 86400")
-    iso = wall_text(engine, "scheduled", "yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S")
+    iso = iso_text(engine, "scheduled")
     instant = "cast({} AS timestamp)"
     return f"""
 SELECT cast(event_id AS string) AS snapshot_id, cast(0 AS integer) AS row_number,
@@ -194,3 +199,130 @@ def rounded(frame: DataFrame, places: int, *names: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return frame.withColumns({n: F.round(F.col(n).cast("double"), places) for n in names})
+
+
+def day_number(engine: str, column: str = "ts") -> str:
+    """Whole days since the first of January 2024."""
+    day = day_start(engine, column)
+    if engine == SPARK:
+        return f"cast(datediff({day}, date'2024-01-01') AS bigint)"
+    return f"date_diff('day', date '2024-01-01', {day})"
+
+
+def outcomes(engine: str) -> str:
+    """Every event as a measured departure of its user's three-day schedule, several of
+    them sharing one."""
+    due = plus(engine, day_start(engine), f"(3 - {day_number(engine)} % 3) * 86400")
+    iso = iso_text(engine, "scheduled")
+    return f"""
+SELECT cast(event_id AS string) AS row_id, 'BLUE' AS route_number,
+       CASE WHEN event_id % 59 = 0 THEN NULL ELSE cast(user_id AS string) END AS stop_number,
+       concat('  ', upper(event_type), ' Plaza ') AS route_destination,
+       concat({iso}, 'Z') AS scheduled_time, cast(-{DELAY} AS string) AS deviation
+FROM (SELECT *, {due} AS scheduled FROM {{events}}) t"""
+
+
+def linked_observations(engine: str) -> str:
+    """Every event as an observation whose stop is its user, for linkage to `outcomes`."""
+    due = plus(engine, day_start(engine), f"(3 - {day_number(engine)} % 3) * 86400")
+    iso = iso_text(engine, "scheduled")
+    return f"""
+SELECT cast(event_id AS string) AS snapshot_id,
+       concat('trip', cast(user_id AS string), '-', cast(event_id % 2 AS string)) AS trip_key,
+       event_type AS scheduled_stop_key, concat({iso}, '+00:00') AS scheduled_departure_raw,
+       cast(ts AS timestamp) AS received_at_utc, 'BLUE' AS route_number,
+       CASE WHEN event_id % 61 = 0 THEN NULL ELSE cast(user_id AS string) END AS stop_number,
+       concat(event_type, '  plaza') AS variant_name
+FROM (SELECT *, {due} AS scheduled FROM {{events}}) t"""
+
+
+def trip_snapshots(engine: str) -> str:
+    """Every event as a trip response of its user."""
+    return f"""
+SELECT cast(event_id AS string) AS snapshot_id, concat('trip', cast(user_id AS string)) AS trip_key,
+       cast({second(engine)} AS timestamp) AS received_at_utc,
+       cast(CASE WHEN event_id % 43 = 0 THEN 500 ELSE 200 END AS integer) AS http_status,
+       CASE WHEN event_id % 47 = 0 THEN 'timeout' END AS error_kind,
+       CASE WHEN event_id % 53 = 0 THEN 'other' ELSE concat('trip', cast(user_id AS string)) END AS payload_trip_key,
+       CASE WHEN event_id % 11 = 0 THEN 'spare' ELSE concat('bus', cast(user_id AS string)) END AS payload_bus_key
+FROM {{events}}"""
+
+
+def trip_stops(engine: str) -> str:
+    """Every event as one stop of a trip response: a user's events inside a 16-hour block,
+    in time order. The block's last event is the dated target."""
+    epoch = (
+        f"unix_seconds(cast({second(engine)} AS timestamp))" if engine == SPARK else f"epoch({second(engine)})::bigint"
+    )
+    local = second(engine)
+    clock = lambda c: wall_text(engine, c, "HH:mm:ss", "%H:%M:%S")
+    moved = plus(engine, local, f"CASE WHEN event_id % 29 = 0 THEN -1200 ELSE 0 END")
+    late = plus(engine, local, DELAY)
+    return f"""
+SELECT concat(cast(user_id AS string), '-', cast(block AS string)) AS snapshot_id, event_id,
+       row_number() OVER (PARTITION BY user_id, block ORDER BY due_at, event_id) - 1 AS position,
+       CASE WHEN event_id % 3 = 0 THEN 'shared' ELSE cast(event_id AS string) END AS event_key,
+       {clock("moved")} AS scheduled_clock, {clock("late")} AS estimated_clock, event_id % 23 = 0 AS cancelled, due_at
+FROM (SELECT *, {local} AS due_at, {moved} AS moved, {late} AS late,
+             {epoch} // 57600 AS block FROM {{events}}) t""".replace(
+        f"{epoch} // 57600", f"({epoch} div 57600)" if engine == SPARK else f"({epoch} // 57600)"
+    )
+
+
+def requests(engine: str) -> str:
+    """Every event as a first-attempt request for its user's stop."""
+    return f"""
+SELECT cast(user_id AS string) AS stop, cast({second(engine)} AS timestamp) AS requested_at FROM {{events}}"""
+
+
+def captures(engine: str) -> str:
+    """Every event as a stored response with status, origin and polling cycle."""
+    return f"""
+SELECT cast(event_id AS string) AS snapshot_id,
+       concat('cycle', cast({day_number(engine)} AS string)) AS cycle_id,
+       CASE WHEN event_id % 19 = 0 THEN 'synthetic_fixture' ELSE 'live' END AS origin,
+       CASE WHEN event_id % 4 = 0 THEN 'trip' ELSE 'stop' END AS resource_type,
+       cast(event_id % 3 AS integer) AS attempt_number,
+       cast(CASE WHEN event_id % 43 = 0 THEN 500 ELSE 200 END AS integer) AS http_status,
+       CASE WHEN event_id % 43 = 0 THEN 'http_error' WHEN event_id % 47 = 0 THEN 'schema_error' END AS error_kind,
+       cast(ts AS timestamp) AS received_at_utc, cast(event_id % 5 AS integer) AS observation_count
+FROM {{events}}"""
+
+
+def envelopes(engine: str) -> str:
+    """Every event as a stop or trip response envelope with its JSON payload text."""
+    iso = iso_text(engine, second(engine))
+    clock = wall_text(engine, second(engine), "HH:mm:ss", "%H:%M:%S")
+    late = iso_text(engine, plus(engine, second(engine), DELAY))
+    c = lambda v: f"cast({v} AS string)"
+    stop_event = (
+        f"""'{{{{"key":"e', {c("event_id")}, '","trip-key":', {c("user_id")}, ',"bus":{{{{"key":', {c("event_id % 9")}, '}}}},"""
+        f""""variant":{{{{"key":"v","name":"', event_type, '"}}}},"cancelled":"', CASE WHEN event_id % 41 = 0 THEN 'true' ELSE 'false' END, '","""
+        f""""times":{{{{"departure":{{{{"scheduled":"', {iso}, '","estimated":"', {late}, '"}}}}}}}}}}}}'"""
+    )
+    trip_event = (
+        f"""'{{{{"key":"t', {c("event_id")}, '","stop":{{{{"key":7,"number":"n7"}}}},"cancelled":false,"times":{{{{"departure":{{{{"scheduled":"', {clock}, '"}}}}}}}}}}}}'"""
+    )
+    return f"""
+SELECT cast(event_id AS string) AS snapshot_id,
+       CASE WHEN event_id % 4 = 0 THEN 'trip' ELSE 'stop' END AS resource_type,
+       cast(user_id AS string) AS resource_id, cast({second(engine)} AS timestamp) AS received_at_utc,
+       cast(CASE WHEN event_id % 43 = 0 THEN 500 ELSE 200 END AS integer) AS http_status,
+       cast(NULL AS string) AS error_kind,
+       CASE WHEN event_id % 31 = 0 THEN '{{{{"unexpected":"data"}}}}'
+            WHEN event_id % 4 = 0 THEN concat('{{{{"trip":{{{{"key":"T', {c("user_id")}, '","schedule-type":"Weekday","scheduled-stops":[', {trip_event}, ',', {trip_event}, ']}}}}}}}}')
+            ELSE concat('{{{{"stop-schedule":{{{{"stop":{{{{"key":"s', {c("user_id")}, '","number":', {c("user_id")}, '}}}},"route-schedules":[',
+                        '{{{{"route":{{{{"key":"OTHER"}}}},"scheduled-stops":[]}}}},{{{{"route":{{{{"key":"BLUE","number":"BLUE"}}}},"scheduled-stops":[', {stop_event}, ']}}}}]}}}}}}}}')
+       END AS payload_json
+FROM {{events}}"""
+
+
+def local_times(engine: str) -> str:
+    """Every event's time moved over one calendar year, as local, dated and broken text."""
+    moved = plus(engine, second(engine), "(event_id % 366) * 86400")
+    iso = iso_text(engine, moved)
+    clock = wall_text(engine, moved, "HH:mm:ss", "%H:%M:%S")
+    return f"""
+SELECT event_id, CASE WHEN event_id % 17 = 0 THEN concat({iso}, '-05:00') WHEN event_id % 19 = 0 THEN concat({iso}, 'Z')
+            WHEN event_id % 23 = 0 THEN {clock} WHEN event_id % 29 = 0 THEN '' WHEN event_id % 31 = 0 THEN 'soon'
+            ELSE {iso} END AS raw FROM {{events}}"""
