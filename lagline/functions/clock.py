@@ -5,7 +5,7 @@ Local wall times are TIMESTAMP_NTZ. Instants are TIMESTAMP under a session pinne
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 LOCAL_ZONE = "America/Chicago"  # North American Central time
 DAY = 86400
@@ -31,18 +31,21 @@ def departure_time(text: Column) -> Column:
 
 
 def local_of(instant: Column, zone: str = LOCAL_ZONE) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), instant.cast("timestamp_ntz"))
+    return F.from_utc_timestamp(instant, zone).cast("timestamp_ntz")
 
 
 def utc_of_unambiguous(local: Column, zone: str = LOCAL_ZONE) -> Column:
-    """Instant of a wall time, null where the clock skips or repeats it."""
-    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-    back = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    """Instant of a wall time, null where the clock skips or repeats it.
+
+    The session reads a wall time as UTC, so shifting there and back keeps it only when
+    it exists, and an hour to either side shows the same wall time only when it repeats.
+    """
+    wall = local.cast("timestamp")
+    utc = F.to_utc_timestamp(wall, zone)
     hour = F.expr("interval 1 hour")
-    repeats = (F.convert_timezone(F.lit("UTC"), F.lit(zone), utc + hour) == local) | (
-        F.convert_timezone(F.lit("UTC"), F.lit(zone), utc - hour) == local
-    )
-    return F.when((back == local) & ~repeats, utc.cast("timestamp"))
+    exists = F.from_utc_timestamp(utc, zone) == wall
+    repeats = (F.from_utc_timestamp(utc + hour, zone) == wall) | (F.from_utc_timestamp(utc - hour, zone) == wall)
+    return F.when(exists & ~repeats, utc)
 
 
 def instant_of(text: Column, zone: str = LOCAL_ZONE) -> Column:
@@ -55,14 +58,16 @@ def instant_of(text: Column, zone: str = LOCAL_ZONE) -> Column:
     )
 
 
-def instant_issue(text: Column, zone: str = LOCAL_ZONE) -> Column:
-    """Why `instant_of` gives null, or null where it gives an instant."""
+def instant_issue(text: Column, zone: str = LOCAL_ZONE, instant: Column | None = None) -> Column:
+    """Why `instant_of` gives null, or null where it gives an instant (pass it if at hand)."""
+    known = instant_of(text, zone) if instant is None else instant
     readable = text.rlike(ISO_SHAPE) & text.try_cast("timestamp_ntz").isNotNull()
     return (
-        F.when(text.isNull() | (text == ""), F.lit("missing"))
+        F.when(known.isNotNull(), F.lit(None).cast("string"))
+        .when(text.isNull() | (text == ""), F.lit("missing"))
         .when(text.rlike(CLOCK_FRACTION), F.lit("date_missing"))
         .when(~readable, F.lit("invalid_time"))
-        .when(instant_of(text, zone).isNull(), F.lit("ambiguous_or_nonexistent_local_time"))
+        .otherwise(F.lit("ambiguous_or_nonexistent_local_time"))
     )
 
 
@@ -88,30 +93,34 @@ def seconds_of_day(local: Column) -> Column:
     return (F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)).cast("bigint")
 
 
-def instant_near_schedule(text: Column, scheduled: Column, zone: str = LOCAL_ZONE, bound: int = 3600) -> Column:
+def with_instant_near_schedule(
+    rows: DataFrame, name: str, text: str, scheduled: str, zone: str = LOCAL_ZONE, bound: int = 3600
+) -> DataFrame:
     """Date a clock-only estimate: the nearest of yesterday, today and tomorrow.
 
     Null where two candidates tie or the nearest lies more than `bound` seconds away.
+    Each candidate is a column of its own, so it is worked out once and compiled.
     """
-    midnight = F.date_trunc("day", local_of(scheduled, zone)).cast("timestamp_ntz")
-    clock = clock_seconds(text)
-    candidates = F.filter(
-        F.array(
-            *[
-                F.struct(
-                    F.abs(epoch_seconds(moment) - epoch_seconds(scheduled)).alias("gap"), moment.alias("at")
-                )
-                for moment in [
-                    utc_of_unambiguous(plus_seconds(midnight, clock + shift * DAY), zone) for shift in (-1, 0, 1)
-                ]
-            ]
-        ),
-        lambda c: c["at"].isNotNull(),
+    shifts = {"_yesterday": -1, "_today": 0, "_tomorrow": 1}
+    due = F.col(scheduled)
+    midnight = F.date_trunc("day", local_of(due, zone)).cast("timestamp_ntz")
+    dated = rows.withColumns({"_midnight": midnight, "_clock": clock_seconds(F.col(text))}).withColumns(
+        {
+            c: utc_of_unambiguous(plus_seconds(F.col("_midnight"), F.col("_clock") + shift * DAY), zone)
+            for c, shift in shifts.items()
+        }
+    )
+    gap = lambda c: F.abs(epoch_seconds(F.col(c)) - epoch_seconds(due))
+    gaps = dated.withColumns({f"_gap{c}": gap(c) for c in shifts})
+    nearest = F.least(*[F.col(f"_gap{c}") for c in shifts])
+    hits = [F.coalesce(F.col(f"_gap{c}") == F.col("_nearest"), F.lit(False)) for c in shifts]
+    ties = hits[0].cast("int") + hits[1].cast("int") + hits[2].cast("int")
+    chosen = F.coalesce(*[F.when(hit, F.col(c)) for hit, c in zip(hits, shifts)])
+    return (
+        gaps.withColumn("_nearest", nearest)
+        .withColumn(name, F.when((F.col("_nearest") <= bound) & (ties == 1), chosen))
+        .drop("_midnight", "_clock", "_nearest", *shifts, *[f"_gap{c}" for c in shifts])
     )
-    ranked = F.array_sort(candidates)
-    first, second = F.try_element_at(ranked, F.lit(1)), F.try_element_at(ranked, F.lit(2))
-    tied = F.coalesce(first["gap"] == second["gap"], F.lit(False))
-    return F.when((first["gap"] <= bound) & ~tied, first["at"])
 
 
 def day_type(moment: Column) -> Column:

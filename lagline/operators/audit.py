@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lagline.functions.clock import LOCAL_ZONE, epoch_seconds, instant_issue, instant_of, local_of
+from lagline.functions.clock import LOCAL_ZONE, epoch_seconds, instant_of, local_of
 from lagline.functions.quantiles import exact_quantiles
 from lagline.operators.asof import SIGNAL_HORIZONS, select_arrivals
 from lagline.operators.clean import as_metrics
 from lagline.operators.normalize import judged_payloads, numbered_observations
+from lagline.session import cut_lineage
 
 ESTIMATE_GROUP = ["resource_type", "trip_key", "scheduled_stop_key", "scheduled_departure_raw"]
 
@@ -198,7 +199,13 @@ def reconcile_payloads(snapshots: DataFrame, observations: DataFrame, requested_
         F.count_if(~F.col("payload_sha256").eqNullSafe(F.sha2("payload_json", 256))).alias("payload_hash"),
     )
     usable = (F.col("http_status") == 200) & (F.coalesce("error_kind", F.lit("")) == "")
-    judged = judged_payloads(snapshots.where(usable), requested_route)
+    # Stored once, so that each payload is parsed once for the three uses below.
+    judged = cut_lineage(
+        judged_payloads(snapshots.where(usable), requested_route).select(
+            "snapshot_id", "resource_type", "resource_id", "received_at_utc", "error_kind", "trip_header",
+            "shared_stop", "blocks",
+        )
+    )
     failures = judged.agg(F.count_if(F.col("error_kind") == "schema_error").alias("reparse_failure"))
     readable = judged.where(F.coalesce("error_kind", F.lit("")) == "").select("snapshot_id")
     content = F.sha2(F.to_json(F.struct(*COMPARED)), 256).alias("_content")
@@ -227,7 +234,7 @@ def arrival_days(observations: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     )
     stats = dated.groupBy("day").agg(
         F.count(F.lit(1)).alias("snapshots"),
-        F.count_if(instant_issue(F.col("estimated_arrival_raw"), zone).isNotNull()).alias("unusable_arrival_estimates"),
+        F.count_if(F.col("_arrival").isNull()).alias("unusable_arrival_estimates"),
         F.count("_dwell").alias("comparable_snapshots"),
         F.count_if(F.col("_dwell") != 0).alias("arrival_and_departure_differ"),
         F.count_if(F.col("_dwell") < 0).alias("negative_dwell_snapshots"),

@@ -14,16 +14,21 @@ MATCH = ["match_route", "match_stop", "match_destination", "match_instant"]
 
 def _identity(rows: DataFrame, route: str, stop: str, destination: str, time: str, unicode_aware: bool) -> DataFrame:
     """Match key columns, all null where any part is missing or the time is refused."""
-    instant = instant_of(F.col(time))
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    valid = instant.isNotNull() & filled(stop) & filled(destination)
+    valid = F.col("_instant").isNotNull() & filled(stop) & filled(destination)
     parts = {
         "match_route": F.coalesce(F.col(route).cast("string"), F.lit("None")),
         "match_stop": F.col(stop).cast("string"),
-        "match_destination": destination_match_key(F.col(destination), unicode_aware),
-        "match_instant": instant,
+        "match_destination": F.col("_name"),
+        "match_instant": F.col("_instant"),
     }
-    return rows.withColumns({name: F.when(valid, part) for name, part in parts.items()})
+    return (
+        rows.withColumns(
+            {"_instant": instant_of(F.col(time)), "_name": destination_match_key(F.col(destination), unicode_aware)}
+        )
+        .withColumns({name: F.when(valid, part) for name, part in parts.items()})
+        .drop("_instant", "_name")
+    )
 
 
 def live_events(observations: DataFrame, unicode_aware: bool = True) -> DataFrame:

@@ -128,14 +128,16 @@ def observation_rows(judged: DataFrame, requested_route: str, zone: str = LOCAL_
     """One row per scheduled stop of every readable response."""
     event, trip, route = F.col("event"), F.col("trip_header"), F.col("route")
     requested = F.lit(requested_route)
+    # Outer explodes with the filter behind them: a filter on the blocks themselves would
+    # be pushed below the parse and repeat it.
     spread = (
-        judged.where(F.col("blocks").isNotNull())
-        .select(
+        judged.select(
             "snapshot_id", "resource_type", "resource_id", "received_at_utc", "trip_header", "shared_stop",
-            F.posexplode("blocks").alias("_block", "_b"), _rows_before_block().alias("_starts"),
+            F.posexplode_outer("blocks").alias("_block", "_b"), _rows_before_block().alias("_starts"),
         )
         .withColumn("_before", F.col("_starts")[F.col("_block")])
-        .select("*", F.col("_b.route").alias("route"), F.posexplode(F.col("_b")["scheduled-stops"]).alias("position", "event"))
+        .select("*", F.col("_b.route").alias("route"), F.posexplode_outer(F.col("_b")["scheduled-stops"]).alias("position", "event"))
+        .where(F.col("event").isNotNull())
     )
     shared = F.coalesce(F.col("shared_stop"), F.to_json(F.struct(F.col("resource_id").alias("key"))))
     stop = F.coalesce(event["stop"], F.when(F.col("resource_type") == "stop", shared))
@@ -176,8 +178,8 @@ def observation_rows(judged: DataFrame, requested_route: str, zone: str = LOCAL_
     )
     issues = F.map_filter(
         F.create_map(
-            F.lit("scheduled"), instant_issue(F.col("scheduled_departure_raw"), zone),
-            F.lit("estimated"), instant_issue(F.col("estimated_departure_raw"), zone),
+            F.lit("scheduled"), instant_issue(F.col("scheduled_departure_raw"), zone, F.col("scheduled_departure_utc")),
+            F.lit("estimated"), instant_issue(F.col("estimated_departure_raw"), zone, F.col("estimated_departure_utc")),
         ),
         lambda k, v: v.isNotNull(),
     )
@@ -233,8 +235,9 @@ def trip_stop_rows(trip_snapshots: DataFrame) -> DataFrame:
             identity(F.col("_trip.bus")).alias("payload_bus_key"),
             identity(F.col("_trip.variant")).alias("payload_variant_key"),
             F.col("_trip")["schedule-type"].alias("schedule_type"),
-            F.posexplode(F.col("_trip")["scheduled-stops"]).alias("position", "_event"),
+            F.posexplode_outer(F.col("_trip")["scheduled-stops"]).alias("position", "_event"),
         )
+        .where(F.col("_event").isNotNull())
         .select(
             "*", event["key"].alias("event_key"), identity(event["stop"]).alias("stop_key"),
             F.coalesce(member(event["stop"], "number"), identity(event["stop"])).alias("stop_number"),

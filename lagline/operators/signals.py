@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lagline.functions.clock import (
-    DAY, HALF_DAY, LOCAL_ZONE, clock_seconds, epoch_seconds, instant_near_schedule, local_of, plus_seconds,
-    seconds_of_day, utc_of_unambiguous,
+    DAY, HALF_DAY, LOCAL_ZONE, clock_seconds, epoch_seconds, local_of, plus_seconds, seconds_of_day,
+    utc_of_unambiguous, with_instant_near_schedule,
 )
 from lagline.operators.asof import age_at, asof_backward
 
@@ -92,7 +92,6 @@ def upstream_from_stops(
 
     One row per request key: `trip_reason`, or the stop's estimated delay as a proxy.
     """
-    estimated = instant_near_schedule(F.col("estimated_clock"), F.col("scheduled_utc"), zone)
     target_time = F.max(F.when(F.col("position") == F.col("target_position"), F.col("scheduled_utc"))).over(
         W.partitionBy(*request)
     )
@@ -103,6 +102,10 @@ def upstream_from_stops(
         & age.between(0, max_passage_age_seconds)
         & (F.col("scheduled_utc") < F.col("_target_time"))
     )
+    fields = [
+        "upstream_response_index", "upstream_event_key", "upstream_delay_seconds", "upstream_scheduled_utc",
+        "upstream_estimated_utc", "upstream_passage_age_seconds",
+    ]
     proxy = F.struct(
         F.col("position").alias("upstream_response_index"), F.col("event_key").alias("upstream_event_key"),
         (epoch_seconds(F.col("_estimated")) - epoch_seconds(F.col("scheduled_utc"))).alias("upstream_delay_seconds"),
@@ -111,7 +114,7 @@ def upstream_from_stops(
     )
     at_target = F.col("position") == F.col("target_position")
     summary = (
-        resolved.withColumn("_estimated", estimated)
+        with_instant_near_schedule(resolved, "_estimated", "estimated_clock", "scheduled_utc", zone)
         .withColumn("_target_time", target_time)
         .groupBy(*request)
         .agg(
@@ -126,7 +129,6 @@ def upstream_from_stops(
         .when(F.col("_proxy").isNull(), F.lit("recent_earlier_stop_proxy_missing"))
     )
     usable = F.col("trip_reason").isNull()
-    fields = summary.schema["_proxy"].dataType.names
     return summary.withColumn("trip_reason", reason).select(
         *request, "trip_reason", *[F.when(usable, F.col(f"_proxy.{f}")).alias(f) for f in fields]
     )

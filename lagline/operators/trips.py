@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lagline.functions.clock import (
-    DAY, HALF_DAY, LOCAL_ZONE, epoch_seconds, instant_near_schedule, instant_of, local_of, plus_seconds,
-    seconds_of_day, utc_of_unambiguous,
+    DAY, HALF_DAY, LOCAL_ZONE, epoch_seconds, instant_of, local_of, plus_seconds, seconds_of_day,
+    utc_of_unambiguous, with_instant_near_schedule,
 )
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.functions.text import destination_match_key
@@ -127,24 +127,26 @@ def consistent_captures(stops: DataFrame) -> DataFrame:
 def trip_documents(stops: DataFrame, captures: DataFrame, zone: str = LOCAL_ZONE) -> tuple[DataFrame, DataFrame]:
     """(trip stops, capture times) of every trip whose schedule stayed as first captured."""
     kept = stops.join(captures.where("not schedule_changed").select("snapshot_id"), "snapshot_id", "left_semi")
-    near = lambda c: instant_near_schedule(F.col(c), F.col("scheduled_utc"), zone)
     order = F.struct("received_at_utc", "snapshot_id")
     fields = ["stop_key", "stop_number", "stop_name", "lat", "lon", "scheduled_arrival_clock"]
+    named = F.coalesce("anchor.anchor_destination", F.lit("")) != ""
     trip_stops = (
         kept.groupBy(*TRIP, "position", "event_key", "scheduled_utc")
         .agg(
             F.min_by(F.struct(*fields, F.col("schedule_type"), F.col("payload_variant_key")), order).alias("_first"),
-            F.min_by(
-                F.col("anchor.anchor_destination"), F.when(F.coalesce("anchor.anchor_destination", F.lit("")) != "", order)
-            ).alias("destination"),
+            F.min_by(F.col("anchor.anchor_destination"), F.when(named, order)).alias("destination"),
         )
         .select(*TRIP, "position", "event_key", "scheduled_utc", "destination", "_first.*")
-        .withColumn("scheduled_arrival_utc", near("scheduled_arrival_clock")).drop("scheduled_arrival_clock")
     )
-    times = kept.select(
-        *TRIP, "snapshot_id", "received_at_utc", "position",
-        near("estimated_clock").alias("estimated_departure_utc"),
-        near("estimated_arrival_clock").alias("estimated_arrival_utc"), "cancelled",
+    trip_stops = with_instant_near_schedule(
+        trip_stops, "scheduled_arrival_utc", "scheduled_arrival_clock", "scheduled_utc", zone
+    ).drop("scheduled_arrival_clock")
+    times = kept
+    for name in ("departure", "arrival"):
+        text = "estimated_clock" if name == "departure" else "estimated_arrival_clock"
+        times = with_instant_near_schedule(times, f"estimated_{name}_utc", text, "scheduled_utc", zone)
+    times = times.select(
+        *TRIP, "snapshot_id", "received_at_utc", "position", "estimated_departure_utc", "estimated_arrival_utc", "cancelled"
     )
     return trip_stops, times
 

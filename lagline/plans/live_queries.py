@@ -466,7 +466,7 @@ UNION ALL SELECT 'reparse_failure', 0
 UNION ALL SELECT 'normalized_payload', count(*) FILTER (WHERE has AND (i % 13 = 0 OR i % 17 = 0)) FROM s""")
 def reconcile_payload(spark, sf_dir):
     """Stored rows and digests are damaged in known places, and the audit must find them."""
-    snapshots, rows = normalize.normalize_envelopes(view(spark, sf_dir, envelopes), "BLUE")
+    snapshots, rows = map(cut_lineage, normalize.normalize_envelopes(view(spark, sf_dir, envelopes), "BLUE"))
     number = F.col("snapshot_id").cast("bigint")
     damaged = snapshots.withColumn(
         "payload_sha256", F.when(number % 37 == 0, F.lit("0")).otherwise(F.col("payload_sha256"))
@@ -486,7 +486,7 @@ def _capture(spark, sf_dir):
 CAPTURE_COUNTS = {
     "observations": "true", "missing_bus_observations": "bus_key IS NULL", "cancelled_observations": "cancelled",
     "dated_stop_estimates": "resource_type = 'stop'",
-    "dated_stop_estimates_before_departure": "resource_type = 'stop' AND epoch(cast(sched AS timestamp)) + 21600 > epoch(received_at_utc)",
+    "dated_stop_estimates_before_departure": "resource_type = 'stop' AND epoch(try_cast(sched AS timestamp)) + 21600 > epoch(received_at_utc)",
     "clock_only_scheduled_times": "resource_type = 'trip'",
 }
 
