@@ -8,6 +8,8 @@ from lagline.operators import clean, policy, prepare, profile, spatial, timing
 from lagline.plans import adapter
 from lagline.plans.adapter import departures, oracle, raw_departures, reports, rounded, text_departures, view
 from lagline.plans.registry import query
+from lagline.session import cut_lineage
+from lagline.sinks import exports
 
 CUTOFF = "2024-01-03"
 GROUP = clean.GROUP
@@ -496,3 +498,49 @@ counted AS (
 SELECT part, member, coalesce(n, 0) AS records FROM spine FULL JOIN counted USING (part, member)""")
 def report_summary(spark, sf_dir):
     return profile.report_summary(view(spark, sf_dir, reports), "2023-12-15", "2024-03-31")
+
+
+# --- Exports ------------------------------------------------------------------------
+
+CODED_CTE = f"""WITH r AS (SELECT *, coalesce(trim(route), '') AS route_value FROM ({oracle(reports)}) x),
+routes AS (SELECT route, row_number() OVER (ORDER BY min(record_no)) - 1 AS code FROM r GROUP BY route),
+types AS (SELECT type, row_number() OVER (ORDER BY min(record_no)) - 1 AS code FROM r GROUP BY type),
+dests AS (SELECT dest, row_number() OVER (ORDER BY min(record_no)) - 1 AS code FROM r GROUP BY dest)"""
+
+
+@query(f"""{CODED_CTE} SELECT strftime(reported, '%Y-%m') AS month, rid, reported, record_no, routes.code::integer AS route_index,
+types.code::integer AS type_index, dests.code::integer AS destination_index
+FROM r JOIN routes USING (route) JOIN types USING (type) JOIN dests USING (dest)""")
+def sorted_export(spark, sf_dir):
+    rows = view(spark, sf_dir, reports).withColumnRenamed("dest", "destination")
+    return exports.coded_reports(rows)[0].drop("coordinates").orderBy("month", "reported", "record_no")
+
+
+@query(f"""{PREPARED_CTE}, kept AS (SELECT * FROM prepared WHERE scheduled_time_local IS NOT NULL),
+stops AS (SELECT stop_number, row_number() OVER (ORDER BY stop_number::bigint) - 1 AS code FROM kept GROUP BY stop_number),
+dests AS (SELECT destination, row_number() OVER (ORDER BY destination) - 1 AS code FROM kept WHERE destination IS NOT NULL GROUP BY destination),
+days AS (SELECT day_type, row_number() OVER (ORDER BY day_type) - 1 AS code FROM kept WHERE day_type IS NOT NULL GROUP BY day_type)
+SELECT scheduled_date AS date, row_id, coalesce(stops.code, -1)::integer AS stop_index, coalesce(dests.code, -1)::integer AS destination_index,
+       coalesce(days.code, -1)::integer AS day_type_index,
+       (hour(scheduled_time_local) * 3600 + minute(scheduled_time_local) * 60 + second(scheduled_time_local))::integer AS seconds_after_midnight,
+       delay_seconds, (flag_extreme_delay::int + 2 * flag_duplicate_candidate::int + 4 * flag_missing_destination::int
+       + 8 * flag_missing_day_type::int + 16 * flag_invalid_location::int + 32 * (NOT valid_required_fields)::int)::integer AS quality_flags
+FROM kept LEFT JOIN stops USING (stop_number) LEFT JOIN dests USING (destination) LEFT JOIN days USING (day_type)""")
+def dictionary_codes(spark, sf_dir):
+    dated = cut_lineage(prepared(spark, sf_dir).where("scheduled_time_local is not null"))
+    return exports.coded_departures(dated)[0]
+
+
+@query(f"""WITH r AS ({oracle(reports)}) SELECT strftime(reported, '%Y-%m') AS month, count(*) AS records,
+cast(min(reported) AS date) AS first, cast(max(reported) AS date) AS last FROM r GROUP BY 1""")
+def report_months(spark, sf_dir):
+    rows = view(spark, sf_dir, reports).withColumn("month", F.date_format("reported", "yyyy-MM"))
+    return exports.report_months(rows)
+
+
+@query(f"""WITH r AS ({oracle(reports)}) SELECT 'records' AS metric, count(*) AS value FROM r
+UNION ALL SELECT 'missingRoute', count(*) FILTER (WHERE coalesce(route, '') = '') FROM r
+UNION ALL SELECT 'invalidLocation', count(*) FILTER (WHERE lon IS NULL OR lat IS NULL) FROM r
+UNION ALL SELECT 'additionalDuplicateIds', count(*) - count(DISTINCT rid) FROM r""")
+def report_gaps(spark, sf_dir):
+    return exports.report_gaps(view(spark, sf_dir, reports))
