@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lagline.functions.once import with_columns_once
+
 LOCAL_ZONE = "America/Chicago"  # North American Central time
 DAY = 86400
 HALF_DAY = 43200
@@ -104,11 +106,12 @@ def with_instant_near_schedule(
     shifts = {"_yesterday": -1, "_today": 0, "_tomorrow": 1}
     due = F.col(scheduled)
     midnight = F.date_trunc("day", local_of(due, zone)).cast("timestamp_ntz")
-    dated = rows.withColumns({"_midnight": midnight, "_clock": clock_seconds(F.col(text))}).withColumns(
+    dated = with_columns_once(
+        rows.withColumns({"_midnight": midnight, "_clock": clock_seconds(F.col(text))}),
         {
             c: utc_of_unambiguous(plus_seconds(F.col("_midnight"), F.col("_clock") + shift * DAY), zone)
             for c, shift in shifts.items()
-        }
+        },
     )
     gap = lambda c: F.abs(epoch_seconds(F.col(c)) - epoch_seconds(due))
     gaps = dated.withColumns({f"_gap{c}": gap(c) for c in shifts})

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lagline.functions.clock import epoch_seconds, instant_issue, instant_of
+from lagline.functions.clock import epoch_seconds, instant_of
+from lagline.functions.once import with_columns_once
 
 EVENT = ["trip_key", "scheduled_stop_key", "scheduled_departure_raw"]
 MAX_AGE_SECONDS = 90
@@ -126,31 +127,31 @@ def select_arrivals(
     observations: DataFrame, horizons: list[float] = SIGNAL_HORIZONS, max_age_seconds: float = MAX_AGE_SECONDS
 ) -> DataFrame:
     """As-of arrival estimates keyed by the dated scheduled arrival."""
-    dated = observations.withColumn(
-        "scheduled_arrival_utc", instant_of(F.col("scheduled_arrival_raw"))
-    ).where(F.col("scheduled_arrival_utc").isNotNull())
+    due = {"scheduled_arrival_utc": instant_of(F.col("scheduled_arrival_raw"))}
+    dated = with_columns_once(observations, due).where(F.col("scheduled_arrival_utc").isNotNull())
     chosen = known_at_horizons(
         dated, horizons, scheduled="scheduled_arrival_utc",
         keys=["trip_key", "scheduled_stop_key", "scheduled_arrival_raw"],
         payload=["cancelled", "estimated_arrival_raw", "bus_key", "stop_number", "variant_name"],
     )
     current = F.col("current")
-    estimate = instant_of(current["estimated_arrival_raw"])
+    estimate = F.col("_estimate")
     reason = (
         F.when(current.isNull(), F.lit("no_snapshot_before_cutoff"))
         .when(age_at(F.col("cutoff_utc"), current["received_at_utc"]) > max_age_seconds, F.lit("snapshot_stale"))
         .when(current["cancelled"], F.lit("cancelled"))
-        .when(instant_issue(current["estimated_arrival_raw"]).isNotNull(), F.lit("arrival_estimate_missing_or_ambiguous"))
+        .when(F.col("_estimate").isNull(), F.lit("arrival_estimate_missing_or_ambiguous"))
     )
     usable = F.col("reason").isNull()
-    return chosen.withColumn("reason", reason).withColumns(
+    read = with_columns_once(chosen, {"_estimate": instant_of(current["estimated_arrival_raw"])})
+    return read.withColumn("reason", reason).withColumns(
         {
             "arrival_prediction_utc": F.when(usable, estimate),
             "arrival_predicted_delay_seconds": F.when(
                 usable, epoch_seconds(estimate) - epoch_seconds(F.col("scheduled_arrival_utc"))
             ),
         }
-    )
+    ).drop("_estimate")
 
 
 def asof_backward(

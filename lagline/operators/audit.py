@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lagline.functions.clock import LOCAL_ZONE, epoch_seconds, instant_of, local_of
+from lagline.functions.once import with_columns_once
 from lagline.functions.quantiles import exact_quantiles
 from lagline.operators.asof import SIGNAL_HORIZONS, select_arrivals
 from lagline.operators.clean import as_metrics
@@ -224,12 +225,15 @@ def reconcile_payloads(snapshots: DataFrame, observations: DataFrame, requested_
 def arrival_days(observations: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     """Arrival-estimate coverage per local day of the scheduled arrival."""
     arrival, departure = F.col("_arrival"), F.col("_departure")
+    read = {
+        "scheduled_arrival_utc": instant_of(F.col("scheduled_arrival_raw"), zone),
+        "_arrival": instant_of(F.col("estimated_arrival_raw"), zone),
+        "_departure": instant_of(F.col("estimated_departure_raw"), zone),
+    }
     dated = (
-        observations.withColumn("scheduled_arrival_utc", instant_of(F.col("scheduled_arrival_raw"), zone))
+        with_columns_once(observations, read)
         .where(F.col("scheduled_arrival_utc").isNotNull())
         .withColumn("day", F.to_date(local_of(F.col("scheduled_arrival_utc"), zone)))
-        .withColumn("_arrival", instant_of(F.col("estimated_arrival_raw"), zone))
-        .withColumn("_departure", instant_of(F.col("estimated_departure_raw"), zone))
         .withColumn("_dwell", epoch_seconds(departure) - epoch_seconds(arrival))
     )
     stats = dated.groupBy("day").agg(

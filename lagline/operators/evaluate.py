@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lagline.functions.clock import epoch_seconds, instant_issue, instant_of
+from lagline.functions.clock import epoch_seconds, instant_of
+from lagline.functions.once import with_columns_once
 from lagline.operators.asof import (
     EVALUATION_HORIZONS, EVENT, MAX_AGE_SECONDS, REVISION_LAG_SECONDS, SIGNAL_HORIZONS, age_at,
     select_at_horizons, with_revision,
@@ -15,6 +16,11 @@ from lagline.operators.signals import (
 )
 
 
+def _dated(observations: DataFrame) -> DataFrame:
+    """The schedule of an event is what its raw text says, not a stored reading of it."""
+    return with_columns_once(observations, {"scheduled_departure_utc": instant_of(F.col("scheduled_departure_raw"))})
+
+
 def departed_by_cutoff() -> Column:
     """The measured departure had already happened when the forecast was due."""
     actual = epoch_seconds(F.col("scheduled_departure_utc")) + F.col("actual_delay_seconds")
@@ -31,7 +37,7 @@ def forecast_ledger(
 
     Reasons apply in this order: linkage status, as-of selection, already departed.
     """
-    dated = observations.withColumn("scheduled_departure_utc", instant_of(F.col("scheduled_departure_raw")))
+    dated = _dated(observations)
     chosen = select_at_horizons(dated, horizons, max_age_seconds)
     joined = chosen.join(links, EVENT)
     exclusion = (
@@ -99,9 +105,7 @@ def signal_features(
     passage_max_age_seconds: float = PASSAGE_MAX_AGE_SECONDS,
 ) -> DataFrame:
     """Features of the fixed rules; no outcome is read here."""
-    dated = observations.withColumn("scheduled_departure_utc", instant_of(F.col("scheduled_departure_raw"))).where(
-        instant_issue(F.col("scheduled_departure_raw")).isNull()
-    )
+    dated = _dated(observations).where(F.col("scheduled_departure_utc").isNotNull())
     selected = select_at_horizons(dated, horizons, max_age_seconds, lag_seconds).where(F.col("reason").isNull())
     revised = with_revision(selected, lag_seconds, max_age_seconds).withColumns(
         {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lagline.functions.clock import instant_of
+from lagline.functions.once import with_columns_once
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.functions.text import destination_match_key
 from lagline.operators.asof import EVENT
@@ -22,10 +23,9 @@ def _identity(rows: DataFrame, route: str, stop: str, destination: str, time: st
         "match_destination": F.col("_name"),
         "match_instant": F.col("_instant"),
     }
+    name = destination_match_key(F.col(destination), unicode_aware)
     return (
-        rows.withColumns(
-            {"_instant": instant_of(F.col(time)), "_name": destination_match_key(F.col(destination), unicode_aware)}
-        )
+        with_columns_once(rows.withColumn("_name", name), {"_instant": instant_of(F.col(time))})
         .withColumns({name: F.when(valid, part) for name, part in parts.items()})
         .drop("_instant", "_name")
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lagline.functions.clock import LOCAL_ZONE, epoch_seconds, instant_issue, instant_of
+from lagline.functions.once import with_columns_once
 from lagline.functions.text import lenient_boolean
 
 _S = T.StringType()
@@ -55,7 +56,7 @@ def parse_payload(envelopes: DataFrame) -> DataFrame:
     none = F.lit(None).cast(T.ArrayType(ROUTE_BLOCK))
     trip_block = F.array(F.struct(trip_root["route"].alias("route"), trip_root["scheduled-stops"].alias("scheduled-stops")))
     return (
-        envelopes.withColumn("_body", F.from_json("payload_json", PAYLOAD))
+        with_columns_once(envelopes, {"_body": F.from_json("payload_json", PAYLOAD)})
         .withColumn("trip_header", F.when(is_trip, trip_root.dropFields("`scheduled-stops`")))
         .withColumn("shared_stop", F.when(is_stop, stop_root["stop"]))
         .withColumn(
@@ -92,8 +93,7 @@ def judged_payloads(envelopes: DataFrame, requested_route: str) -> DataFrame:
         blocks, lambda b: b["scheduled-stops"].isNull() | F.exists(b["scheduled-stops"], lambda e: e.isNull())
     )
     return (
-        parse_payload(envelopes)
-        .withColumn("blocks", wanted_blocks(requested_route))
+        with_columns_once(parse_payload(envelopes), {"blocks": wanted_blocks(requested_route)})
         .withColumn("_readable", F.coalesce(readable, F.lit(False)))
         .withColumn("_broken", F.coalesce(broken, F.lit(True)))
         .withColumn(
@@ -152,7 +152,8 @@ def observation_rows(judged: DataFrame, requested_route: str, zone: str = LOCAL_
     trip_key = F.coalesce(
         event["trip-key"], trip["key"], F.when(F.col("resource_type") == "trip", F.col("resource_id"))
     )
-    flat = spread.select(
+    instants = {"_scheduled": scheduled, "_estimated": estimated}
+    flat = with_columns_once(spread, instants).select(
         "snapshot_id", "resource_type", "received_at_utc", "_before", F.col("position").alias("_position"),
         identity(event["key"]).alias("scheduled_stop_key"),
         identity(trip_key).alias("trip_key"),
@@ -174,7 +175,7 @@ def observation_rows(judged: DataFrame, requested_route: str, zone: str = LOCAL_
         departure["estimated"].alias("estimated_departure_raw"),
         arrival["scheduled"].alias("scheduled_arrival_raw"),
         arrival["estimated"].alias("estimated_arrival_raw"),
-        scheduled.alias("scheduled_departure_utc"), estimated.alias("estimated_departure_utc"),
+        F.col("_scheduled").alias("scheduled_departure_utc"), F.col("_estimated").alias("estimated_departure_utc"),
     )
     issues = F.map_filter(
         F.create_map(
@@ -227,7 +228,7 @@ def trip_stop_rows(trip_snapshots: DataFrame) -> DataFrame:
     Input: snapshots of resource type trip with `payload_json`. Adds the payload's own
     trip, bus, variant and schedule type.
     """
-    parsed = trip_snapshots.withColumn("_trip", F.from_json("payload_json", PAYLOAD)["trip"])
+    parsed = with_columns_once(trip_snapshots, {"_trip": F.from_json("payload_json", PAYLOAD)["trip"]})
     event = F.col("_event")
     return (
         parsed.select(
@@ -256,7 +257,7 @@ def trip_stop_rows(trip_snapshots: DataFrame) -> DataFrame:
 
 def trip_headers(trip_snapshots: DataFrame) -> DataFrame:
     """Trip snapshots with the trip and bus their payload names."""
-    parsed = trip_snapshots.withColumn("_trip", F.from_json("payload_json", PAYLOAD)["trip"])
+    parsed = with_columns_once(trip_snapshots, {"_trip": F.from_json("payload_json", PAYLOAD)["trip"]})
     return parsed.select(
         *[c for c in trip_snapshots.columns if c != "payload_json"],
         F.col("_trip.key").alias("payload_trip_key"), identity(F.col("_trip.bus")).alias("payload_bus_key"),

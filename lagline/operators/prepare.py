@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lagline.functions.clock import RECENT_FORMAT, wall_time
 from lagline.functions.geo import STRICT_POINT, in_range, point_part
+from lagline.functions.once import with_columns_once
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.functions.text import strict_integer
 
@@ -61,27 +62,25 @@ def split_label(moment: Column, boundaries: Boundaries) -> Column:
 def typed_departures(raw: DataFrame) -> DataFrame:
     """Parsed time, delay, calendar parts and coordinates next to the source text."""
     time = F.col("scheduled_time_local")
-    return (
-        raw.withColumnsRenamed(SOURCE_COLUMNS)
-        .withColumns(
-            {
-                "scheduled_time_local": wall_time(F.col("scheduled_time_raw"), RECENT_FORMAT),
-                "deviation_seconds": strict_integer(F.col("deviation_raw")),
-                "longitude": point_part(F.col("location_wkt"), STRICT_POINT, 1),
-                "latitude": point_part(F.col("location_wkt"), STRICT_POINT, 2),
-            }
-        )
-        .withColumns(
-            {
-                "delay_seconds": -F.col("deviation_seconds"),
-                "scheduled_date": F.to_date(time),
-                "day_of_week": F.weekday(time),
-                "hour": F.hour(time),
-                "minute": F.minute(time),
-                "month": F.month(time),
-                "is_weekend": F.weekday(time) >= 5,
-            }
-        )
+    parsed = with_columns_once(
+        raw.withColumnsRenamed(SOURCE_COLUMNS),
+        {
+            "scheduled_time_local": wall_time(F.col("scheduled_time_raw"), RECENT_FORMAT),
+            "deviation_seconds": strict_integer(F.col("deviation_raw")),
+            "longitude": point_part(F.col("location_wkt"), STRICT_POINT, 1),
+            "latitude": point_part(F.col("location_wkt"), STRICT_POINT, 2),
+        },
+    )
+    return parsed.withColumns(
+        {
+            "delay_seconds": -F.col("deviation_seconds"),
+            "scheduled_date": F.to_date(time),
+            "day_of_week": F.weekday(time),
+            "hour": F.hour(time),
+            "minute": F.minute(time),
+            "month": F.month(time),
+            "is_weekend": F.weekday(time) >= 5,
+        }
     )
 
 
@@ -110,7 +109,7 @@ def flag_duplicates(
     A window over the copies would put a hot content into one task; a combined
     aggregate over its digest and a join back does not.
     """
-    signed = rows.withColumn("_sig", content_digest(signature))
+    signed = with_columns_once(rows, {"_sig": content_digest(signature)})
     sets = duplicate_sets(signed, signature, row_id, order)
     flagged = F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
     return (

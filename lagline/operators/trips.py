@@ -8,6 +8,7 @@ from lagline.functions.clock import (
     DAY, HALF_DAY, LOCAL_ZONE, epoch_seconds, instant_of, local_of, plus_seconds, seconds_of_day,
     utc_of_unambiguous, with_instant_near_schedule,
 )
+from lagline.functions.once import with_columns_once
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.functions.text import destination_match_key
 from lagline.operators.asof import age_at, asof_backward
@@ -20,7 +21,8 @@ TRIP = ["trip_date", "trip_key", "bus_key"]
 
 def dated_anchors(observations: DataFrame, block_rows_of: str = "trip_key") -> DataFrame:
     """Dated stop observations of each trip, numbered in receipt order (`place`, from 1)."""
-    dated = observations.withColumn("anchor_utc", instant_of(F.col("scheduled_departure_raw"))).where(
+    read = {"anchor_utc": instant_of(F.col("scheduled_departure_raw"))}
+    dated = with_columns_once(observations, read).where(
         F.col("anchor_utc").isNotNull() & F.col("trip_key").isNotNull()
     )
     order = ["received_at_utc", "snapshot_id", "row_number"]
@@ -165,9 +167,9 @@ def measured_stops(trip_stops: DataFrame, outcomes: DataFrame, unicode_aware: bo
     sides = keyed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), (F.min(event) == F.max(event)).alias("_one_event")
     )
-    instant = instant_of(F.col("scheduled_time"))
+    instant = F.col("_instant")
     measured = (
-        outcomes.where(instant.isNotNull())
+        with_columns_once(outcomes, {"_instant": instant_of(F.col("scheduled_time"))}).where(instant.isNotNull())
         .groupBy(
             F.col("stop_number").alias("_stop"),
             destination_match_key(F.col("route_destination"), unicode_aware).alias("_dest"),
