@@ -179,7 +179,7 @@ prepared AS (
 
 def prepared(spark, sf_dir, check_conflicts: bool = False):
     return prepare.prepare_departures(
-        view(spark, sf_dir, text_departures), SPLITS, check_conflicts=check_conflicts
+        view(spark, sf_dir, text_departures, parse_heavy=True), SPLITS, check_conflicts=check_conflicts
     )
 
 
@@ -205,7 +205,7 @@ def prepared_departures(spark, sf_dir):
 
 @query(f"""{PREPARED_CTE} SELECT row_id, source_record_number, flag_duplicate_candidate, duplicate_of_row_id FROM prepared""")
 def duplicate_flags(spark, sf_dir):
-    flagged = prepare.flag_duplicates(view(spark, sf_dir, text_departures))
+    flagged = prepare.flag_duplicates(view(spark, sf_dir, text_departures, parse_heavy=True))
     return flagged.select("row_id", "source_record_number", "flag_duplicate_candidate", "duplicate_of_row_id")
 
 
@@ -239,9 +239,9 @@ def route_profile(spark, sf_dir):
 
 
 @query(f"""{PREPARED_CTE}, q AS (SELECT quantile_cont(delay_seconds, [0.0, 0.01, 0.5, 0.95, 0.99, 1.0]) AS v FROM prepared)
-SELECT unnest([0.0, 0.01, 0.5, 0.95, 0.99, 1.0])::double AS quantile, unnest(v)::double AS delay_seconds FROM q""")
+SELECT unnest([0.0, 0.01, 0.5, 0.95, 0.99, 1.0])::double AS quantile, round(unnest(v)::double, 6) AS delay_seconds FROM q""")
 def delay_quantiles(spark, sf_dir):
-    return profile.delay_quantiles(prepared(spark, sf_dir))
+    return rounded(profile.delay_quantiles(prepared(spark, sf_dir)), 6, "delay_seconds")
 
 
 @query(f"""{PREPARED_CTE} SELECT scheduled_date, count(*) AS rows FROM prepared WHERE flag_extreme_delay GROUP BY scheduled_date""")
@@ -261,7 +261,7 @@ UNION ALL SELECT 'unique_stops', count(DISTINCT stop_number) FROM src
 UNION ALL SELECT 'unique_routes', count(DISTINCT route_number) FROM src
 UNION ALL SELECT 'duplicate_id_candidates', count(row_id) - count(DISTINCT row_id) FROM src""")
 def source_profile(spark, sf_dir):
-    return profile.source_profile(view(spark, sf_dir, text_departures), SOURCE_COLUMNS)
+    return profile.source_profile(view(spark, sf_dir, text_departures, parse_heavy=True), SOURCE_COLUMNS)
 
 
 @query(f"""WITH s AS (SELECT delay, scheduled, cast(id AS bigint) AS n FROM ({oracle(departures)}) d),
@@ -276,7 +276,7 @@ def is_sorted(spark, sf_dir):
 
 @query(f"""{PREPARED_CTE} SELECT destination AS value, count(*) AS rows FROM prepared WHERE destination IS NOT NULL GROUP BY destination""")
 def value_counts(spark, sf_dir):
-    return profile.value_counts(view(spark, sf_dir, text_departures), "destination")
+    return profile.value_counts(view(spark, sf_dir, text_departures, parse_heavy=True), "destination")
 
 
 VISITS_CTE = f"WITH visits AS ({GROUPED} FROM ({oracle(departures)}) d)"

@@ -223,7 +223,7 @@ ledger AS (
 
 
 def _links(spark, sf_dir):
-    return link.link_outcomes(view(spark, sf_dir, linked_observations), view(spark, sf_dir, outcomes))
+    return link.link_outcomes(view(spark, sf_dir, linked_observations, parse_heavy=True), view(spark, sf_dir, outcomes, parse_heavy=True))
 
 
 @query(f"""{LINK_CTE} SELECT {EVENT_SQL}, snapshots, stop_number, variant_name, status,
@@ -260,7 +260,7 @@ SELECT horizon_minutes, method, {MEASURES}, count(DISTINCT trip_key) AS distinct
 FROM errors GROUP BY ALL""")
 def live_evaluation(spark, sf_dir):
     links = _links(spark, sf_dir)
-    keys = view(spark, sf_dir, linked_observations).select("snapshot_id", "trip_key", "scheduled_stop_key")
+    keys = view(spark, sf_dir, linked_observations, parse_heavy=True).select("snapshot_id", "trip_key", "scheduled_stop_key")
     observed = _observations(spark, sf_dir).drop("trip_key", "scheduled_stop_key").join(keys, "snapshot_id")
     ledger = cut_lineage(evaluate.forecast_ledger(observed, links, HORIZONS, MAX_AGE))
     return rounded(evaluate.horizon_scores(ledger), 6, *MEASURED)
@@ -441,7 +441,7 @@ epoch(try_cast(CASE WHEN contains(sched, 'T') THEN est END AS timestamp)) - epoc
 epoch(try_cast(CASE WHEN contains(sched, 'T') THEN sched END AS timestamp)) + 21600 - epoch(received_at_utc) AS scheduled_lead_seconds,
 CASE WHEN contains(sched, 'T') THEN NULL ELSE 'date_missing' END AS scheduled_issue, CASE WHEN est IS NULL THEN 'missing' END AS estimated_issue FROM flat""")
 def normalize_payload(spark, sf_dir):
-    _, rows = normalize.normalize_envelopes(view(spark, sf_dir, envelopes), "BLUE")
+    _, rows = normalize.normalize_envelopes(view(spark, sf_dir, envelopes, parse_heavy=True), "BLUE")
     fields = [c.strip() for c in OBSERVED.split(",")]
     issue = lambda k: F.try_element_at("time_issues", F.lit(k)).alias(f"{k}_issue")
     return _ntz(rows.select(
@@ -454,7 +454,7 @@ def normalize_payload(spark, sf_dir):
 SELECT snapshot_id, http_status, CASE WHEN http_status = 200 AND contains(payload_json, 'unexpected') THEN 'schema_error' END AS error_kind,
 sha256(payload_json) AS payload_sha256, coalesce(rows, 0)::integer AS observation_count FROM env LEFT JOIN n USING (snapshot_id)""")
 def snapshot_ledger(spark, sf_dir):
-    snapshots, _ = normalize.normalize_envelopes(view(spark, sf_dir, envelopes), "BLUE")
+    snapshots, _ = normalize.normalize_envelopes(view(spark, sf_dir, envelopes, parse_heavy=True), "BLUE")
     return snapshots.select("snapshot_id", "http_status", "error_kind", "payload_sha256", "observation_count")
 
 
@@ -466,7 +466,7 @@ UNION ALL SELECT 'reparse_failure', 0
 UNION ALL SELECT 'normalized_payload', count(*) FILTER (WHERE has AND (i % 13 = 0 OR i % 17 = 0)) FROM s""")
 def reconcile_payload(spark, sf_dir):
     """Stored rows and digests are damaged in known places, and the audit must find them."""
-    snapshots, rows = map(cut_lineage, normalize.normalize_envelopes(view(spark, sf_dir, envelopes), "BLUE"))
+    snapshots, rows = map(cut_lineage, normalize.normalize_envelopes(view(spark, sf_dir, envelopes, parse_heavy=True), "BLUE"))
     number = F.col("snapshot_id").cast("bigint")
     damaged = snapshots.withColumn(
         "payload_sha256", F.when(number % 37 == 0, F.lit("0")).otherwise(F.col("payload_sha256"))
@@ -479,7 +479,7 @@ def reconcile_payload(spark, sf_dir):
 
 def _capture(spark, sf_dir):
     extra = view(spark, sf_dir, captures).select("snapshot_id", "origin", "cycle_id", "attempt_number")
-    snapshots, rows = normalize.normalize_envelopes(view(spark, sf_dir, envelopes).join(extra, "snapshot_id"), "BLUE")
+    snapshots, rows = normalize.normalize_envelopes(view(spark, sf_dir, envelopes, parse_heavy=True).join(extra, "snapshot_id"), "BLUE")
     return snapshots, rows
 
 
@@ -581,7 +581,7 @@ CASE WHEN raw = '' THEN 'missing' WHEN raw LIKE '__:__:__' THEN 'date_missing' W
      WHEN NOT zoned AND odd THEN 'ambiguous_or_nonexistent_local_time' END AS issue FROM judged""")
 def local_to_utc(spark, sf_dir):
     raw = F.col("raw")
-    rows = view(spark, sf_dir, local_times)
+    rows = view(spark, sf_dir, local_times, parse_heavy=True)
     return rows.select("event_id", instant_of(raw).cast("timestamp_ntz").alias("utc"), instant_issue(raw).alias("issue"))
 
 
