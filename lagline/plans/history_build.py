@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lagline.operators import clean, policy, profile, spatial, timing
 from lagline.sinks.exports import write_route_groups
 from lagline.sinks.tables import write_table
+from lagline.sources.capture import bundle_fingerprint, source_manifest
 
 
 def build_history(
@@ -19,10 +20,12 @@ def build_history(
     min_observations: int = timing.MIN_OBSERVATIONS,
     min_dates: int = timing.MIN_DATES,
     rules: policy.RatioPolicy = policy.RatioPolicy(),
+    sources: list[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Clean once into a stored visits table, then derive every result from it.
 
-    All routes are summarised in one pass; only the write splits by route.
+    All routes are summarised in one pass; only the write splits by route. `sources`
+    names the input files, whose sizes and digests then join the source report.
     """
     write_table(clean.clean_visits(raw, cutoff), f"{work}/visits", partition_by=["day"])
     visits = spark.read.parquet(f"{work}/visits")
@@ -40,6 +43,9 @@ def build_history(
         "audit": clean.clean_audit(raw, cutoff), "coverage": coverage,
         "report_audit": spatial.match_audit(screened, matched), "policy": policy.summarize_policy(evidence),
     }
+    if sources:
+        results["manifest"] = source_manifest(spark, sources)
+        results["fingerprint"] = bundle_fingerprint(results["manifest"], cutoff)
     for name, frame in results.items():
         frame.write.mode("errorifexists").json(f"{output}/{name}")
     return {**results, "visits": visits, "timing": groups, "evidence": evidence, "matched": matched}

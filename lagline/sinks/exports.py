@@ -70,15 +70,25 @@ def coded_departures(prepared: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[Dat
     return coded, dictionaries
 
 
+def with_stop_names(stops: DataFrame, trip_stops: DataFrame) -> DataFrame:
+    """Dictionary of stops with the name of the latest trip that calls there, null if none."""
+    names = trip_stops.groupBy("stop_number").agg(
+        F.max_by("stop_name", F.struct("trip_date", "trip_key", "position")).alias("stop_name")
+    )
+    return stops.join(names, "stop_number", "left")
+
+
 def day_summary(coded: DataFrame) -> DataFrame:
     return coded.groupBy("date").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("quality_flags") != 0).alias("flagged")
     )
 
 
-def export_history(prepared: DataFrame, root: str) -> dict[str, str]:
-    """Daily shards, dictionaries and the day index."""
+def export_history(prepared: DataFrame, root: str, trip_stops: DataFrame | None = None) -> dict[str, str]:
+    """Daily shards, dictionaries (stops named from captured trips if given) and the day index."""
     coded, dictionaries = coded_departures(prepared)
+    if trip_stops is not None:
+        dictionaries["stop_number"] = with_stop_names(dictionaries["stop_number"], trip_stops)
     paths = {"days": f"{root}/days", "summary": f"{root}/summary"}
     (
         coded.hint("rebalance", F.col("date")).sortWithinPartitions("date", "seconds_after_midnight", "row_id")

@@ -29,6 +29,11 @@ def write_prepared(prepared: DataFrame, root: str) -> dict[str, str]:
     return paths
 
 
+def write_lookup(model: DataFrame, path: str) -> str:
+    """A fitted lookup: one row per level and key tuple, the global median among them."""
+    return write_table(model, path)
+
+
 def verify_stored(frame: DataFrame, path: str) -> None:
     """The stored table holds exactly the rows of the frame."""
     if not same_rows(frame, frame.sparkSession.read.parquet(path)):

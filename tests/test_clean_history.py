@@ -72,7 +72,8 @@ def test_history_build(spark, folder, inputs):
     assert audit["conflictingSourceIds"] == 1 and audit["conflictingVisitIdentities"] == 1
     assert audit["collapsedConsistentCopies"] == 1 and audit["retainedRecordedVisits"] == 156
     assert audit["beforeOverhaulRows"] == 1 and audit["distinctSourceRows"] == 161
-    out = build_history(spark, raw, read_reports(spark, report_file), f"{folder}/work", f"{folder}/out")
+    out = build_history(spark, raw, read_reports(spark, report_file), f"{folder}/work", f"{folder}/out", sources=[archive, recent])
+    assert out["fingerprint"].first()["files"] == 2 and spark.read.json(f"{folder}/out/manifest").count() == 2
     (group,) = out["timing"].collect()
     assert [group[c] for c in clean.GROUP] == ["F8", "1", "downtown", "weekday", 12]
     assert (group["observations"], group["distinct_dates"], group["median_seconds"]) == (156, 16, 120)

@@ -110,6 +110,36 @@ def test_forecasts_equal_the_batch(spark, folder):
     assert rows(spark.table("forecasts").where("trip_key <> 'later'")) == rows(twin) and twin.count() == 16
 
 
+def test_late_outcomes_join(spark, folder):
+    from lagline.streaming.outcomes import late_outcomes
+
+    key = ("BLUE", "1", "downtown", datetime(2026, 9, 15))
+    columns = "match_route string, match_stop string, match_destination string, match_instant timestamp"
+    event, found = f"{columns}, trip_key string", f"{columns}, row_id string, deviation string"
+    spark.createDataFrame([(*key, "t"), ("BLUE", "2", *key[2:], "u")], event).write.parquet(f"{folder}/events")
+    spark.createDataFrame([(*key, "m", "-90")], found).write.parquet(f"{folder}/outcomes")
+    read = lambda schema, name: spark.readStream.schema(schema).parquet(f"{folder}/{name}")
+    query = (late_outcomes(read(event, "events"), read(found, "outcomes")).writeStream.format("memory")
+             .queryName("late").option("checkpointLocation", f"{folder}/cp").start())
+    query.processAllAvailable()
+    query.stop()
+    assert rows(spark.table("late"), "trip_key", "row_id", "deviation") == [("t", "m", "-90")]
+
+
+def test_stop_names_and_lookup_store(spark, folder):
+    stops = spark.createDataFrame([("1", 0), ("2", 1)], "stop_number string, stop_index bigint")
+    calls = spark.createDataFrame(
+        [("1", "Old", "2026-01-01", "t", 0), ("1", "New", "2026-01-02", "t", 0)],
+        "stop_number string, stop_name string, trip_date string, trip_key string, position int",
+    )
+    assert rows(exports.with_stop_names(stops, calls), "stop_number", "stop_name") == [("1", "New"), ("2", None)]
+    from lagline.operators.lookup import fit_lookup
+
+    train = spark.createDataFrame([("A", "N", "W", 8, 10)], "stop_number string, destination string, day_type string, hour int, delay_seconds bigint")
+    model = fit_lookup(train, 1)
+    assert spark.read.parquet(tables.write_lookup(model, f"{folder}/lookup")).count() == 7
+
+
 REPORT_HEADER = "Pass-Up ID,Pass-Up Type,Time,Route Number,Route Name,Route Destination,Location\n"
 
 
