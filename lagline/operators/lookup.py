@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lagline.functions.skew import HOT_ROWS, attach_by_key
-from lagline.operators.metrics import method_scores, scores_by
+from lagline.operators.metrics import method_scores, scores_by, with_population
 from lagline.session import cut_lineage
 
 FINEST = ["stop_number", "destination", "day_type", "hour"]
@@ -160,15 +160,13 @@ def baseline_scores(predicted: DataFrame) -> DataFrame:
 
 
 def fallback_usage(predicted: DataFrame) -> DataFrame:
-    from lagline.operators.metrics import with_population
-
     counted = predicted.groupBy("split", "baseline_eligible", "fallback_level").agg(F.count(F.lit(1)).alias("_n"))
     return with_population(counted).groupBy("split", "population", "fallback_level").agg(
         F.sum("_n").alias("rows")
     )
 
 
-def test_breakdown(predicted: DataFrame) -> DataFrame:
+def breakdown_scores(predicted: DataFrame) -> DataFrame:
     """Grouped-median metrics of the test split by destination and by date."""
     return scores_by(
         predicted.where(F.col("split") == "test"),

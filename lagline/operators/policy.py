@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from lagline.operators.clean import GROUP
+from lagline.operators.clean import GROUP, as_metrics
 from lagline.operators.spatial import PROFILES
 
 LABELS = ["low", "medium", "high", "unknown"]
@@ -75,8 +75,6 @@ def classify(evidence: DataFrame, policy: RatioPolicy = RatioPolicy()) -> DataFr
 
 def summarize_policy(classified: DataFrame) -> DataFrame:
     """Labels, unknown reasons and group totals as (metric, value) rows."""
-    from lagline.operators.clean import as_metrics
-
     reasons = [
         "insufficient_reference_history", "insufficient_reporting_dates", "insufficient_zero_report_history",
         "reports_exceed_recorded_visits",

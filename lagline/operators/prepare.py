@@ -84,7 +84,7 @@ def typed_departures(raw: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_sets(rows: DataFrame, signature: list[str], row_id: str, order: str) -> DataFrame:
+def duplicate_sets(rows: DataFrame, row_id: str, order: str) -> DataFrame:
     """Per repeated content: first position, first non-null id and number of copies."""
     return (
         rows.groupBy("_sig")
@@ -110,7 +110,7 @@ def flag_duplicates(
     aggregate over its digest and a join back does not.
     """
     signed = with_columns_once(rows, {"_sig": content_digest(signature)})
-    sets = duplicate_sets(signed, signature, row_id, order)
+    sets = duplicate_sets(signed, row_id, order)
     flagged = F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
     return (
         attach_by_key(signed, sets, ["_sig"], "_copies", hot_rows)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lagline.functions.geo import cell_of, explode_neighbour_cells, in_range, metres_between
 from lagline.functions.skew import HOT_ROWS, attach_by_key
-from lagline.operators.clean import GROUP, with_group
+from lagline.operators.clean import GROUP, as_metrics, with_group
 from lagline.session import cut_lineage
 
 FULL_BUS = "Full Bus Pass-Up"
@@ -133,8 +133,6 @@ def report_profiles(matched: DataFrame, keys: list[str] = GROUP, profiles: dict[
 
 def match_audit(screened: DataFrame, matched: DataFrame, profiles: dict[str, int] = PROFILES) -> DataFrame:
     """Counts of every rule and of every distance profile as (metric, value) rows."""
-    from lagline.operators.clean import as_metrics
-
     reason = F.col("reject_reason")
     counted = screened.agg(
         F.count(F.lit(1)).alias("sourceReports"),

@@ -19,7 +19,7 @@ ANCHOR_LOOK_BACK = 50
 TRIP = ["trip_date", "trip_key", "bus_key"]
 
 
-def dated_anchors(observations: DataFrame, block_rows_of: str = "trip_key") -> DataFrame:
+def dated_anchors(observations: DataFrame) -> DataFrame:
     """Dated stop observations of each trip, numbered in receipt order (`place`, from 1)."""
     read = {"anchor_utc": instant_of(F.col("scheduled_departure_raw"))}
     dated = with_columns_once(observations, read).where(

@@ -92,7 +92,7 @@ WHERE split = 'test' AND population = 'all_valid' AND method = 'grouped_median'
 UNION ALL SELECT 'date', date::varchar, method, {MEASURES} FROM errors
 WHERE split = 'test' AND population = 'all_valid' AND method = 'grouped_median' GROUP BY date, method""")
 def lookup_breakdown(spark, sf_dir):
-    scores = lookup.test_breakdown(lookup.baseline_predictions(stored(spark, sf_dir)))
+    scores = lookup.breakdown_scores(lookup.baseline_predictions(stored(spark, sf_dir)))
     return rounded(scores, 6, *METRICS)
 
 

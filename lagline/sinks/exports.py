@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lagline.functions.numbering import number_rows
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.functions.text import group_key_json
-from lagline.operators.clean import GROUP
+from lagline.operators.clean import GROUP, as_metrics
 from lagline.sources.reports import require_times
 
 QUALITY_FLAGS = [
@@ -130,8 +130,6 @@ def report_months(coded: DataFrame) -> DataFrame:
 
 def report_gaps(reports: DataFrame) -> DataFrame:
     """Counts of missing routes, unusable places and repeated ids."""
-    from lagline.operators.clean import as_metrics
-
     repeats = reports.groupBy("rid").agg(F.count(F.lit(1)).alias("_n")).agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("additionalDuplicateIds")
     )

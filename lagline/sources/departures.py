@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lagline.functions.clock import departure_time
 from lagline.functions.geo import LOOSE_POINT, point_part
+from lagline.functions.once import with_columns_once
 from lagline.functions.text import blank_to_null, destination_name, lenient_integer
 from lagline.operators.clean import RAW_COLUMNS
 from lagline.schemas import DEPARTURE_COLUMNS, text_schema
@@ -72,17 +73,22 @@ def read_departures_csv(spark: SparkSession, path: str, route: str | None = None
 def typed_history(rows: DataFrame) -> DataFrame:
     """Raw departure rows of the history build from the text columns."""
     text = lambda name: F.col(name)
-    return rows.select(
-        text("Row ID").alias("id"),
-        F.trim(text("Route Number")).alias("route"),
-        F.trim(text("Stop Number")).alias("stop"),
-        destination_name(text("Route Destination")).alias("dest"),
-        departure_time(text("Scheduled Time")).alias("scheduled"),
-        (-lenient_integer(text("Deviation"))).alias("delay"),
-        text("Day Type").alias("service"),
-        point_part(text("Location"), LOOSE_POINT, 1).alias("lon"),
-        point_part(text("Location"), LOOSE_POINT, 2).alias("lat"),
+    named = rows.select(
+        text("Row ID").alias("id"), F.trim(text("Route Number")).alias("route"),
+        F.trim(text("Stop Number")).alias("stop"), text("Day Type").alias("service"),
+        "Route Destination", "Scheduled Time", "Deviation", "Location",
     )
+    # Cleaning filters on these columns; parsed once, they are not parsed again for it.
+    return with_columns_once(
+        named,
+        {
+            "dest": destination_name(text("Route Destination")),
+            "scheduled": departure_time(text("Scheduled Time")),
+            "delay": -lenient_integer(text("Deviation")),
+            "lon": point_part(text("Location"), LOOSE_POINT, 1),
+            "lat": point_part(text("Location"), LOOSE_POINT, 2),
+        },
+    ).select(*RAW_COLUMNS)
 
 
 HISTORY_TEXT = [c for c in DEPARTURE_COLUMNS if c != "Route Name"]
@@ -136,7 +142,7 @@ def read_departures_history(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return typed_history(rows).select(*RAW_COLUMNS)
+    return typed_history(rows)
 
 
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:
