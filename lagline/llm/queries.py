@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lagline.llm import bpe_codec, packing, rule_cascade, sharding
+from lagline.llm import bpe_codec, license_scan, packing, rule_cascade, sanitize, sharding
 from lagline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,21 @@ def op9_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.decode(coded, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op2_rare_word_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+    )
+
+
+@query()
+def op5_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitize.find(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(sanitize.KINDS[:4])],
+        F.sha2(F.encode(sanitize.spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        sanitize.spans_text(F.col("spans")).alias("spans"),
+    )
