@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lagline.llm import bpe_codec, license_scan, packing, rule_cascade, sanitize, sharding
+from lagline.llm import bpe_codec, license_scan, packing, parity_join, rule_cascade, sanitize, sharding
 from lagline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ def op5_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(sanitize.spans_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
         sanitize.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(documents(spark, sf_dir))
