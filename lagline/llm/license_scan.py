@@ -158,14 +158,14 @@ class Index:
             for shift in sorted(shifts):
                 if last is not None and shift - last <= SLACK:
                     continue  # another part of the copy that has been placed
-                near = set().union(*(shifts[s] for s in range(shift, shift + SLACK + 1) if s in shifts))
-                if len(near) < self.needed[template]:
+                window = [s for s in range(shift, shift + SLACK + 1) if s in shifts]
+                if len(set().union(*(shifts[s] for s in window))) < self.needed[template]:
                     continue
-                low, high = max(0, shift - SLACK), shift + len(body) + 2 * SLACK
-                region = words[low:high]
+                place = max(window, key=lambda s: (len(shifts[s]), -s))
+                region = words[max(0, place - SLACK):place + len(body) + 2 * SLACK]
                 if all(_stands(region, k) for k in self.keys[template]):
-                    share = sum(w in words[max(0, shift + p - SLACK):shift + p + 2 * SLACK] for p, w in enumerate(body)) / len(body)
-                    found.append((template, max(0, shift), share))
+                    share = sum(w in words[max(0, place + p - SLACK):place + p + 2 * SLACK] for p, w in enumerate(body)) / len(body)
+                    found.append((template, max(0, place), share))
                     last = shift
         return found
 
