@@ -22,6 +22,7 @@ from lagline.staging import staged
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100  # similarity as a ratio of whole numbers
 SKETCH_WORDS = 8  # 64 bits each, for the Hamming test
+BROADCAST_ROWS = 200_000  # names of texts, 60 bytes each
 BLOCK = 512  # sets of one group that are compared in one task, per side
 
 # Lower case for A-Z; the white space that ends a word.
@@ -250,34 +251,30 @@ def _possible(far, na, nb, numerator: int, denominator: int):
 
 
 def _verified(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs whose sets are similar enough, decided on the sets."""
-    pairs = staged(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = keyed.join(wanted.join(classes, "class").select("key", "class"), "key").select("class", "text")
-
-    def pack(batches):
-        for chunk in chunked(batches, "text"):
-            value, offsets = shingle_sets(chunk.column(1))
-            yield pa.RecordBatch.from_arrays([
-                chunk.column(0), pa.array([value[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], ["class", "members"])
+    """The pairs whose sets are similar enough, decided on the sets.
 
-    # Copies of one text give one row each; they go before anything is paired.
-    sets = texts.mapInArrow(pack, "class bigint, members binary").dropDuplicates(["class"])
+    Texts travel, as they compress and shingle hashes don't; sets are made where pairs meet.
+    """
+    pairs = staged(pairs.distinct(), "pairs")
+    names = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = staged(names.join(classes, "class").select("key", "class"), "wanted")
+    # Few enough (the count bounds their size), they go to the texts; otherwise the texts come to them.
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = staged(keyed.join(near, "key").select("class", "text").dropDuplicates(["class"]), "texts")
 
     def judge(batches):
-        for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for chunk in chunked(batches, "t_b"):
+            (left, at), (right, bt) = (shingle_sets(chunk.column(k)) for k in (2, 3))
             ok = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i in range(len(chunk)):
+                x, y = left[at[i]:at[i + 1]], right[bt[i]:bt[i + 1]]
                 common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 ok.append(denominator * common >= numerator * (len(x) + len(y) - common))
             ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0).filter(ok), chunk.column(1).filter(ok)], ["a", "b"])
 
-    sets = staged(sets, "sets")
-    left, right = (sets.select(F.col("class").alias(c), F.col("members").alias(f"m_{c}")) for c in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "m_a", "m_b").mapInArrow(judge, "a bigint, b bigint")
+    left, right = (texts.select(F.col("class").alias(c), F.col("text").alias(f"t_{c}")) for c in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "t_a", "t_b").mapInArrow(judge, "a bigint, b bigint")
 
 
 def _across(stars: DataFrame, roots: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:

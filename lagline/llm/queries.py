@@ -14,10 +14,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The library's settings, and Arrow batches that stay small where rows are long."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def query(oracle: str | None = None):
     def add(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(configure(spark), sf_dir)
+            return function(prepare(spark), sf_dir)
 
         QUERIES[function.__name__] = run
         if oracle is not None:
