@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lagline.llm import bpe_codec, license_scan, lyndon_dedup, packing, parity_join, rule_cascade, sanitize, sharding
+from lagline.llm import bpe_codec, license_scan, lyndon_dedup, packing, parity_join, rp_forest, rule_cascade, sanitize, sharding
 from lagline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lyndon_group_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lyndon_dedup.remove_repeats(documents(spark, sf_dir))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
