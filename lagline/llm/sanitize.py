@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lagline.llm.kit import map_rows
+from lagline.staging import staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8  # words on either side of an entity
@@ -155,7 +156,7 @@ def disclosures(documents: DataFrame, text: str = "text", support: int = SUPPORT
     share = PMI(term, entity) / information(entity), over document counts of all rows. A pair
     counts only if it meets in `support` different surroundings, so copies of one text prove nothing.
     """
-    counted = _counts(documents, text).groupBy("entity", "term", "place").agg(F.sum("n").alias("n"))
+    counted = staged(_counts(documents, text).groupBy("entity", "term", "place").agg(F.sum("n").alias("n")), "counts")
     met = (
         counted.where((F.col("entity") != "") & (F.col("term") != ""))
         .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("places"))
