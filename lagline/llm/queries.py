@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lagline.llm import bpe_codec, license_scan, lyndon_dedup, packing, parity_join, rp_forest, rule_cascade, sanitize, sharding
+from lagline.llm import bpe_codec, html_crf, license_scan, lyndon_dedup, packing, parity_join, rp_forest, rule_cascade, sanitize, sharding
 from lagline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,9 @@ def op8_lyndon_group_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query()
+def op6_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_crf.extract(pages).select("page_id", "url", "text", "n_chars")
