@@ -8,31 +8,62 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lagline.llm import packing, rule_cascade
-from lagline.session import configure, ensure_checkpoint_dir
+from lagline.llm import lyndon_dedup, packing, parity_join, rule_cascade, sanitize
+from lagline.llm.queries import prepare
+from lagline.session import ensure_checkpoint_dir
+
+
+def with_text(frame: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of `docs`, with another text and its number of characters."""
+    made = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return frame.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule, unchanged."""
-    configure(spark)
+    """Documents that pass every rule, unchanged. A null or empty text fails."""
+    prepare(spark)
     judged = rule_cascade.apply_cascade(docs, rule_cascade.plan_cascade(docs))
     return judged.where("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the least id."""
+    prepare(spark)
+    return parity_join.keep_one(docs).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 400 bytes or more that stand elsewhere too."""
+    prepare(spark)
+    return with_text(lyndon_dedup.remove_repeats(docs), docs, "kept_text")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that disclose it masked."""
+    prepare(spark)
+    return with_text(sanitize.mask(sanitize.find(docs)), docs, "text")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids, one sequence each."""
+    prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality), ("packing", pack)]
+STAGES = [
+    ("quality_rules", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
+    ("personal_data", personal_data), ("packing", pack),
+]
 ORACLE_SQL = None  # tokens and sketches have no SQL form; tests/llm holds the brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each stored in the shared folder."""
-    configure(spark)
+    prepare(spark)
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):

@@ -225,15 +225,16 @@ def find_repeats(documents: DataFrame, text: str = "text", length: int = LENGTH)
 
 
 def remove_repeats(documents: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Add n_bytes, n_removed, n_spans and kept (the remaining bytes) to every row.
+    """Add n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_text to every row.
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else in the
     table. All places are judged on the input, so all copies go, the first too, and a row
     that stands twice (repeated rows as well) loses everything from `length` bytes on.
+    kept_text leaves out characters of which only some bytes remain.
     Null and empty texts have no bytes. Columns with the added names are replaced. Windows
     are compared by 64-bit hashes of their bytes, texts by md5.
     """
-    documents = documents.drop("n_bytes", "n_removed", "n_spans", "kept")
+    documents = documents.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_text")
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     copies = documents.select(key.alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__copies")).where("__copies > 1")
     spans = find_repeats(documents, text, length).withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans")
@@ -262,8 +263,9 @@ def remove_repeats(documents: DataFrame, text: str = "text", length: int = LENGT
             sizes.append(size)
             spans.append(len(merged))
             gone.append(size - len(kept[-1]))
-        return [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+        return [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()),
+                pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
 
     long = T.LongType()
-    out = map_rows(held, run, [("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept", T.BinaryType())], text)
+    out = map_rows(held, run, [("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept", T.BinaryType()), ("kept_text", T.StringType())], text)
     return out.drop("__key", "__spans", "__copies")

@@ -330,21 +330,16 @@ def _compared(group, rows: list, numerator: int, denominator: int):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """(id, n_shingles, component_id) for every row.
+def text_components(documents: DataFrame, text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """(key, n, root) for every distinct text: its md5, its number of shingles, and a name of its component.
 
-    Links need denominator * intersection >= numerator * union. Texts without words, null ones
-    too, have no shingles and link with nothing: their component is their own id. Equal sets
-    are one class, so repeated rows and copies share a component without being paired.
-    component_id is the least id reachable, null only if all those ids are. Sets are told
-    apart by 64-bit names, shingles by 64-bit hashes.
+    Links need denominator * intersection >= numerator * union. Equal sets are one class, so
+    copies share a component without being paired. Sets are told apart by 64-bit names,
+    shingles by 64-bit hashes. root is meaningless where n is 0.
     """
-    spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text_col), F.lit(""))
     keyed = documents.select(F.md5(body).alias("key"), body.alias("text"))
-    ids = documents.select(F.col(id_col).alias("__id"), F.md5(body).alias("key"))
     rows = staged(_sets(keyed).dropDuplicates(["key"]), "sets")
     classes = staged(
         rows.where("n > 0").groupBy("class").agg(F.min_by(F.struct("key", "n", "sketch"), "key").alias("r")).select("class", "r.*"), "classes")
@@ -356,10 +351,49 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rest = _across(stars, components(links), classes, numerator, denominator)
     more = _verified(keyed, classes, rest, numerator, denominator)
     roots = components(links.unionByName(more)).withColumnRenamed("node", "class")
-    named = rows.join(roots, "class", "left").select("key", "n", F.coalesce("root", "class").alias("root"))
-    placed = ids.join(named, "key")
+    return rows.join(roots, "class", "left").select("key", "n", F.coalesce("root", "class").alias("root"))
+
+
+def _key(text_col: str):
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """(id, n_shingles, component_id) for every row.
+
+    Texts without words, null ones too, have no shingles and link with nothing: their
+    component is their own id. Repeated rows share a component. component_id is the least
+    id reachable, null only if all those ids are.
+    """
+    ids = documents.select(F.col(id_col).alias("__id"), _key(text_col).alias("key"))
+    placed = ids.join(text_components(documents, text_col, numerator, denominator), "key")
     least = placed.where("n > 0").groupBy("root").agg(F.min("__id").alias("component_id"))
     return placed.join(least, "root", "left").select(
         F.col("__id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id"),
     )
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """The rows of `documents`, one for each component: that of the least id, then of the least md5 of the text.
+
+    Ids that are null come last. Rows of equal id and text count as one row. Rows without
+    shingles all stay. All columns pass through.
+    """
+    named = staged(text_components(documents, text_col, numerator, denominator), "components")
+    ids = documents.select(_key(text_col).alias("key"), F.col(id_col).alias("__id"))
+    order = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("key").alias("key"))
+    chosen = (
+        ids.join(named.where("n > 0"), "key").groupBy("root", "key", "__id").agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("root").agg(F.min_by(F.struct("key", "__id", "rows"), order).alias("c"))
+        .select(F.col("c.key").alias("__key"), F.col("c.__id").alias("__id"), F.col("c.rows").alias("__rows"))
+    )
+    none = named.where("n = 0").select(F.col("key").alias("__key"))
+    rows = documents.withColumn("__key", _key(text_col))
+    held = rows.join(staged(chosen, "chosen"), "__key").where(F.col(id_col).eqNullSafe(F.col("__id")))
+    names = documents.columns
+    once = held.where("__rows = 1").select(*names)
+    several = held.where("__rows > 1").dropDuplicates(["__key"]).select(*names)
+    return once.unionByName(several).unionByName(rows.join(none, "__key", "left_semi").select(*names))
