@@ -21,7 +21,7 @@ from lagline.staging import staged
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100  # similarity as a ratio of whole numbers
-SKETCH_WORDS = 8  # 64 bits each, for the Hamming test
+LEAST_BITS = 512  # of the shortest sketch for the Hamming test
 BROADCAST_ROWS = 200_000  # names of texts, 60 bytes each
 BLOCK = 512  # sets of one group that are compared in one task, per side
 
@@ -121,12 +121,19 @@ def chunk_keys(value: np.ndarray, offsets: np.ndarray, numerator: int, denominat
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def bit_sketches(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A parity bit sketch per set: every shingle flips one of 64 * SKETCH_WORDS bits."""
-    rows, bits = len(offsets) - 1, 64 * SKETCH_WORDS
-    owner = np.repeat(np.arange(rows), np.diff(offsets))
-    hits = np.bincount(owner * bits + (value & U64(bits - 1)).astype(np.int64), minlength=rows * bits) & 1
-    return np.packbits(hits.astype(np.uint8).reshape(rows, bits), axis=1)
+def bit_sketches(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A parity bit sketch per set: every shingle flips one bit of a power of two, at least two bits a shingle."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        bits = max(LEAST_BITS, 1 << (2 * (b - a) - 1).bit_length())
+        flips = np.bincount((value[a:b] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(flips.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch that the same set has with fewer bits: XOR of its parts."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
 ROWS = "key string, n bigint, class bigint, sketch binary"
@@ -140,7 +147,7 @@ def _sets(keyed: DataFrame) -> DataFrame:
             value, offsets = shingle_sets(chunk.column(1))
             sketch = bit_sketches(value, offsets)
             yield pa.RecordBatch.from_arrays([
-                chunk.column(0), pa.array(np.diff(offsets)), pa.array(set_classes(value, offsets)), pa.array([s.tobytes() for s in sketch], pa.binary()),
+                chunk.column(0), pa.array(np.diff(offsets)), pa.array(set_classes(value, offsets)), pa.array(sketch, pa.binary()),
             ], ["key", "n", "class", "sketch"])
 
     return keyed.mapInArrow(run, ROWS)
@@ -234,8 +241,11 @@ def _close(classes: DataFrame, pairs: DataFrame, numerator: int, denominator: in
             if not len(batch):
                 continue
             a, b, na, sa, nb, sb = (batch.column(i) for i in range(6))
-            words = [np.frombuffer(byte_buffer(s)[0].tobytes(), np.uint64).reshape(-1, SKETCH_WORDS) for s in (sa, sb)]
-            far = np.bitwise_count(words[0] ^ words[1]).sum(axis=1).astype(np.int64)
+            far = np.zeros(len(batch), np.int64)
+            for k, pair in enumerate(zip(sa.to_pylist(), sb.to_pylist())):
+                x, y = (np.frombuffer(s, np.uint64) for s in pair)
+                words = min(len(x), len(y))
+                far[k] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()
             ok = _possible(far, na.to_numpy(), nb.to_numpy(), numerator, denominator)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], ["a", "b"])
 
@@ -314,20 +324,32 @@ def _across(stars: DataFrame, roots: DataFrame, classes: DataFrame, numerator: i
 
 
 def _compared(group, rows: list, numerator: int, denominator: int):
+    """Possible pairs of two blocks; sketches of different length meet at the shorter one."""
     if not rows:
         return
     _, i, j = group
     block, member, root, n = (np.array([r[k] for r in rows]) for k in range(4))
-    words = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, SKETCH_WORDS)
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    for x in left:
-        y = right[(root[right] != root[x]) & (member[right] > member[x] if i == j else True)]
-        if len(y):
-            far = np.bitwise_count(words[y] ^ words[x]).sum(axis=1).astype(np.int64)
+    sketches = [np.frombuffer(r[4], np.uint64) for r in rows]
+    words = np.array([len(x) for x in sketches])
+    for length in np.unique(words):
+        # Linked sizes differ by a quarter at most, and so lengths by one step at most.
+        own, double = np.flatnonzero(words == length), np.flatnonzero(words == 2 * length)
+        both = np.concatenate([own, double])
+        table = np.stack([fold(sketches[x], length) for x in both])
+        for k, x in enumerate(own):
+            later = np.arange(k + 1, len(both))
+            y = both[later]
+            fit = root[y] != root[x]
+            if i != j:
+                fit &= block[y] != block[x]
+            later, y = later[fit], y[fit]
+            if not len(y):
+                continue
+            far = np.bitwise_count(table[later] ^ table[k]).sum(axis=1).astype(np.int64)
             y = y[_possible(far, n[x], n[y], numerator, denominator)]
             if len(y):
-                a, b = np.minimum(member[x], member[y]), np.maximum(member[x], member[y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(member[x], member[y])), pa.array(np.maximum(member[x], member[y]))], ["a", "b"])
 
 
 def text_components(documents: DataFrame, text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -337,6 +359,8 @@ def text_components(documents: DataFrame, text_col: str = "text", numerator: int
     copies share a component without being paired. Sets are told apart by 64-bit names,
     shingles by 64-bit hashes. root is meaningless where n is 0.
     """
+    if 2 * numerator < denominator:
+        raise ValueError("similarities below one half need more bands")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text_col), F.lit(""))
     keyed = documents.select(F.md5(body).alias("key"), body.alias("text"))
