@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lagline.session import cut_lineage
+from lagline.staging import staged
 
 
 def number_rows(frame: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
@@ -13,7 +13,7 @@ def number_rows(frame: DataFrame, order: list[Column], name: str, start: int = 0
     Range partitioning spreads the sort. The ranged frame is stored once, because
     its partition numbers must not change between counting and numbering.
     """
-    ranged = cut_lineage(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranged = staged(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     # One row per partition of the stored frame: bounded by the partition count.
     offsets = (

@@ -14,16 +14,19 @@ from lagline.models import tuning
 from lagline.models.features import CATEGORICAL, FEATURES, with_features
 from lagline.operators.lookup import fit_lookup, predict_lookup
 from lagline.operators.metrics import error_metrics
-from lagline.session import cut_lineage
+from lagline.staging import staged
 
 
 @dataclass(frozen=True)
 class Recipe:
-    """One candidate: tree depth, tree limit and how categories enter the trees."""
+    """One candidate: tree depth, tree limit and how categories enter the trees.
+
+    `iterations` is a safety limit; with validation rows, they decide when to stop.
+    """
 
     name: str = "reference"
     depth: int = 6
-    iterations: int = 20
+    iterations: int = 1200
     encoding: str = "one_hot"
     learning_rate: float = 0.1
     max_bins: int = 256
@@ -31,10 +34,10 @@ class Recipe:
 
     def __post_init__(self):
         if self.encoding not in ("one_hot", "native"):
-            raise ValueError("Unknown categorical encoding.")
+            raise ValueError("encoding is one_hot or native")
 
 
-def encoder(recipe: Recipe, categories: int) -> Pipeline:
+def encoder(recipe: Recipe) -> Pipeline:
     """Index the categories, then one-hot encode them or leave them to the tree splits."""
     names = [f"f_{c}" for c in CATEGORICAL]
     indexed = [f"i_{c}" for c in CATEGORICAL]
@@ -57,13 +60,13 @@ def fit_trees(training: DataFrame, recipe: Recipe, validation: DataFrame | None
     rows = train
     if validation is not None:
         rows = rows.unionByName(with_features(validation).withColumn("_holdout", F.lit(True)), allowMissingColumns=True)
-    widest = max(train.agg(*[F.approx_count_distinct(f"f_{c}").alias(c) for c in CATEGORICAL]).first()) + 2
-    encoding = encoder(recipe, widest).fit(train)
+    encoding = encoder(recipe).fit(train)
+    widest = max(map(len, encoding.stages[0].labelsArray)) + 1  # unseen values share one more slot
     label = F.col("delay_seconds").cast("double").alias("label")
-    encoded = cut_lineage(encoding.transform(rows).select("features", label, "_holdout"))
+    encoded = staged(encoding.transform(rows).select("features", label, "_holdout"))
     trees = GBTRegressor(
         lossType="absolute", maxDepth=recipe.depth, maxIter=recipe.iterations, stepSize=recipe.learning_rate,
-        maxBins=max(recipe.max_bins, int(widest * 1.2)), seed=recipe.seed, predictionCol="prediction_boosted",
+        maxBins=max(recipe.max_bins, widest), seed=recipe.seed, predictionCol="prediction_boosted",
         checkpointInterval=5, cacheNodeIds=False,
     )
     if validation is not None:
@@ -75,6 +78,18 @@ def tree_count(model: PipelineModel) -> int:
     return model.stages[-1].getNumTrees
 
 
+def stopped_by(model: PipelineModel, recipe: Recipe) -> str:
+    """`cap` if the tree limit ended the fit, else `validation`."""
+    return "cap" if tree_count(model) >= recipe.iterations else "validation"
+
+
+def _settled(records: DataFrame, allow_cap: bool) -> DataFrame:
+    capped = [r["candidate"] for r in records.where("stopped_by = 'cap'").select("candidate").distinct().collect()]
+    if capped and not allow_cap:
+        raise ValueError(f"the tree limit, not validation, ended {sorted(capped)}; raise iterations or allow it")
+    return records
+
+
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Predicted delay and predicted local departure, rounded to the second."""
     kept = rows.columns
@@ -98,45 +113,54 @@ def feature_importance(model: PipelineModel, sample: DataFrame) -> DataFrame:
     return sample.sparkSession.createDataFrame(list(totals.items()), "feature string, importance double")
 
 
-def select_depth(training: DataFrame, validation: DataFrame, recipes: list[Recipe]) -> tuple[PipelineModel, DataFrame]:
+def select_depth(
+    training: DataFrame, validation: DataFrame, recipes: list[Recipe], allow_cap: bool = False
+) -> tuple[PipelineModel, DataFrame]:
     """Fit every recipe, score the validation rows, keep the lowest mean absolute error.
 
-    Receives no test rows, so selection cannot see them.
+    Receives no test rows, so selection cannot see them. A fit that ran into its tree limit
+    says nothing about the best size, so it is an error unless `allow_cap`.
     """
     records, best, best_mae = [], None, float("inf")
     for recipe in recipes:
         model = fit_trees(training, recipe, validation)
         mae = _mae(score(model, validation))
-        records.append((recipe.name, recipe.depth, tree_count(model), mae))
+        records.append((recipe.name, recipe.depth, tree_count(model), stopped_by(model, recipe), mae))
         if mae < best_mae:
             best, best_mae = model, mae
     spark = training.sparkSession
-    return best, spark.createDataFrame(records, "candidate string, depth int, tree_count int, mae_seconds double")
+    schema = "candidate string, depth int, tree_count int, stopped_by string, mae_seconds double"
+    return best, _settled(spark.createDataFrame(records, schema), allow_cap)
 
 
 def _mae(scored: DataFrame) -> float:
     return scored.agg(F.avg(F.abs(F.col("prediction_boosted") - F.col("delay_seconds")))).first()[0]
 
 
-def cross_validate(rows: DataFrame, plan: tuning.Plan, recipes: list[Recipe]) -> DataFrame:
-    """One record per fold and recipe; folds train on everything before their window."""
+def cross_validate(rows: DataFrame, plan: tuning.Plan, recipes: list[Recipe], allow_cap: bool = False) -> DataFrame:
+    """One record per fold and recipe; folds train on everything before their window.
+
+    `allow_cap` as in `select_depth`.
+    """
     development = tuning.between(rows, plan.train_start, plan.final_training_end_exclusive)
     records = []
     for number, fold in enumerate(plan.folds, 1):
         train, validation = tuning.fold_rows(development, plan, fold)
         if train.isEmpty() or validation.isEmpty():
-            raise ValueError("A tuning fold has no observations.")
+            raise ValueError("a fold is empty")
         for recipe in recipes:
             model = fit_trees(train, recipe, validation)
-            records.append((recipe.name, number, tree_count(model), _mae(score(model, validation))))
-    schema = "candidate string, fold int, tree_count int, mae_seconds double"
-    return rows.sparkSession.createDataFrame(records, schema)
+            records.append((recipe.name, number, tree_count(model), stopped_by(model, recipe), _mae(score(model, validation))))
+    schema = "candidate string, fold int, tree_count int, stopped_by string, mae_seconds double"
+    return _settled(rows.sparkSession.createDataFrame(records, schema), allow_cap)
 
 
-def tuned_holdout(rows: DataFrame, plan: tuning.Plan, recipes: list[Recipe], minimum_count: int = 20) -> tuple[DataFrame, DataFrame]:
+def tuned_holdout(
+    rows: DataFrame, plan: tuning.Plan, recipes: list[Recipe], minimum_count: int = 20, allow_cap: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(ranking, holdout predictions): rank by folds, refit at the median tree count,
     and only then read the holdout."""
-    ranking = tuning.rank_candidates(cross_validate(rows, plan, recipes))
+    ranking = tuning.rank_candidates(cross_validate(rows, plan, recipes, allow_cap))
     ranked = {r["candidate"]: r for r in ranking.collect()}  # one row per candidate
     training = tuning.final_training(rows, plan)
     by_name = {r.name: r for r in recipes}
@@ -150,7 +174,7 @@ def tuned_holdout(rows: DataFrame, plan: tuning.Plan, recipes: list[Recipe], min
     models = {"selected": refit(chosen), "reference": refit("reference")}
     holdout = tuning.holdout_rows(rows, plan)
     if not holdout.select("row_id").intersect(training.select("row_id")).isEmpty():
-        raise ValueError("Empty or overlapping holdout.")
+        raise ValueError("the holdout is empty or shares rows with training")
     scored = predict_lookup(holdout, fit_lookup(training, minimum_count)).withColumnRenamed(
         "prediction_seconds", "prediction_grouped_median"
     )

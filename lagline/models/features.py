@@ -17,7 +17,7 @@ def with_features(rows: DataFrame, time: str = "scheduled_time_local", zone: str
     wanted = {"stop_number", "destination", "day_type", time}
     absent = wanted - set(rows.columns)
     if absent:
-        raise ValueError(f"Missing prediction inputs: {sorted(absent)}")
+        raise ValueError(f"features lack the columns {sorted(absent)}")
     moment = F.col(time)
     if dict(rows.dtypes)[time] == "timestamp":
         moment = local_of(moment, zone)

@@ -27,16 +27,16 @@ class Plan:
         at = datetime.fromisoformat
         start, end = at(self.train_start), at(self.final_training_end_exclusive)
         if not start < end <= at(self.holdout_start) < at(self.holdout_end_exclusive):
-            raise ValueError("Invalid training and holdout boundaries.")
+            raise ValueError("training has to end before the holdout starts")
         previous = start
         for fold in self.folds:
             a, b = at(fold.validation_start), at(fold.validation_end_exclusive)
             if not start < a < b <= end or a < previous:
-                raise ValueError("Validation windows must be chronological, disjoint, and before the holdout.")
+                raise ValueError("folds have to follow each other without overlap and end before the holdout")
             previous = b
         names = [c["name"] for c in self.candidates]
         if len(names) != len(set(names)) or (names and "reference" not in names):
-            raise ValueError("Candidate names must be unique and include reference.")
+            raise ValueError("candidates need names of their own, one of them reference")
 
 
 TIME = "scheduled_time_local"

@@ -10,7 +10,7 @@ from lagline.functions.quantiles import exact_quantiles
 from lagline.operators.asof import SIGNAL_HORIZONS, select_arrivals
 from lagline.operators.clean import as_metrics
 from lagline.operators.normalize import judged_payloads, numbered_observations
-from lagline.session import cut_lineage
+from lagline.staging import staged
 
 ESTIMATE_GROUP = ["resource_type", "trip_key", "scheduled_stop_key", "scheduled_departure_raw"]
 
@@ -201,7 +201,7 @@ def reconcile_payloads(snapshots: DataFrame, observations: DataFrame, requested_
     )
     usable = (F.col("http_status") == 200) & (F.coalesce("error_kind", F.lit("")) == "")
     # Stored once, so that each payload is parsed once for the three uses below.
-    judged = cut_lineage(
+    judged = staged(
         judged_payloads(snapshots.where(usable), requested_route).select(
             "snapshot_id", "resource_type", "resource_id", "received_at_utc", "error_kind", "trip_header",
             "shared_stop", "blocks",

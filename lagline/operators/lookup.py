@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.operators.metrics import method_scores, scores_by, with_population
-from lagline.session import cut_lineage
+from lagline.staging import staged
 
 FINEST = ["stop_number", "destination", "day_type", "hour"]
 # The fallback order, finest first.
@@ -39,7 +39,7 @@ def fit_lookup(
     through the grouping sets, whose expansion would otherwise copy every row.
     """
     if minimum_count < 1:
-        raise ValueError("minimum_count must be positive.")
+        raise ValueError("minimum_count has to be 1 or more")
     keys = levels[0]
     counted = (
         training.where(F.col(value).isNotNull())
@@ -137,11 +137,11 @@ def check_chronology(prepared: DataFrame) -> None:
         ],
     ).first()
     if facts["t"] is None:
-        raise ValueError("No eligible training observations.")
+        raise ValueError("there is nothing to train on")
     if facts["validation"] is None or facts["test"] is None:
-        raise ValueError("Both validation and test must contain valid observations.")
+        raise ValueError("validation or test rows are missing")
     if not facts["t"] < min(facts["validation"], facts["test"]):
-        raise ValueError("Training and evaluation dates overlap.")
+        raise ValueError("some dates are in training and evaluation")
 
 
 def baseline_predictions(prepared: DataFrame, minimum_count: int = 20) -> DataFrame:
@@ -149,7 +149,7 @@ def baseline_predictions(prepared: DataFrame, minimum_count: int = 20) -> DataFr
 
     The fitted table is stored: every level of the fallback reads it.
     """
-    model = cut_lineage(fit_lookup(training_rows(prepared), minimum_count))
+    model = staged(fit_lookup(training_rows(prepared), minimum_count))
     return predict_lookup(evaluation_rows(prepared), model).withColumn(
         "absolute_error_seconds", F.abs(F.col("prediction_seconds") - F.col("delay_seconds"))
     )

@@ -6,6 +6,11 @@ error_kind, payload_json and further capture columns.
 
 from __future__ import annotations
 
+import json
+import re
+from urllib.parse import quote, quote_plus
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lagline.functions.clock import LOCAL_ZONE, epoch_seconds, instant_issue, instant_of
@@ -209,17 +214,50 @@ def normalize_envelopes(envelopes: DataFrame, requested_route: str, zone: str =
     return snapshot_rows(judged), numbered_observations(judged, requested_route, zone)
 
 
+# The member names, in lower case without dashes and underscores.
+CREDENTIALS = {"apikey", "authorization"}
+MASK = "[REDACTED]"
+PARAMETER = re.compile(r"""(?i)(api[-_]key=)[^&\s"<>]+""")
+
+
 def redact(text: Column, secret: str = "") -> Column:
-    """Blank out credentials in JSON or query text: members named like an API key or
-    authorization, `api-key=` parameters and the given literal."""
-    # The member names, with dashes and underscores ignored.
-    name = "a[-_]*p[-_]*i[-_]*k[-_]*e[-_]*y|a[-_]*u[-_]*t[-_]*h[-_]*o[-_]*r[-_]*i[-_]*z[-_]*a[-_]*t[-_]*i[-_]*o[-_]*n"
-    scalar = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null'
-    clean = text
-    if secret:
-        clean = F.replace(clean, F.lit(secret), F.lit("[REDACTED]"))
-    clean = F.regexp_replace(clean, rf'(?i)("[-_]*(?:{name})[-_]*"\s*:\s*)(?:{scalar})', '$1"[REDACTED]"')
-    return F.regexp_replace(clean, r'(?i)(api[-_]key=)[^&\s"<>]+', "$1[REDACTED]")
+    """Blank out credentials in JSON or other text.
+
+    In JSON whatever stands under a credential's name goes, objects and lists too. In every
+    string `api-key=` parameters and the secret go, as it is and as it is quoted in an
+    address. Text in which nothing has to go stays as it is, byte for byte.
+    """
+    secrets = sorted({secret, quote(secret, safe=""), quote_plus(secret)} - {""}, key=len, reverse=True)
+
+    def plain(value: str) -> str:
+        for known in secrets:
+            value = value.replace(known, MASK)
+        return PARAMETER.sub(rf"\g<1>{MASK}", value)
+
+    def clean(value):
+        if isinstance(value, dict):
+            return {k: MASK if re.sub("[-_]", "", k.lower()) in CREDENTIALS else clean(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [clean(v) for v in value]
+        return plain(value) if isinstance(value, str) else value
+
+    def one(value: str | None) -> str | None:
+        if value is None:
+            return None
+        try:
+            parsed = json.loads(value)
+        except ValueError:
+            return plain(value)
+        if not isinstance(parsed, (dict, list)):
+            return plain(value)
+        cleaned = clean(parsed)
+        return value if cleaned == parsed else json.dumps(cleaned, ensure_ascii=False)
+
+    @F.pandas_udf("string")
+    def masked(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return masked(text)
 
 
 def trip_stop_rows(trip_snapshots: DataFrame) -> DataFrame:

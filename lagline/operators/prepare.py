@@ -41,7 +41,7 @@ class Boundaries:
     def __post_init__(self):
         moments = [datetime.fromisoformat(v) for v in self.values()]
         if not all(a < b for a, b in zip(moments, moments[1:])):
-            raise ValueError("Split boundaries must be strictly increasing.")
+            raise ValueError("each split has to start after the one before")
 
     def values(self) -> list[str]:
         return [self.train_start, self.validation_start, self.test_start, self.test_end_exclusive]
@@ -168,7 +168,7 @@ def prepare_departures(
     """
     typed = typed_departures(raw)
     if check_conflicts and not conflicting_row_ids(typed).isEmpty():
-        raise ValueError("Conflicting records share a Row ID; inspect the source before proceeding.")
+        raise ValueError("one row id names records that differ")
     flagged = flag_duplicates(quality_flags(typed, extreme_delay_seconds), hot_rows=hot_rows)
     eligible = F.col("valid_required_fields")
     for name in (

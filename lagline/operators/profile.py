@@ -52,8 +52,8 @@ def value_counts(rows: DataFrame, column: str | Column, name: str = "value") ->
 def order_breaks(rows: DataFrame, time: str, order: str, block: int = 1_000_000) -> DataFrame:
     """One row: rows, rows earlier than their predecessor in source order, and `is_sorted`.
 
-    Source order is the dense number `order`. Windows cover one block of it each, and
-    block ends meet through an equi-join of neighbouring blocks.
+    Source order is the number `order`, which may have gaps. Windows cover one block of it
+    each; block ends meet in a window over one row per block that has rows.
     """
     blocks = rows.select(F.col(order).alias("_o"), F.col(time).alias("_t")).withColumn(
         "_b", F.floor(F.col("_o") / block)
@@ -65,9 +65,8 @@ def order_breaks(rows: DataFrame, time: str, order: str, block: int = 1_000_000)
         F.count_if(F.col("_t").isNull()).alias("gaps"),
         F.min_by("_t", "_o").alias("_first"), F.max_by("_t", "_o").alias("_last"),
     )
-    before = inside.select((F.col("_b") + 1).alias("_b"), F.col("_last").alias("_before"))
     return (
-        inside.join(before, "_b", "left")
+        inside.withColumn("_before", F.lag("_last").over(W.orderBy("_b")))
         .agg(
             F.sum("rows").alias("rows"),
             (F.sum("drops") + F.count_if(F.col("_first") < F.col("_before"))).alias("backward_steps"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 def append_disjoint(base: DataFrame, extra: DataFrame, key: str = "row_id") -> DataFrame:
     """Union of a prepared history and newer rows; shared ids are an error."""
     if not shared_keys(base, extra, key).isEmpty():
-        raise ValueError(f"Overlapping {key} values; refusing to append.")
+        raise ValueError(f"both sides hold the same {key}")
     return base.unionByName(extra)
 
 

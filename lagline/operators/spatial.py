@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from lagline.functions.geo import cell_of, explode_neighbour_cells, in_range, metres_between
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.operators.clean import GROUP, as_metrics, with_group
-from lagline.session import cut_lineage
+from lagline.staging import staged
 
 FULL_BUS = "Full Bus Pass-Up"
 STOP_MAX_METRES = 150
@@ -24,7 +24,7 @@ def screen_reports(
 ) -> DataFrame:
     """Every report with the first rule it fails in `reject_reason`, null when kept.
 
-    Order of rules: type, covered date, first occurrence of the id among those, then
+    Order of rules: type, readable time, covered date, first occurrence of the id among those, then
     coordinates - so a bad first copy still blocks a good later one.
     """
     day = F.to_date("reported")
@@ -42,6 +42,7 @@ def screen_reports(
     )
     reason = (
         F.when(~F.coalesce(F.col("type") == wanted_type, F.lit(False)), F.lit("other_type"))
+        .when(F.col("reported").isNull(), F.lit("unreadable_time"))
         .when(F.col("_covered").isNull(), F.lit("outside_covered_dates"))
         .when(F.coalesce(F.col("record_no") > F.col("_first"), F.lit(False)), F.lit("duplicate_report"))
         .when(~in_range(F.col("lon"), F.col("lat")), F.lit("invalid_coordinates"))
@@ -110,7 +111,7 @@ def matched_reports(
     The kept reports are stored once: three steps read them, and screening them three
     times costs more than writing the few columns left.
     """
-    kept = cut_lineage(reports.select("rid", "route", "dest", "reported", "day", "lon", "lat"))
+    kept = staged(reports.select("rid", "route", "dest", "reported", "day", "lon", "lat"))
     return with_group(nearest_stop(kept, day_stops(visits, kept), max_metres), "reported")
 
 

@@ -53,6 +53,7 @@ def anchored_stops(
 
     Only the trip's last `look_back` anchors at or before receipt count, whatever their
     bus; among those the bus must match and the age be at most `max_age_seconds`.
+    `undated_responses` lists the responses that no anchor dates.
     """
     response = ["snapshot_id"]
     timed = clock_offsets(trip_stops, response)
@@ -73,7 +74,8 @@ def anchored_stops(
         .select("snapshot_id", "trip_key", "payload_bus_key", F.col("received_at_utc").alias("_received"), "place")
         .join(anchors.drop("snapshot_id"), ["trip_key", "place"])
         .where(
-            F.col("anchor_bus").eqNullSafe(F.col("payload_bus_key"))
+            # A response without a bus is called ''; an anchor without one never matches.
+            (F.col("anchor_bus") == F.coalesce("payload_bus_key", F.lit("")))
             & (age_at(F.col("_received"), F.col("received_at_utc")) <= max_age_seconds)
         )
     )
@@ -102,6 +104,14 @@ def anchored_stops(
     return dated.join(best, ["snapshot_id", "base"]).drop("_ordered", "_span", "base")
 
 
+def undated_responses(trip_stops: DataFrame, dated: DataFrame) -> DataFrame:
+    """(snapshot_id, reason) of responses that `anchored_stops` leaves out."""
+    return (
+        trip_stops.select("snapshot_id").distinct().join(dated.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
+        .withColumn("reason", F.lit("no_unambiguous_dated_anchor"))
+    )
+
+
 def trip_identity(stops: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     """Local date of the first stop, trip and bus identify a trip."""
     first = F.min_by("scheduled_utc", "position").over(W.partitionBy("snapshot_id"))

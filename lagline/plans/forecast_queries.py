@@ -9,7 +9,7 @@ from lagline.operators import lookup, metrics, sets
 from lagline.plans.adapter import deliveries, oracle, rounded, view
 from lagline.plans.history_queries import PREPARED_CTE, prepared
 from lagline.plans.registry import query
-from lagline.session import cut_lineage
+from lagline.staging import staged
 
 METRICS = [m for m in metrics.METRIC_COLUMNS if m != "n"]
 
@@ -62,7 +62,7 @@ DELIVERY_CTE = f"WITH prepared AS ({oracle(deliveries)})"
 
 def stored(spark, sf_dir):
     """Prepared departures as a stored table, which fitting and scoring both read."""
-    return cut_lineage(prepared(spark, sf_dir))
+    return staged(prepared(spark, sf_dir))
 
 
 def _scores(predicted):
@@ -168,7 +168,7 @@ def candidate_rank(spark, sf_dir):
     records = None
     for number, fold in enumerate(PLAN.folds, 1):
         train, validation = tuning.fold_rows(rows, PLAN, fold)
-        model = cut_lineage(lookup.fit_lookup(train, 1, levels=[["stop_number"]]))
+        model = staged(lookup.fit_lookup(train, 1, levels=[["stop_number"]]))
         scored = lookup.predict_lookup(validation, model, levels=[["stop_number"]])
         error = lambda c: F.avg(F.abs(F.col(c) - F.col("delay_seconds")))
         wide = scored.agg(
@@ -190,7 +190,7 @@ def boosted_scores(spark, sf_dir):
     """Boosted trees against the schedule and the lookups on the test split."""
     rows = stored(spark, sf_dir)
     train = lookup.training_rows(rows)
-    recipes = [boosted.Recipe("depth4", 4, 5), boosted.Recipe("depth6", 6, 5)]
+    recipes = [boosted.Recipe("depth4", 4), boosted.Recipe("depth6", 6)]
     model, _ = boosted.select_depth(train, rows.where("split = 'validation' and valid_required_fields"), recipes)
     scored = boosted.score(model, lookup.baseline_predictions(rows))
     methods = {**lookup.METHODS, "boosted_trees": "prediction_boosted"}

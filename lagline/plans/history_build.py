@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lagline.operators import clean, policy, profile, spatial, timing
 from lagline.sinks.exports import write_route_groups
 from lagline.sinks.tables import write_table
 from lagline.sources.capture import bundle_fingerprint, source_manifest
+from lagline.sources.reports import require_times
 
 
 def build_history(
@@ -27,6 +28,7 @@ def build_history(
     All routes are summarised in one pass; only the write splits by route. `sources`
     names the input files, whose sizes and digests then join the source report.
     """
+    require_times(reports.where(F.col("type") == spatial.FULL_BUS))
     write_table(clean.clean_visits(raw, cutoff), f"{work}/visits", partition_by=["day"])
     visits = spark.read.parquet(f"{work}/visits")
     coverage = profile.daily_coverage(visits).where("rows > 0")

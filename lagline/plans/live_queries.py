@@ -14,7 +14,7 @@ from lagline.plans.adapter import (
 )
 from lagline.plans.forecast_queries import MEASURES
 from lagline.plans.registry import query
-from lagline.session import cut_lineage
+from lagline.staging import staged
 
 # The tables span days, so horizons and ages are scaled from minutes to hours.
 HORIZONS = [60, 720, 1440, 2880]
@@ -190,7 +190,7 @@ SELECT s.* EXCLUDE (exact), s.exact < a.exact AS better_than_api FROM scores s
 JOIN scores a ON a.cohort = s.cohort AND a.horizon_minutes = s.horizon_minutes AND a.method = 'api'""")
 def rule_scores(spark, sf_dir):
     departed = F.when(evaluate.departed_by_cutoff(), F.lit("already_departed_at_cutoff"))
-    labelled = cut_lineage(_ruled(spark, sf_dir).withColumn("label_exclusion", departed).select(
+    labelled = staged(_ruled(spark, sf_dir).withColumn("label_exclusion", departed).select(
         "horizon_minutes", "actual_delay_seconds", "label_exclusion", "revision_reason", "upstream_reason",
         *[f"{m}_prediction_seconds" for m in ("api", "trend", "upstream", "blend", "combined")],
     ))
@@ -262,7 +262,7 @@ def live_evaluation(spark, sf_dir):
     links = _links(spark, sf_dir)
     keys = view(spark, sf_dir, linked_observations, parse_heavy=True).select("snapshot_id", "trip_key", "scheduled_stop_key")
     observed = _observations(spark, sf_dir).drop("trip_key", "scheduled_stop_key").join(keys, "snapshot_id")
-    ledger = cut_lineage(evaluate.forecast_ledger(observed, links, HORIZONS, MAX_AGE))
+    ledger = staged(evaluate.forecast_ledger(observed, links, HORIZONS, MAX_AGE))
     return rounded(evaluate.horizon_scores(ledger), 6, *MEASURED)
 
 
@@ -466,7 +466,7 @@ UNION ALL SELECT 'reparse_failure', 0
 UNION ALL SELECT 'normalized_payload', count(*) FILTER (WHERE has AND (i % 13 = 0 OR i % 17 = 0)) FROM s""")
 def reconcile_payload(spark, sf_dir):
     """Stored rows and digests are damaged in known places, and the audit must find them."""
-    snapshots, rows = map(cut_lineage, normalize.normalize_envelopes(view(spark, sf_dir, envelopes, parse_heavy=True), "BLUE"))
+    snapshots, rows = map(staged, normalize.normalize_envelopes(view(spark, sf_dir, envelopes, parse_heavy=True), "BLUE"))
     number = F.col("snapshot_id").cast("bigint")
     damaged = snapshots.withColumn(
         "payload_sha256", F.when(number % 37 == 0, F.lit("0")).otherwise(F.col("payload_sha256"))

@@ -1,10 +1,10 @@
-"""Session settings the operators rely on, and reliable lineage cuts."""
+"""Session settings the operators rely on, and the folder for intermediates."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime SQL settings: safe to set on a session somebody else has built.
 RUNTIME_SETTINGS = {
@@ -37,17 +37,17 @@ def build_session(app_name: str = "lagline", master: str | None = None, **settin
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster names the shared folder; only an unset session (tests) gets its own."""
+    """The shared folder for intermediates, as `spark.checkpoint.dir` names it.
+
+    Only a local session (tests) may go without: it gets a temporary folder of its own. On a
+    cluster a folder of one machine would be lost to the others, so it is an error there.
+    """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared)
     return context.getCheckpointDir()
-
-
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Store a frame on reliable storage so later stages read one fixed copy of it."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)

@@ -47,7 +47,7 @@ def quality_bits() -> Column:
 def coded_departures(prepared: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Compact departure rows and their dictionaries; a row without a date is an error."""
     if not prepared.where(F.col("scheduled_time_local").isNull()).isEmpty():
-        raise ValueError("Historical row lacks scheduled date; refusing silent loss.")
+        raise ValueError("a history row has no scheduled date and would be lost")
     dictionaries = {
         "stop_number": dictionary(prepared, "stop_number", "stop_index", F.col("stop_number").try_cast("bigint")),
         "destination": dictionary(prepared, "destination", "destination_index", F.col("destination")),
@@ -146,7 +146,7 @@ def export_reports(reports: DataFrame, root: str) -> dict[str, str]:
     bad time or an empty source."""
     require_times(reports)
     if reports.isEmpty():
-        raise ValueError("CSV has no pass-up records")
+        raise ValueError("the report file holds no records")
     coded, dictionaries = coded_reports(reports)
     paths = {"months": f"{root}/months", "index": f"{root}/index", "gaps": f"{root}/gaps"}
     (

@@ -16,24 +16,33 @@ from lagline.functions.once import with_columns_once
 from lagline.functions.text import blank_to_null, destination_name, lenient_integer
 from lagline.operators.clean import RAW_COLUMNS
 from lagline.schemas import DEPARTURE_COLUMNS, text_schema
-from lagline.session import cut_lineage
+from lagline.staging import staged
 
 ARCHIVE_BATCH = 50_000
 
 
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def header_of(spark: SparkSession, path: str | list[str]) -> list[str]:
-    names = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-    return [n.lstrip("﻿") for n in names]
+    """Column names of the first file, as they stand there."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
 def text_csv(spark: SparkSession, path: str | list[str], required: list[str], exact: bool, multi_line: bool = False) -> DataFrame:
-    """All-text CSV whose header is checked by name; columns may come in any order."""
-    header = header_of(spark, path)
+    """All-text CSV whose header is checked by name; columns may come in any order.
+
+    Every file must have the first file's header: each task compares the header of the file
+    that it reads, so a file with another order fails instead of filling wrong columns.
+    """
+    there = header_of(spark, path)
+    header = [n.lstrip(BYTE_ORDER_MARK) for n in there]
     if (set(header) != set(required)) if exact else not set(required) <= set(header):
-        raise ValueError(f"Unexpected CSV columns: {header}")
+        raise ValueError(f"columns {header} where {list(required)} are needed")
     return (
-        spark.read.schema(text_schema(header)).option("header", True).option("multiLine", multi_line)
-        .option("enforceSchema", True).option("escape", '"').csv(path)
+        spark.read.schema(text_schema(there)).option("header", True).option("multiLine", multi_line)
+        .option("enforceSchema", False).option("escape", '"').csv(path).withColumnsRenamed(
+            {a: b for a, b in zip(there, header) if a != b})
     )
 
 
@@ -44,7 +53,7 @@ def number_records(rows: DataFrame, name: str = "source_record_number") -> DataF
     split plus the rows of the file's earlier splits. The scan is stored first: split
     borders must not move between counting and numbering.
     """
-    placed = cut_lineage(
+    placed = staged(
         rows.select(
             "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")
         ).withColumn("_id", F.monotonically_increasing_id())
@@ -100,7 +109,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
                 if len(names) != 1:
-                    raise ValueError(f"Expected one CSV in {path}")
+                    raise ValueError(f"{path} does not hold exactly one CSV member")
                 with archive.open(names[0]) as member:
                     rows = csv.DictReader(io.TextIOWrapper(member, encoding="utf-8-sig", newline=""))
                     yield from _batches(rows)
@@ -136,7 +145,7 @@ def read_departures_history(spark: SparkSession, paths: list[str]) -> DataFrame:
     # Files are grouped by header, as each group is one scan with one column order.
     by_header: dict[tuple, list[str]] = {}
     for path in plain:
-        by_header.setdefault(tuple(header_of(spark, path)), []).append(path)
+        by_header.setdefault(tuple(n.lstrip(BYTE_ORDER_MARK) for n in header_of(spark, path)), []).append(path)
     for group in by_header.values():
         parts.append(text_csv(spark, group, HISTORY_TEXT, exact=False).select(*HISTORY_TEXT))
     rows = parts[0]

@@ -38,5 +38,5 @@ def require_times(reports: DataFrame) -> DataFrame:
     """The reports unchanged; any unreadable time is an error before anything is written."""
     first_bad = reports.where(F.col("reported").isNull()).agg(F.min("record_no")).first()[0]
     if first_bad is not None:
-        raise ValueError(f"Invalid Time in source record {first_bad}; no rows silently dropped")
+        raise ValueError(f"record {first_bad} has a time that cannot be read")
     return reports

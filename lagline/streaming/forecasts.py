@@ -44,13 +44,10 @@ class HorizonForecasts(StatefulProcessor):
         scheduled, done, kept = self._read()
         new = scheduled is None
         for frame in rows:
-            for r in frame.itertuples():
-                if r.received_ms > r.scheduled_ms + self.forget_ms:
-                    continue
-                scheduled = int(r.scheduled_ms)
-                delay = None if pd.isna(r.estimated_delay_seconds) else float(r.estimated_delay_seconds)
-                cancelled = None if pd.isna(r.cancelled) else bool(r.cancelled)
-                kept.append((int(r.received_ms), r.snapshot_id, cancelled, delay, r.bus_key))
+            frame = frame[frame["received_ms"] <= frame["scheduled_ms"] + self.forget_ms]
+            if len(frame):
+                scheduled = int(frame["scheduled_ms"].iloc[-1])
+                kept += self._reduced(frame, scheduled, done)
         if scheduled is not None:
             if new:
                 for moment in [*[self._cutoff(scheduled, h) for h in self.horizons], scheduled + self.forget_ms]:
@@ -58,6 +55,20 @@ class HorizonForecasts(StatefulProcessor):
             self._write(scheduled, done, kept)
         return iter([])
 
+    def _reduced(self, frame: pd.DataFrame, scheduled: int, done: list[float]) -> list[tuple]:
+        """The rows of a batch that a pending cutoff, or the one a lag earlier, reads last."""
+        frame = frame.sort_values(["received_ms", "snapshot_id"], kind="stable")
+        lag = int(self.lag * 1000)
+        limits = [c - d for c in (self._cutoff(scheduled, h) for h in self.horizons if h not in done) for d in (0, lag)]
+        places = frame["received_ms"].searchsorted(limits, side="right") - 1
+        picked = frame.iloc[sorted({int(p) for p in places if p >= 0})]
+        none = lambda value, kind: None if pd.isna(value) else kind(value)
+        return [
+            (int(at), name, none(cancelled, bool), none(delay, float), bus)
+            for at, name, cancelled, delay, bus in zip(*(picked[c] for c in (
+                "received_ms", "snapshot_id", "cancelled", "estimated_delay_seconds", "bus_key")))
+        ]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         scheduled, done, rows = self._read()
         if scheduled is None:
@@ -133,11 +144,18 @@ def horizon_forecasts(
     lag_seconds: float = REVISION_LAG_SECONDS,
     late: str = "2 minutes",
 ) -> DataFrame:
-    """Stream of as-of forecasts per event and horizon; needs the RocksDB state store."""
+    """Stream of as-of forecasts per event and horizon; needs the RocksDB state store.
+
+    Rows without a schedule or an event key have no cutoff and are left out, as in the
+    batch twin. Rows more than `late` behind the newest receipt, or received over half an
+    hour after their schedule, do not count; the query's progress reports the former as
+    `numRowsDroppedByWatermark`.
+    """
     millis = lambda c: F.floor(F.unix_micros(c) / 1000).cast("bigint")
     return (
         observations.withWatermark("received_at_utc", late)
         .withColumns({"received_ms": millis("received_at_utc"), "scheduled_ms": millis("scheduled_departure_utc")})
+        .where(F.col("scheduled_ms").isNotNull() & F.greatest(*[F.col(c).isNull() for c in EVENT]).eqNullSafe(F.lit(False)))
         .groupBy(*EVENT)
         .transformWithStateInPandas(
             statefulProcessor=HorizonForecasts(horizons, max_age_seconds, lag_seconds),

@@ -65,6 +65,25 @@ def inputs(folder):
     return archive, recent, reports
 
 
+def test_history_build_refuses_unreadable_report_times(spark, folder, inputs):
+    archive, recent, report_file = inputs
+    with open(report_file, "a") as f:
+        f.write("r9,Full Bus Pass-Up,13/45/2025,F8,F8,Downtown,POINT (-97 49)\n")
+    with pytest.raises(ValueError, match="record 3"):
+        build_history(spark, read_departures_history(spark, [archive, recent]), read_reports(spark, report_file), f"{folder}/work", f"{folder}/out")
+
+
+def test_files_with_different_headers_are_refused(spark, folder):
+    names = list(DEPARTURE_COLUMNS)
+    for k, columns in enumerate((names, names[::-1])):
+        with open(f"{folder}/{k}.csv", "w", encoding="utf-8-sig") as f:
+            f.write(",".join(columns) + "\n" + ",".join(f"value of {c}" for c in columns) + "\n")
+    one = read_departures_csv(spark, f"{folder}/1.csv").first()
+    assert all(one[c] == f"value of {c}" for c in names)
+    with pytest.raises(Exception, match="header"):
+        read_departures_csv(spark, folder).collect()
+
+
 def test_history_build(spark, folder, inputs):
     archive, recent, report_file = inputs
     raw = read_departures_history(spark, [archive, recent])
@@ -89,7 +108,7 @@ def test_archive_must_hold_one_csv(spark, folder):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("a.csv", text([]))
         z.writestr("b.csv", text([]))
-    with pytest.raises(Exception, match="Expected one CSV"):
+    with pytest.raises(Exception, match="exactly one CSV"):
         read_departures_history(spark, [path]).count()
 
 
@@ -111,7 +130,7 @@ def test_unexpected_header_is_an_error(spark, folder):
     path = f"{folder}/bad.csv"
     with open(path, "w") as f:
         f.write(text([], HEADER))
-    with pytest.raises(ValueError, match="Unexpected CSV columns"):
+    with pytest.raises(ValueError, match="are needed"):
         read_departures_csv(spark, path)
 
 

@@ -65,6 +65,17 @@ def test_redaction(spark):
     assert out == {"api-key": "[REDACTED]", "Authorization": "[REDACTED]", "url": "x?api-key=[REDACTED]&y=1", "note": "has [REDACTED]"}
 
 
+@pytest.mark.parametrize("value,want", [
+    ({"authorization": {"scheme": "Bearer", "token": "t"}, "API_KEY": ["k"]}, {"authorization": "[REDACTED]", "API_KEY": "[REDACTED]"}),
+    ([{"deep": [{"ApiKey": 5}]}, "a b&c", "a%20b%26c", "a+b%26c"], [{"deep": [{"ApiKey": "[REDACTED]"}]}, "[REDACTED]", "[REDACTED]", "[REDACTED]"]),
+])
+def test_redaction_of_structures_and_quoted_secrets(spark, value, want):
+    frame = spark.createDataFrame([(json.dumps(value),), (None,), ('{ "kept":1.50 }',), ("http://x?api-key=q&y=a+b%26c",)], "t string")
+    out = [r[0] for r in frame.select(normalize.redact(F.col("t"), "a b&c")).collect()]
+    assert json.loads(out[0]) == want
+    assert out[1:] == [None, '{ "kept":1.50 }', "http://x?api-key=[REDACTED]&y=[REDACTED]"]
+
+
 @pytest.mark.parametrize("text,utc,issue", [
     ("2026-11-01T01:30:00", None, "ambiguous_or_nonexistent_local_time"),
     ("2026-03-08T02:30:00", None, "ambiguous_or_nonexistent_local_time"),
@@ -263,6 +274,15 @@ def test_trip_documents(spark):
     assert trips.default_trip(trips.trip_summary(measured, captures)).first()["trip_key"] == "trip-a"
 
 
+def test_responses_without_a_bus_are_not_dated_by_anchors_without_one(spark):
+    line = ("t1", datetime(2026, 9, 15, 0, 24), "trip-a", None, "v", "Weekday", 0, "target", "k0", "100", "Stop", None, None, "19:30:00", "19:31:00", None, None, False)
+    stops = spark.createDataFrame([line], "snapshot_id string, received_at_utc timestamp, payload_trip_key string, payload_bus_key string, payload_variant_key string, schedule_type string, position int, event_key string, stop_key string, stop_number string, stop_name string, lat double, lon double, scheduled_clock string, estimated_clock string, scheduled_arrival_clock string, estimated_arrival_clock string, cancelled boolean")
+    obs = observations(spark, observation("o1", datetime(2026, 9, 15, 0, 20), bus=None)).withColumn("row_number", F.lit(0)).withColumn("destination", F.lit("d"))
+    dated = trips.anchored_stops(stops, trips.dated_anchors(obs))
+    assert dated.count() == 0
+    assert rows(trips.undated_responses(stops, dated)) == [("t1", "no_unambiguous_dated_anchor")]
+
+
 def test_upper_median(spark):
     data = [("t", i, float(v)) for i, v in enumerate([10, 20, 30, 500])]
     df = spark.createDataFrame(data, "trip string, position int, actual_delay_seconds double").withColumns({"scheduled_utc": F.lit("2026-01-01").cast("timestamp"), "stop_name": F.lit("x")})

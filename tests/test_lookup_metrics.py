@@ -149,7 +149,7 @@ def test_folds_exclude_the_future(spark):
 
 def test_boosted_trees_learn_and_tune(spark):
     recipes = [boosted.Recipe("reference", 3, 3, learning_rate=0.5), boosted.Recipe("other", 2, 2, "native", 0.5)]
-    ranking, holdout = boosted.tuned_holdout(departures(spark), plan(), recipes, minimum_count=5)
+    ranking, holdout = boosted.tuned_holdout(departures(spark), plan(), recipes, minimum_count=5, allow_cap=True)
     assert {r["candidate"] for r in ranking.collect()} == {"reference", "other"}
     names = {"grouped": "prediction_grouped_median", "selected": "prediction_selected", "reference": "prediction_reference"}
     scored = metrics.long_predictions(holdout, ["delay_seconds"], names)
@@ -188,6 +188,12 @@ def test_order_breaks_across_blocks(spark):
     assert out["backward_steps"] == 1 and not out["is_sorted"]
 
 
+def test_order_breaks_over_gaps(spark):
+    rows_ = [(0, datetime(2026, 1, 2)), (5_000_000, datetime(2026, 1, 1)), (9_000_000, datetime(2026, 1, 3))]
+    out = profile.order_breaks(spark.createDataFrame(rows_, "n bigint, t timestamp_ntz"), "t", "n").first()
+    assert out["backward_steps"] == 1 and not out["is_sorted"]
+
+
 def test_report_summary_view(spark):
     data = [("a", "BLUE", "x", datetime(2026, 1, 31, 23, 59, 59), -97.0, 49.0, "South"),
             ("b", "", "y", datetime(2026, 2, 1), None, None, ""), ("c", "BLUE", "x", datetime(2026, 2, 1, 23, 59, 59), None, None, "South")]
