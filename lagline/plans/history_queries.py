@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lagline.operators import clean, policy, prepare, profile, spatial, timing
+from lagline.functions import text
+from lagline.operators import clean, policy, prepare, profile, sets, spatial, timing
 from lagline.plans import adapter
 from lagline.plans.adapter import departures, oracle, raw_departures, reports, rounded, text_departures, view
 from lagline.plans.registry import query
@@ -535,3 +536,46 @@ UNION ALL SELECT 'invalidLocation', count(*) FILTER (WHERE lon IS NULL OR lat IS
 UNION ALL SELECT 'additionalDuplicateIds', count(*) - count(DISTINCT rid) FROM r""")
 def report_gaps(spark, sf_dir):
     return exports.report_gaps(view(spark, sf_dir, reports))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT {KEYS} FROM ({GROUPED} FROM ({oracle(departures)}) d) v)
+SELECT json_array(route, stop, dest, daytype, hour)::varchar AS group_key FROM g""")
+def group_keys(spark, sf_dir):
+    return _visits(spark, sf_dir).select(*GROUP).distinct().select(
+        text.group_key_json(*[F.col(c) for c in GROUP]).alias("group_key"))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT dest FROM ({oracle(departures)}) x)
+SELECT dest, prefix, regexp_replace(lower(trim(prefix || dest || '  ')), '^to\\s+', '') AS name
+FROM d, (SELECT unnest(['', 'To ', '  TO   ', 'to', 'Into ']) AS prefix)""")
+def destination_forms(spark, sf_dir):
+    forms = F.explode(F.array(*[F.lit(p) for p in ("", "To ", "  TO   ", "to", "Into ")])).alias("prefix")
+    return view(spark, sf_dir, departures).select("dest").distinct().select("dest", forms).select(
+        "dest", "prefix", text.destination_name(F.concat("prefix", "dest", F.lit("  "))).alias("name"))
+
+
+@query(f"""WITH d AS (SELECT *, cast(id AS bigint) AS n FROM ({oracle(departures)}) x)
+SELECT id AS row_id FROM d WHERE n % 7 = 0 AND n % 3 = 0""")
+def overlapping_splits(spark, sf_dir):
+    """Ids dealt to two splits by different rules."""
+    rows = view(spark, sf_dir, departures).select(F.col("id").alias("row_id"), F.col("id").cast("bigint").alias("n"))
+    dealt = rows.where("n % 7 = 0").withColumn("split", F.lit("train")).unionByName(
+        rows.where("n % 3 = 0").withColumn("split", F.lit("test")))
+    return sets.split_overlap(dealt)
+
+
+@query(f"""WITH d AS ({oracle(departures)})
+SELECT id, scheduled::date AS day FROM d WHERE scheduled::date <> (SELECT min(scheduled::date) FROM d) OR scheduled IS NULL""")
+def outside_the_day(spark, sf_dir):
+    """Rows that a file of the first day may not hold."""
+    rows = view(spark, sf_dir, departures)
+    day = rows.agg(F.to_date(F.min("scheduled"))).first()[0]
+    return sets.check_single_date(rows, "scheduled", str(day)).select("id", F.to_date("scheduled").alias("day"))
+
+
+@query(f"""WITH d AS ({oracle(departures)}) SELECT id AS row_id, delay FROM d""")
+def appended_days(spark, sf_dir):
+    """A history and its newer rows, put together again."""
+    rows = view(spark, sf_dir, departures).select(F.col("id").alias("row_id"), "delay", "scheduled")
+    recent = F.coalesce(F.col("scheduled") >= F.lit("2024-01-16").cast("timestamp_ntz"), F.lit(False))
+    return sets.append_disjoint(rows.where(~recent), rows.where(recent)).select("row_id", "delay")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lagline.functions.clock import instant_issue, instant_of
+from lagline.functions.numbering import number_rows
 from lagline.operators import asof, audit, evaluate, link, normalize, sets, signals, trips
 from lagline.operators.metrics import METRIC_COLUMNS
 from lagline.plans import adapter
@@ -14,7 +17,10 @@ from lagline.plans.adapter import (
 )
 from lagline.plans.forecast_queries import MEASURES
 from lagline.plans.registry import query
+from lagline.session import ensure_checkpoint_dir
+from lagline.sources.capture import read_capture
 from lagline.staging import staged
+from lagline.streaming import ingest
 
 # The tables span days, so horizons and ages are scaled from minutes to hours.
 HORIZONS = [60, 720, 1440, 2880]
@@ -336,6 +342,32 @@ def upstream_signal(spark, sf_dir):
     )
 
 
+LISTED_CTE = f"""WITH stops AS ({oracle(trip_stops)}), listed AS (
+  SELECT split_part(snapshot_id, '-', 1) AS trip_key, min(due_at)::date AS trip_date, min(due_at) AS start_utc,
+         count(*) FILTER (WHERE event_id % 5 <> 0) AS measured_stops, count(*) % 9 AS captures FROM stops GROUP BY 1)"""
+
+
+def _listed(spark, sf_dir):
+    trip = F.split_part("snapshot_id", F.lit("-"), F.lit(1)).alias("trip_key")
+    return view(spark, sf_dir, trip_stops).groupBy(trip).agg(
+        F.to_date(F.min("due_at")).alias("trip_date"), F.min("due_at").alias("start_utc"),
+        F.count_if(F.expr("event_id % 5 <> 0")).alias("measured_stops"), (F.count(F.lit(1)) % 9).alias("captures"),
+    ).withColumn("bus_key", F.lit("b"))
+
+
+@query(f"""{LISTED_CTE} SELECT trip_key, trip_date, 'b' AS bus_key FROM listed
+ORDER BY measured_stops > 0 DESC, captures >= 5 DESC, measured_stops DESC, captures DESC, trip_date DESC, start_utc DESC, trip_key DESC LIMIT 1""")
+def default_trip(spark, sf_dir):
+    return trips.default_trip(_listed(spark, sf_dir))
+
+
+@query(f"""{LISTED_CTE} SELECT trip_key, row_number() OVER (ORDER BY trip_date DESC, start_utc DESC, trip_key DESC) AS place FROM listed""")
+def trip_order(spark, sf_dir):
+    """Places in the list, read back from its order."""
+    ordered = trips.in_list_order(_listed(spark, sf_dir)).select("trip_key", "trip_date", "start_utc")
+    return number_rows(ordered, [F.desc("trip_date"), F.desc("start_utc"), F.desc("trip_key")], "place", 1).select("trip_key", "place")
+
+
 @query(f"""WITH stops AS ({oracle(trip_stops)}), v AS (
   SELECT *, split_part(snapshot_id, '-', 1) AS trip, CASE WHEN event_id % 5 <> 0 THEN (event_id * 31 % 4801 - 900)::double END AS d FROM stops),
 o AS (SELECT trip, d, row_number() OVER (PARTITION BY trip ORDER BY d) AS place, count(*) OVER (PARTITION BY trip) AS n FROM v WHERE d IS NOT NULL),
@@ -491,27 +523,55 @@ CAPTURE_COUNTS = {
 }
 
 
-@query(NORMAL_CTE + "SELECT 'responses' AS metric, count(*) AS value FROM env"
+CAPTURE_COUNTS_SQL = (NORMAL_CTE + "SELECT 'responses' AS metric, count(*) AS value FROM env"
        " UNION ALL SELECT 'retry_attempts', count(*) FILTER (WHERE snapshot_id::bigint % 3 > 1) FROM env"
        + "".join(f" UNION ALL SELECT '{n}', count(*) FILTER (WHERE {c}) FROM flat" for n, c in CAPTURE_COUNTS.items())
        + " UNION ALL SELECT 'distinct_trips', count(DISTINCT trip_key) FROM flat"
          " UNION ALL SELECT 'distinct_buses', count(DISTINCT bus_key) FROM flat"
          " UNION ALL SELECT 'distinct_stops', count(DISTINCT stop_key) FROM flat")
+
+
+@query(CAPTURE_COUNTS_SQL)
 def capture_counts(spark, sf_dir):
     return audit.capture_counts(*_capture(spark, sf_dir))
 
 
-@query(f"""{NORMAL_CTE}, s AS (SELECT *, snapshot_id::bigint AS i FROM env)
+CAPTURE_HISTOGRAMS_SQL = f"""{NORMAL_CTE}, s AS (SELECT *, snapshot_id::bigint AS i FROM env)
 SELECT 'http_status' AS part, http_status::varchar AS member, count(*) AS records FROM s GROUP BY 2
 UNION ALL SELECT 'error', 'schema_error', count(*) FROM s WHERE http_status = 200 AND contains(payload_json, 'unexpected')
 UNION ALL SELECT 'origin', CASE WHEN i % 19 = 0 THEN 'synthetic_fixture' ELSE 'live' END, count(*) FROM s GROUP BY 2
 UNION ALL SELECT 'resource', resource_type, count(*) FROM flat GROUP BY 2
 UNION ALL SELECT 'time_issue', 'scheduled:date_missing', count(*) FROM flat WHERE resource_type = 'trip'
-UNION ALL SELECT 'time_issue', 'estimated:missing', count(*) FROM flat WHERE est IS NULL""")
+UNION ALL SELECT 'time_issue', 'estimated:missing', count(*) FROM flat WHERE est IS NULL"""
+
+
+@query(CAPTURE_HISTOGRAMS_SQL)
 def capture_histograms(spark, sf_dir):
     return audit.capture_histograms(*_capture(spark, sf_dir))
 
 
+def _stored_capture(spark, sf_dir):
+    """Envelopes as the ingest stores them, read back from their tables."""
+    extra = view(spark, sf_dir, captures).select("snapshot_id", "origin", "cycle_id", "attempt_number")
+    landed = view(spark, sf_dir, envelopes, parse_heavy=True).join(extra, "snapshot_id").withColumn(
+        "request_started_at_utc", F.col("received_at_utc")).withColumns(
+        {c: F.lit(None).cast("string") for c in ("parameters_json", "endpoint")})
+    root = f"{ensure_checkpoint_dir(spark)}/capture-{uuid.uuid4().hex}"
+    ingest.append_batch(landed, 0, root, "BLUE")
+    parts = [read_capture(spark, root, "1900-01-01", "2200-01-01", origin=o) for o in ("live", "synthetic_fixture")]
+    return tuple(a.unionByName(b) for a, b in zip(*parts))
+
+
+@query(CAPTURE_COUNTS_SQL)
+def stored_capture_counts(spark, sf_dir):
+    return audit.capture_counts(*_stored_capture(spark, sf_dir))
+
+
+@query(CAPTURE_HISTOGRAMS_SQL)
+def stored_capture_histograms(spark, sf_dir):
+    return audit.capture_histograms(*_stored_capture(spark, sf_dir))
+
+
 @query(f"""WITH obs AS ({oracle(observations)}), c AS ({oracle(captures)})
 SELECT o.snapshot_id FROM obs o ANTI JOIN (SELECT * FROM c WHERE origin = 'live') l USING (snapshot_id)""")
 def orphan_observations(spark, sf_dir):

@@ -36,15 +36,19 @@ def outcomes_as_departures(outcomes: DataFrame) -> DataFrame:
 def read_capture(
     spark: SparkSession, root: str, start: str, end: str, resource_type: str | None = None, origin: str = "live"
 ) -> tuple[DataFrame, DataFrame]:
-    """(snapshots, observations) of one origin requested inside a closed time window."""
+    """(snapshots, observations) of one origin requested inside a closed time window.
+
+    Observations take resource type, origin and request time from their snapshot.
+    """
     snapshots = spark.read.parquet(f"{root}/snapshots").where(
         (F.col("origin") == origin)
         & F.col("request_started_at_utc").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     )
     if resource_type:
         snapshots = snapshots.where(F.col("resource_type") == resource_type)
-    observations = spark.read.parquet(f"{root}/observations").join(
-        snapshots.select("snapshot_id"), "snapshot_id", "left_semi"
+    told = ["resource_type", "origin", "request_started_at_utc"]
+    observations = spark.read.parquet(f"{root}/observations").drop(*told).join(
+        snapshots.select("snapshot_id", *told), "snapshot_id"
     )
     return snapshots, observations
 

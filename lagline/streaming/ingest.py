@@ -31,7 +31,7 @@ def append_batch(batch: DataFrame, batch_id: int, root: str, requested_route: st
     try:
         parts = {
             "snapshots": snapshot_rows(judged),
-            "observations": numbered_observations(judged, requested_route, zone).drop("resource_type"),
+            "observations": numbered_observations(judged, requested_route, zone),
         }
         for name, frame in parts.items():
             frame.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
