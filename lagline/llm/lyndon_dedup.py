@@ -214,10 +214,10 @@ def find_repeats(documents: DataFrame, text: str = "text", length: int = LENGTH)
     keyed = documents.select(F.unhex(F.md5(body)).alias("key"), body.alias("text"))
     anchors = staged(_anchors(keyed, length), "anchors")
     place = F.xxhash64("key", "first")
-    shared = (
+    # Stored, so that both sides of the join below are dealt out alone and a hot anchor's rows can be split.
+    shared = staged(
         anchors.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"))
-        .where("a <> b").select("gram", "n")
-    )
+        .where("a <> b").select("gram", "n"), "shared")
     wanted = anchors.join(shared, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "first", "windows", "n")).alias("wanted"))
     bodies = staged(_bodies(keyed.join(wanted, "key").select("key", "text", "wanted"), length), "segments")
     runs = _sorted_runs(bodies, length).unionByName(_counted_runs(bodies, length))
