@@ -69,8 +69,8 @@ WITH tokens AS (
   SELECT doc_id, coalesce(text, '') AS body, row_number() OVER () AS row_key FROM documents
 ), parts AS (
   SELECT doc_id, row_key, body,
-    list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-    list_filter(string_split(body, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    [x FOR x IN regexp_split_to_array(body, '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+    [x FOR x IN string_split(body, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
   FROM tokens
 ), places AS (
   SELECT row_key, unnest(range(1, len(w) - 1)) AS i, w FROM parts WHERE len(w) >= 3
@@ -132,7 +132,29 @@ def op5_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, [x FOR x IN regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents
+), places AS (
+  SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0
+), shingles AS (
+  SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS s FROM places
+), sizes AS (
+  SELECT k, count(*) AS n FROM shingles GROUP BY k
+), links AS (
+  SELECT a, b FROM (SELECT x.k AS a, y.k AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.k <> y.k GROUP BY ALL) p
+  JOIN sizes p1 ON p1.k = a JOIN sizes p2 ON p2.k = b WHERE 100 * c >= 80 * (p1.n + p2.n - c)
+), reach AS (
+  SELECT k AS node, doc_id AS root FROM d UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(root) AS component_id
+FROM d LEFT JOIN sizes USING (k) JOIN reach ON node = d.k GROUP BY d.k, d.doc_id
+"""
+
+
+@query(OP10_SQL)
 def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(documents(spark, sf_dir))
 
@@ -143,7 +165,26 @@ def op8_lyndon_group_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query()
+# Exact by all pairs; the forest finds them all where a leaf holds every vector, as at small scale.
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, label, embedding::DOUBLE[] AS e,
+    embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0 AS valid
+  FROM embeddings
+), links AS (
+  SELECT a.k AS a, b.k AS b FROM v a JOIN v b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e)
+  WHERE a.valid AND b.valid AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT k AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = k)::BIGINT AS n_links, min(root) AS component_id, vec_id = min(root) AS kept
+FROM v JOIN reach ON node = k GROUP BY k, vec_id
+"""
+
+
+@query(OP4_SQL)
 def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
