@@ -89,7 +89,7 @@ WITH tokens AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
-    OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+    OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * n_dup_lines > n_lines) AS kept
 FROM facts
 """
 

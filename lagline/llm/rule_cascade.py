@@ -80,7 +80,7 @@ RULES = (
     Rule("repeated_words", ("n_words", "n_repeat_words"), lambda s: 100 * s["n_repeat_words"] > 50 * s["n_words"], True),
     Rule("symbols", ("n_words", "n_symbols"), lambda s: 10 * s["n_symbols"] > s["n_words"]),
     Rule("word_length", ("n_words", "word_chars"), lambda s: (s["word_chars"] < 2 * s["n_words"]) | (s["word_chars"] > 25 * s["n_words"])),
-    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda s: 10 * s["n_dup_lines"] > 3 * s["n_lines"]),
+    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda s: 2 * s["n_dup_lines"] > s["n_lines"]),
 )
 
 

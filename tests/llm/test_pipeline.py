@@ -35,7 +35,7 @@ def test_each_stage_on_its_own_input(spark, folder):
     for doc_id, text in before:
         words, chars, symbols, dup, repeated = brute.quality(text)
         lines = len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
-        if not (words < 50 or 100 * repeated > 50 * words or 10 * symbols > words or chars < 2 * words or chars > 25 * words or 10 * dup > 3 * lines):
+        if not (words < 50 or 100 * repeated > 50 * words or 10 * symbols > words or chars < 2 * words or chars > 25 * words or 2 * dup > lines):
             passed.append((doc_id, text))
     assert rows_of(kept) == passed
     own = rows_of(kept)
