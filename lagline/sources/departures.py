@@ -59,13 +59,13 @@ def number_records(rows: DataFrame, name: str = "source_record_number") -> DataF
         ).withColumn("_id", F.monotonically_increasing_id())
     )
     before = W.partitionBy("_file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
-    # One row per input split.
+    # One row per input split; their number grows with the input, so the join is left to the planner.
     splits = (
         placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
         .select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        placed.join(F.broadcast(splits), ["_file", "_start"])
+        placed.join(splits, ["_file", "_start"])
         .withColumn(name, F.col("_offset") + F.col("_id") - F.col("_first") + 1)
         .drop("_file", "_start", "_id", "_first", "_offset")
     )
