@@ -170,8 +170,15 @@ def asof_backward(
     Both sides meet in one ordered union per (key, time bucket), so the cost is a sort
     and not key-wise pairs, and a key that owns much of the data still splits by time.
     The last right row of each bucket is carried to the key's next buckets through a
-    table with one row per key and bucket. Null keys or times find nothing.
+    table with one row per key and bucket. Null keys or times find nothing and stay out of
+    the sort, where they would all meet.
     """
+    usable = F.lit(True)
+    for k in keys:
+        usable = usable & F.col(k).isNotNull()
+    can_match = usable & F.col(left_time).isNotNull()
+    unmatched, left = left.where(~can_match), left.where(can_match)
+    right = right.where(usable)
     bucket = lambda moment: F.floor(epoch_seconds(F.col(moment)) / bucket_seconds)
     found = F.struct(F.col(right_time).alias("at"), F.col(tie).alias("tie"), *payload)
     keyed = lambda frame, moment: frame.withColumn("_bucket", bucket(moment))
@@ -203,13 +210,10 @@ def asof_backward(
         .unionByName(asked.withColumn("_found", empty_found).withColumn("_side", F.lit(1)).select(*columns))
     )
     running = (
-        W.partitionBy(*keys, "_bucket").orderBy(F.asc_nulls_first("_at"), "_side")
+        W.partitionBy(*keys, "_bucket").orderBy("_at", "_side")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    answer = F.last("_found", ignorenulls=True).over(running)
-    unusable = F.col("_at").isNull()
-    for k in keys:
-        unusable = unusable | F.col(k).isNull()
-    return (
-        stacked.withColumn(name, F.when(~unusable, answer)).where("_side = 1").select("_left.*", name)
+    answered = (
+        stacked.withColumn(name, F.last("_found", ignorenulls=True).over(running)).where("_side = 1").select("_left.*", name)
     )
+    return answered.unionByName(unmatched.withColumn(name, empty_found))
