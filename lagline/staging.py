@@ -25,10 +25,15 @@ def staged(frame: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Remove every staged folder of this driver; frames that still read one become unusable."""
+def written() -> int:
+    """How many folders this driver holds; a mark for `release`."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Remove the folders staged after the mark `since`; frames that still read one become unusable."""
     removed = 0
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return removed
