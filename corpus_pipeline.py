@@ -10,6 +10,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lagline import staging
 from lagline.llm import lyndon_dedup, packing, parity_join, rule_cascade, sanitize
 from lagline.llm.queries import prepare
 from lagline.session import ensure_checkpoint_dir
@@ -67,7 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
+        path, mark = f"{folder}/{number}-{name}", staging.written()
         stage(spark, docs, sf_dir).write.parquet(path)
+        staging.release(spark, mark)  # the stage is stored; its intermediates are not read again
         docs = spark.read.parquet(path)
     return docs
