@@ -16,13 +16,12 @@ from lagline.llm.components import components
 from lagline.staging import staged
 
 THRESHOLD = 0.98
-TREES = 5
-SPILL = 1.5  # half-width of the overlap, in standard deviations of a projected pair at the threshold
-LEAF_ROWS = 1500  # a node of about so many vectors is not split further
+TREES = 3
+SPILL = 0.75  # half-width of the overlap, in standard deviations of a projected pair at the threshold
+LEAF_ROWS = 3000  # a node of about so many vectors is not split further
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 2_000_000  # bounds of the sample the splits are fitted on
 SAMPLE_LEAST = 64  # a node with fewer sample rows is not split further
 BLOCK = 1024  # vectors of one leaf that one task compares, per side
-PAIRS = 1 << 16
 
 
 class Forest:
@@ -102,60 +101,45 @@ def _routed(classes: DataFrame, forest: Forest) -> DataFrame:
         run, f"class bigint, label {kind}, dim int, members bigint, unit binary, leaves array<bigint>")
 
 
-def _shared_first(left: list, right: list, a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
-    """Whether `leaf` is the first leaf that the two vectors of each pair have in common."""
-    most = max((len(x) for x in left + right), default=0)
-    pad = lambda lists, fill: np.array([list(x) + [fill] * (most - len(x)) for x in lists], np.int64)
-    x, y = pad(left, -1), pad(right, -2)
-    out = np.zeros(len(a), bool)
-    for s in range(0, len(a), PAIRS):
-        p, q = x[a[s:s + PAIRS]], y[b[s:s + PAIRS]]
-        common = (p[:, :, None] == q[:, None, :]).any(axis=2)
-        out[s:s + PAIRS] = np.where(common, p, np.iinfo(np.int64).max).min(axis=1) == leaf
+def _earlier(leaves: list, leaf: int) -> np.ndarray:
+    """0/1 by vector and leaf, for the leaves before `leaf`: a positive product of two rows says that they met before."""
+    lists = [[x for x in own if x < leaf] for own in leaves]
+    known = {x: k for k, x in enumerate(sorted({x for own in lists for x in own}))}
+    out = np.zeros((len(lists), max(1, len(known))), np.float32)
+    for row, own in enumerate(lists):
+        out[row, [known[x] for x in own]] = 1
     return out
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        least = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, least)
-        np.minimum.at(root, b, least)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _compared(key: tuple, rows: list, threshold: float):
     """(class, links, root): links counted here for the first time, and a class of the same local group."""
     leaf, i, j = key[2], key[3], key[4]
     rows = sorted(rows, key=lambda r: r[1])
     block, name, members = (np.array([r[k] for r in rows]) for k in range(3))
     unit = np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(len(rows), -1)
-    leaves = [r[4] for r in rows]
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    links, ends = np.zeros(len(rows), np.int64), []
-    lists_left, lists_right = [leaves[x] for x in left], [leaves[x] for x in right]
-    for s in range(0, len(left), 256):
-        close = unit[left[s:s + 256]] @ unit[right].T >= threshold
-        a, b = np.nonzero(close)
-        a = a + s
-        if i == j:
-            keep = b > a
-            a, b = a[keep], b[keep]
-        if not len(a):
-            continue
-        first = _shared_first(lists_left, lists_right, a, b, leaf)
-        x, y = left[a], right[b]
-        np.add.at(links, x[first], members[y[first]])
-        np.add.at(links, y[first], members[x[first]])
-        ends.append((x, y))
-    if ends:
-        x, y = (np.concatenate(e) for e in zip(*ends))
-        root = _local_roots(len(rows), x, y)
-        some = np.flatnonzero((links > 0) | (root != np.arange(len(rows))))
-        yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(links[some]), pa.array(name[root[some]])], ["class", "links", "root"])
+    close = unit[left] @ unit[right].T >= threshold
+    if i == j:
+        np.fill_diagonal(close, False)
+    if not close.any():
+        return
+    before = _earlier([r[4] for r in rows], leaf)
+    fresh = close & (before[left] @ before[right].T == 0)
+    links = np.zeros(len(rows), np.int64)
+    links[left] += fresh @ members[right]
+    if i != j:
+        links[right] += fresh.T @ members[left]
+    # The least row that each row reaches, through both sides until nothing changes.
+    root = np.arange(len(rows))
+    while True:
+        last = root.copy()
+        root[left] = np.minimum(root[left], np.where(close, root[right][None, :], len(rows)).min(axis=1))
+        root[right] = np.minimum(root[right], np.where(close, root[left][:, None], len(rows)).min(axis=0))
+        root = root[root]
+        if (root == last).all():
+            break
+    some = np.flatnonzero((links > 0) | (root != np.arange(len(rows))))
+    yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(links[some]), pa.array(name[root[some]])], ["class", "links", "root"])
 
 
 def link_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
