@@ -25,15 +25,17 @@ def staged(frame: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def written() -> int:
-    """How many folders this driver holds; a mark for `release`."""
-    return len(_WRITTEN)
+def written(since: int = 0) -> list[str]:
+    """Folders that this driver has staged, from the given one on."""
+    return _WRITTEN[since:]
 
 
-def release(spark: SparkSession, since: int = 0) -> int:
-    """Remove the folders staged after the mark `since`; frames that still read one become unusable."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Remove the given staged folders, or all; frames that still read one become unusable."""
     removed = 0
-    while len(_WRITTEN) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in list(_WRITTEN if paths is None else paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
     return removed
