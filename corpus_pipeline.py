@@ -5,6 +5,7 @@ Each stage reads what its predecessor kept and is written as Parquet before the
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
@@ -16,6 +17,27 @@ from lagline.llm.queries import prepare
 from lagline.session import ensure_checkpoint_dir
 
 
+_LEFT: list[str] = []
+
+
+def stage_of(function):
+    """A stage that first removes what the stages before it staged.
+
+    Each stage is written before the next one starts, so those intermediates are not read again.
+    """
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        staging.release(spark, _LEFT)
+        mark = len(staging.written())
+        frame = function(spark, docs, sf_dir)
+        _LEFT[:] = staging.written(mark)
+        return frame
+
+    return run_stage
+
+
 def with_text(frame: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The columns of `docs`, with another text and its number of characters."""
     made = {"text": F.col(text)}
@@ -24,34 +46,34 @@ def with_text(frame: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return frame.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
 
 
+@stage_of
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule, unchanged. A null or empty text fails."""
-    prepare(spark)
     judged = rule_cascade.apply_cascade(docs, rule_cascade.plan_cascade(docs))
     return judged.where("kept").select(*docs.columns)
 
 
+@stage_of
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the least id."""
-    prepare(spark)
     return parity_join.keep_one(docs).select(*docs.columns)
 
 
+@stage_of
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 400 bytes or more that stand elsewhere too."""
-    prepare(spark)
     return with_text(lyndon_dedup.remove_repeats(docs), docs, "kept_text")
 
 
+@stage_of
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and the terms that disclose it masked."""
-    prepare(spark)
     return with_text(sanitize.mask(sanitize.find(docs)), docs, "text")
 
 
+@stage_of
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids, one sequence each."""
-    prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -68,8 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
-        path, mark = f"{folder}/{number}-{name}", staging.written()
+        path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        staging.release(spark, mark)  # the stage is stored; its intermediates are not read again
         docs = spark.read.parquet(path)
     return docs
