@@ -163,7 +163,9 @@ def link_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     facts = classes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     total, width = facts[0], facts[1] or 1
     most = max(SAMPLE_LEAST, min(SAMPLE_ROWS, SAMPLE_VALUES // width))
-    picked = [r[0] for r in classes.select("vector").orderBy(F.xxhash64("vector")).limit(most).collect()]
+    # Chosen by hash, so that no task sends more than its share; twice the bound is never exceeded.
+    chance = int(min(1.0, most / max(total, 1)) * (1 << 30))
+    picked = [r[0] for r in classes.select("vector").where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < chance).limit(2 * most).collect()]
     sample = unit_vectors(np.array([v + [0.0] * (width - len(v)) for v in picked])) if picked else np.zeros((0, 1))
     forest = Forest(sample, total, trees, spill, threshold, leaf_rows)
     routed = staged(_routed(classes, forest), "routed")
