@@ -306,8 +306,10 @@ def labelled(pages: list[str]) -> list[tuple[list[np.ndarray], list[int]]]:
 
 
 def fit(pages: DataFrame, html_col: str = "html", limit: int = TRAIN_PAGES) -> Chain:
-    """A chain from at most `limit` pages (the least by hash of the page) and the skeletons."""
-    picked = pages.select(html_col).where(F.col(html_col).isNotNull()).orderBy(F.xxhash64(html_col)).limit(limit).collect()
+    """A chain from about `limit` distinct pages, chosen by hash and never over twice as many, and the skeletons."""
+    chance = int(min(1.0, limit / max(pages.count(), 1)) * (1 << 30))
+    chosen = F.pmod(F.xxhash64(html_col), F.lit(1 << 30)) < chance
+    picked = pages.select(html_col).where(F.col(html_col).isNotNull() & chosen).dropDuplicates([html_col]).limit(2 * limit).collect()
     return train(labelled([r[0] for r in picked]))
 
 
