@@ -22,6 +22,7 @@ from lagline.staging import staged
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100  # similarity as a ratio of whole numbers
 LEAST_BITS = 512  # of the shortest sketch for the Hamming test
+MERGE_ROUNDS = 2  # of closest pairs between components, before all pairs that are left
 BROADCAST_ROWS = 200_000  # names of texts, 60 bytes each
 BLOCK = 512  # sets of one group that are compared in one task, per side
 
@@ -287,9 +288,12 @@ def _verified(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, numerator:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "t_a", "t_b").mapInArrow(judge, "a bigint, b bigint")
 
 
-def _across(stars: DataFrame, roots: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _across(stars: DataFrame, roots: DataFrame, classes: DataFrame, numerator: int, denominator: int, nearest: bool) -> DataFrame:
     """Possible pairs between different components that some group holds together.
 
+    With `nearest`, only the closest one of each member of a block; it says which components
+    probably meet, at a cost that does not follow the square of a group.
+
     Every group is part of its leader's star. A star whose members all share its leader's
     component is settled; in the others, members are compared in blocks, and only pairs of
     different components that pass sizes and Hamming distance leave the task.
@@ -312,10 +316,10 @@ def _across(stars: DataFrame, roots: DataFrame, classes: DataFrame, numerator: i
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != group:
-                    yield from _compared(group, rows, numerator, denominator)
+                    yield from _compared(group, rows, numerator, denominator, nearest)
                     group, rows = row[:3], []
                 rows.append(row[3:])
-        yield from _compared(group, rows, numerator, denominator)
+        yield from _compared(group, rows, numerator, denominator, nearest)
 
     return (
         dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
@@ -323,7 +327,7 @@ def _across(stars: DataFrame, roots: DataFrame, classes: DataFrame, numerator: i
     )
 
 
-def _compared(group, rows: list, numerator: int, denominator: int):
+def _compared(group, rows: list, numerator: int, denominator: int, nearest: bool):
     """Possible pairs of two blocks; sketches of different length meet at the shorter one."""
     if not rows:
         return
@@ -346,7 +350,10 @@ def _compared(group, rows: list, numerator: int, denominator: int):
             if not len(y):
                 continue
             far = np.bitwise_count(table[later] ^ table[k]).sum(axis=1).astype(np.int64)
-            y = y[_possible(far, n[x], n[y], numerator, denominator)]
+            possible = _possible(far, n[x], n[y], numerator, denominator)
+            y, far = y[possible], far[possible]
+            if nearest and len(y):
+                y = y[[int(np.argmin(far))]]
             if len(y):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(member[x], member[y])), pa.array(np.maximum(member[x], member[y]))], ["a", "b"])
@@ -372,9 +379,12 @@ def text_components(documents: DataFrame, text_col: str = "text", numerator: int
     first = stars.groupBy("member").agg(F.max_by("leader", F.struct("n", F.negative("leader"))).alias("leader"))
     first = first.select(F.col("leader").alias("a"), F.col("member").alias("b"))
     links = staged(_verified(keyed, classes, _close(classes, first, numerator, denominator), numerator, denominator), "links")
-    rest = _across(stars, components(links), classes, numerator, denominator)
-    more = _verified(keyed, classes, rest, numerator, denominator)
-    roots = components(links.unionByName(more)).withColumnRenamed("node", "class")
+    # Components that are close merge first, by few pairs; then every pair left between two is looked at.
+    for nearest in (*[True] * MERGE_ROUNDS, False):
+        rest = _across(stars, components(links), classes, numerator, denominator, nearest)
+        more = _verified(keyed, classes, rest, numerator, denominator)
+        links = staged(links.unionByName(more).distinct(), "links")
+    roots = components(links).withColumnRenamed("node", "class")
     return rows.join(roots, "class", "left").select("key", "n", F.coalesce("root", "class").alias("root"))
 
 
