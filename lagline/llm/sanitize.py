@@ -1,16 +1,20 @@
 """Personal data: fixed forms, and terms that give a protected entity away.
 
 Fixed forms (e-mail, IPv4, card, phone) are entities. From the whole corpus come counts of
-entities, of words and of words near an entity; the pointwise mutual information of a word
+entities, of words and of texts that hold both; the pointwise mutual information of a word
 and an entity, as a share of the entity's own information, says how much of the entity the
-word discloses. Where the entity is masked, words near it above a threshold are generalised
-to their form, and words that disclose nearly all of it are removed.
+word discloses. In texts with the entity, words above a threshold are generalised to their
+form, and words that disclose nearly all of it are removed, wherever they stand.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -20,8 +24,8 @@ from lagline.llm.kit import map_rows
 from lagline.staging import staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR = 8  # words on either side of an entity
-SUPPORT = 3  # different surroundings in which word and entity must meet
+NEAR = 8  # words on either side of an entity that make its surroundings
+SUPPORT = 3  # different surroundings of the entity in texts with the word
 GENERALISE, REMOVE = 0.6, 0.9  # disclosed share of an entity's information
 
 # The base forms. Possessive digits only save retries that cannot match.
@@ -81,16 +85,30 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return KINDS[kind] + ":" + (value.lower() if kind < 2 else re.sub(r"\D", "", value))
 
 
-def nearby(text: str, spans: list[tuple[int, int, int]]):
-    """(entity, start, end) of each word within NEAR words of a base span, words inside spans left out."""
-    inside = [(s, e) for s, _, e in spans]
+def words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of each word that overlaps no base span, in order; `spans` are sorted."""
+    k = end = 0  # end: the furthest one of the spans before k
+    for m in WORD.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            end = max(end, spans[k][2])
+            k += 1
+        if end <= m.start():
+            yield m.start(), m.end()
+
+
+def places(text: str, spans: list[tuple[int, int, int]]) -> dict[str, int]:
+    """Each entity with a fingerprint of the words within NEAR words of it, words inside spans left out."""
+    ends = list(accumulate((e for _, _, e in spans), max))
+    starts = [s for s, _, _ in spans]
+    around: dict[str, list[str]] = {}
     for span in spans:
+        found = around.setdefault(entity(text, span), [])
         # A window of text that holds NEAR words unless they are extremely long; then it grows.
-        for words in (_left(text, span[0]), _right(text, span[2])):
-            name = entity(text, span)
-            for start, end in words:
-                if not any(s < end and start < e for s, e in inside):
-                    yield name, start, end
+        for start, end in (*_left(text, span[0]), *_right(text, span[2])):
+            before = bisect_left(starts, end)  # spans that start before the word ends
+            if not before or ends[before - 1] <= start:
+                found.append(text[start:end].lower())
+    return {name: _fingerprint(" ".join(found)) for name, found in around.items()}
 
 
 def _right(text: str, at: int) -> list[tuple[int, int]]:
@@ -114,89 +132,112 @@ def _left(text: str, at: int) -> list[tuple[int, int]]:
         width *= 2
 
 
+def vocabulary(text: str) -> set[str]:
+    """The distinct words in lower case, each lowered by itself as `words` are."""
+    if "\u0130" in text or "\u03a3" in text:  # their lower case differs by place
+        return {w.lower() for w in WORD.findall(text)}
+    return set(WORD.findall(text.lower()))
+
+
 def _counts(documents: DataFrame, text: str) -> DataFrame:
-    """(entity, term, surroundings, n): document counts of terms and of entities, and meetings.
+    """Rows of three kinds, summed within a batch: (term, n); (entity, key, place, n); (key, body) of a text with entities.
 
-    Terms have entity '', entities have term ''. Each task sums before the shuffle.
+    n counts documents, key is the md5 of the text, place the fingerprint of an entity's surroundings in it.
     """
+    schema = pa.schema([("entity", pa.string()), ("term", pa.string()), ("key", pa.string()), ("place", pa.int64()), ("n", pa.int64()), ("body", pa.string())])
+
+    def rows(**columns):
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * size), f.type) for f in schema], schema=schema)
 
     def run(batches):
         for batch in batches:
-            tally: Counter = Counter()
+            terms: Counter = Counter()
+            held: Counter = Counter()
+            bodies: dict[str, str] = {}
             for value in batch.column(0):
                 body = value.as_py() or ""
-                tally.update(("", w, 0) for w in set(WORD.findall(body.lower())))
+                terms.update(vocabulary(body))
                 spans = base_spans(body)
                 if not spans:
                     continue
-                tally.update((e, "", 0) for e in {entity(body, s) for s in spans})
-                around: dict[str, list[str]] = {}
-                for name, start, end in nearby(body, spans):
-                    around.setdefault(name, []).append(body[start:end].lower())
-                for name, terms in around.items():
-                    place = _fingerprint(" ".join(terms))
-                    tally.update((name, t, place) for t in set(terms))
-            if tally:
-                keys = list(tally)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                    pa.array([k[2] for k in keys], pa.int64()), pa.array([tally[k] for k in keys], pa.int64()),
-                ], ["entity", "term", "place", "n"])
-
-    return documents.select(text).mapInArrow(run, "entity string, term string, place bigint, n bigint")
+                key = hashlib.md5(body.encode()).hexdigest()
+                bodies[key] = body
+                held.update((name, key, place) for name, place in places(body, spans).items())
+            if terms:
+                yield rows(term=list(terms), n=list(terms.values()))
+            if bodies:
+                name, key, place = zip(*held)
+                yield rows(entity=name, key=key, place=place, n=list(held.values()))
+                yield rows(key=list(bodies), body=list(bodies.values()))
+
+    return documents.select(text).mapInArrow(run, "entity string, term string, key string, place bigint, n bigint, body string")
 
 
 def _fingerprint(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def disclosures(documents: DataFrame, text: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): words that disclose at least `least` of an entity they stand near.
+def _spread(batches):
+    """(key, term) of every distinct word outside base spans."""
+    for batch in batches:
+        for key, body in zip(batch.column(0), batch.column(1)):
+            body = body.as_py()
+            terms = list({body[s:e].lower() for s, e in words(body, base_spans(body))})
+            if terms:
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(terms)), pa.array(terms)], ["key", "term"])
+
+
+def _meetings(documents: DataFrame, text: str, support: int, least: float) -> DataFrame:
+    """(key, entity, term, place, n, n_entity, n_term, n_all): what meets in a text, wherever in it.
 
-    share = PMI(term, entity) / information(entity), over document counts of all rows. A pair
-    counts only if it meets in `support` different surroundings, so copies of one text prove nothing.
+    Left out is what cannot be told: entities with fewer than `support` surroundings, and words in so
+    many documents that a share of `least` is out of reach even if all the entity's documents held them.
     """
-    counted = staged(_counts(documents, text).groupBy("entity", "term", "place").agg(F.sum("n").alias("n")), "counts")
-    met = (
-        counted.where((F.col("entity") != "") & (F.col("term") != ""))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("places"))
-        .where(F.col("places") >= support)
-    )
-    terms = counted.where(F.col("entity") == "").select("term", F.col("n").alias("n_term"))
-    entities = counted.where(F.col("term") == "").select("entity", F.col("n").alias("n_entity"))
+    counted = staged(_counts(documents, text), "counts")
+    held = staged(counted.where("entity is not null").groupBy("entity", "key", "place").agg(F.sum("n").alias("n")), "held")
     total = documents.agg(F.count(F.lit(1)).alias("n_all"))  # one row
+    often = staged(
+        held.groupBy("entity", "place").agg(F.sum("n").alias("n"))
+        .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("places"))
+        .where(F.col("places") >= support).drop("places")
+        .join(F.broadcast(total), F.lit(True)).where(F.col("n_entity") < F.col("n_all")), "often")
+    known = staged(held.join(often, "entity"), "known")
+    bodies = (
+        counted.where("body is not null").select("key", "body")
+        .join(known.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    )
+    terms = (
+        counted.where("term is not null").groupBy("term").agg(F.sum("n").alias("n_term"))
+        .where(F.col("n_term") >= support)
+    )
+    spread = bodies.mapInArrow(_spread, "key string, term string").join(terms, "term")
+    most = F.pow("n_all", F.lit(1 - least)) * F.pow("n_entity", F.lit(least)) * (1 + 1e-9)
+    return staged(known.join(spread, "key").where(F.col("n_term") <= most), "meetings")
+
+
+def _told(meetings: DataFrame, support: int, least: float) -> DataFrame:
+    counts = ["n_entity", "n_term", "n_all"]
     share = F.log(F.col("n_both") * F.col("n_all") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.col("n_all") / F.col("n_entity"))
     return (
-        met.join(entities, "entity").join(terms, "term").join(F.broadcast(total), F.lit(True))
-        .where(F.col("n_entity") < F.col("n_all"))
+        meetings.groupBy("entity", "term", *counts, "place").agg(F.sum("n").alias("n"))
+        .groupBy("entity", "term", *counts).agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("places"))
+        .where(F.col("places") >= support)
         .select("entity", "term", share.alias("share")).where(F.col("share") >= least)
     )
 
 
-SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())]))
-NEAR_TYPE = T.ArrayType(T.StructType([
-    T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-]))
-
-
-def detect(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Add `base` (start, kind number, end) and `near` (entity, term, start, end) to every row."""
-    span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    word = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    at = documents.columns.index(text)
-
-    def run(chunk):
-        base, near = [], []
-        for value in chunk.column(at):
-            body = value.as_py() or ""
-            spans = base_spans(body)
-            base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-            near.append([{"entity": n, "term": body[s:e].lower(), "start": s, "end": e} for n, s, e in nearby(body, spans)])
-        return [pa.array(base, pa.list_(span)), pa.array(near, pa.list_(word))]
+def disclosures(documents: DataFrame, text: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """(entity, term, share): words that disclose at least `least` of an entity whose documents they stand in.
 
-    return map_rows(documents, run, [("base", SPAN), ("near", NEAR_TYPE)], text)
+    share = PMI(term, entity) / information(entity), over document counts of all rows and whole texts.
+    A pair counts only if it meets while the entity has `support` different surroundings, so copies of
+    one text prove nothing.
+    """
+    return _told(_meetings(documents, text, support, least), support, least)
 
 
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())]))
 ALL_SPANS = T.ArrayType(T.StructType([
     T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("removed", T.BooleanType()),
 ]))
@@ -206,23 +247,40 @@ def find(documents: DataFrame, text: str = "text", support: int = SUPPORT, gener
     """Add `base` and `spans`: (start, kind, end, removed) of base forms and disclosing terms, in order.
 
     A null or empty text has no spans. Places are code points, ends exclusive. Spans belong to
-    a text, so repeated rows agree, whatever their ids. A term that two entities disclose is one
-    span; terms never overlap base spans. Columns called base or spans are replaced.
+    a text, so repeated rows agree, whatever their ids. A term that an entity of the text discloses
+    is a span wherever it stands in that text; one that two entities disclose is one span. Terms
+    never overlap base spans. Columns called base or spans are replaced.
     """
-    documents = documents.drop("base", "spans", "near")
-    found = detect(documents.withColumn("__key", F.md5(F.coalesce(text, F.lit("")))), text)
-    told = disclosures(documents, text, support, generalise)
-    terms = (
-        found.where(F.size("near") > 0).select("__key", "near").dropDuplicates(["__key"])
-        .select("__key", F.inline("near")).join(told, ["entity", "term"])
-        .groupBy("__key", "start", "end").agg(F.max("share").alias("share"))
-        .groupBy("__key").agg(F.collect_list(F.struct(
-            "start", F.lit(len(KINDS) - 1).alias("kind"), "end", (F.col("share") >= remove).alias("removed"))).alias("__terms"))
-    )
-    base = F.transform("base", lambda s: F.struct(
-        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("removed")))
-    spans = F.sort_array(F.concat(base, F.coalesce("__terms", F.array().cast(ALL_SPANS))))
-    return found.join(terms, "__key", "left").select(*documents.columns, "base", spans.alias("spans"))
+    documents = documents.drop("base", "spans")
+    meetings = _meetings(documents, text, support, generalise)
+    told = staged(_told(meetings, support, generalise), "told")
+    terms = staged(
+        meetings.join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+        .groupBy(F.col("key").alias("__key"))
+        .agg(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("removed"))).alias("__terms")), "terms")
+    keyed = documents.withColumn("__key", F.md5(F.coalesce(text, F.lit("")))).join(terms, "__key", "left")
+    at, terms_at = keyed.columns.index(text), keyed.columns.index("__terms")
+    span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("removed", pa.bool_())])
+
+    def run(chunk):
+        out = []
+        for value, disclosing in zip(chunk.column(at), chunk.column(terms_at)):
+            body = value.as_py() or ""
+            base = base_spans(body)
+            spans = [(*s, False) for s in base]
+            removed = {t["term"]: t["removed"] for t in disclosing.as_py() or ()}
+            if removed:
+                for start, end in words(body, base):
+                    if (term := body[start:end].lower()) in removed:
+                        spans.append((start, len(KINDS) - 1, end, removed[term]))
+                spans.sort()
+            out.append([dict(zip(("start", "kind", "end", "removed"), s)) for s in spans])
+        return [pa.array(out, pa.list_(span))]
+
+    found = map_rows(keyed, run, [("spans", ALL_SPANS)], text)
+    base = F.transform(F.filter("spans", lambda s: s["kind"] < len(KINDS) - 1), lambda s: F.struct(
+        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return found.select(*documents.columns, base.cast(SPAN).alias("base"), "spans")
 
 
 def mask(found: DataFrame, text: str = "text") -> DataFrame:
@@ -236,9 +294,11 @@ def mask(found: DataFrame, text: str = "text") -> DataFrame:
         out = []
         for value, spans in zip(chunk.column(at), chunk.column(spans_at)):
             body = value.as_py()
-            for span in reversed(_apart(spans.as_py() or [])) if body else ():
-                body = body[:span["start"]] + _form(body[span["start"]:span["end"]], span) + body[span["end"]:]
-            out.append(body)
+            done, parts = 0, []
+            for span in _apart(spans.as_py() or []) if body else ():
+                parts += body[done:span["start"]], _form(body[span["start"]:span["end"]], span)
+                done = span["end"]
+            out.append("".join(parts) + body[done:] if parts else body)
         return [pa.array(out, pa.string())]
 
     kept = found.columns

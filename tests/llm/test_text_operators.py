@@ -140,6 +140,26 @@ def test_a_term_that_stands_for_an_entity_is_masked(spark):
     assert masked[2000].text == "the same text names Quux near [EMAIL] again"  # copies of one text prove nothing
 
 
+def test_a_term_is_masked_wherever_it_stands_in_the_text(spark):
+    filler = lambda k, n=30: " ".join(f"common{(k * 31 + j * 17) % 50}" for j in range(n))
+    rows = [(k, filler(k)) for k in range(300)]
+    # 50 words away and named twice; near the address and again in the signature; far away in copies of one text.
+    rows += [(1000 + k, f"Zorblatt {filler(k, 50)} at z.b@mail.org {filler(k + 5)} signed ZORBLATT") for k in range(5)]
+    rows += [(2000 + k, f"{filler(k)} to Grumbel at g@mail.org {filler(k + 5, 40)} yours Grumbel") for k in range(5)]
+    rows += [(3000 + k, f"Quux {filler(1, 50)} near q@mail.org again") for k in range(5)]
+    rows += [(4000, f"{filler(3)} Wexford {filler(4)}")] + [(4001 + k, f"Wexford {filler(k)} w{k}@mail.org") for k in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    told = {(r.entity, r.term) for r in sanitize.disclosures(frame).collect()}
+    assert ("email:z.b@mail.org", "zorblatt") in told and ("email:g@mail.org", "grumbel") in told
+    assert not {t for _, t in told} & {"quux", "wexford"}
+    masked = {r.doc_id: r for r in sanitize.mask(sanitize.find(frame)).collect()}
+    for k in range(5):
+        assert "zorblatt" not in masked[1000 + k].text.lower() and "Grumbel" not in masked[2000 + k].text
+        assert sum(s.kind == 4 and s.removed and s.end - s.start == 8 for s in masked[1000 + k].spans) == 2
+        assert masked[3000 + k].text.startswith("Quux") and "common" in masked[1000 + k].text
+    assert masked[4000].text == dict(rows)[4000]
+
+
 @pytest.fixture(scope="module")
 def files():
     import public_tokenizers
