@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -21,7 +22,8 @@ from lagline.staging import staged
 class Recipe:
     """One candidate: tree depth, tree limit and how categories enter the trees.
 
-    `iterations` is a safety limit; with validation rows, they decide when to stop.
+    `iterations` is a safety limit; with validation rows, they decide when to stop: once the
+    `patience` trees after the best one have not improved on it.
     """
 
     name: str = "reference"
@@ -31,6 +33,7 @@ class Recipe:
     learning_rate: float = 0.1
     max_bins: int = 256
     seed: int = 42
+    patience: int = 80
 
     def __post_init__(self):
         if self.encoding not in ("one_hot", "native"):
@@ -51,10 +54,13 @@ def encoder(recipe: Recipe) -> Pipeline:
 
 
 def fit_trees(training: DataFrame, recipe: Recipe, validation: DataFrame | None = None) -> PipelineModel:
-    """Absolute-loss boosting; with `validation` rows it stops when they no longer improve.
+    """Absolute-loss boosting; with `validation` rows it keeps the trees up to their best one.
 
     Encoders see training rows only. The encoded rows are stored once, as every tree
-    reads them again.
+    reads them again. Later trees fit the signs of errors, so labels are in units of their own
+    mean absolute deviation while trees grow, and the trees' weights bring seconds back.
+    Fits cannot be resumed, but a longer one begins with the same trees: sizes double until
+    patience has run out.
     """
     train = with_features(training).withColumn("_holdout", F.lit(False))
     rows = train
@@ -62,16 +68,47 @@ def fit_trees(training: DataFrame, recipe: Recipe, validation: DataFrame | None
         rows = rows.unionByName(with_features(validation).withColumn("_holdout", F.lit(True)), allowMissingColumns=True)
     encoding = encoder(recipe).fit(train)
     widest = max(map(len, encoding.stages[0].labelsArray)) + 1  # unseen values share one more slot
-    label = F.col("delay_seconds").cast("double").alias("label")
-    encoded = staged(encoding.transform(rows).select("features", label, "_holdout"))
-    trees = GBTRegressor(
-        lossType="absolute", maxDepth=recipe.depth, maxIter=recipe.iterations, stepSize=recipe.learning_rate,
-        maxBins=max(recipe.max_bins, widest), seed=recipe.seed, predictionCol="prediction_boosted",
-        checkpointInterval=5, cacheNodeIds=False,
-    )
-    if validation is not None:
-        trees = trees.setValidationIndicatorCol("_holdout")
-    return PipelineModel(stages=[*encoding.stages, trees.fit(encoded)])
+    label = F.col("delay_seconds").cast("double")
+    middle = training.agg(F.percentile(label, 0.5)).first()[0]
+    unit = training.agg(F.avg(F.abs(label - middle))).first()[0] or 1.0
+    encoded = staged(encoding.transform(rows).select("features", (label / unit).alias("label"), "_holdout"))
+    grown, held = encoded.where("not _holdout"), encoded.where("_holdout")
+    size = recipe.iterations if validation is None else min(recipe.iterations, recipe.patience + recipe.patience // 4 + 1)
+    while True:
+        trees = GBTRegressor(
+            lossType="absolute", maxDepth=recipe.depth, maxIter=size, stepSize=recipe.learning_rate,
+            maxBins=max(recipe.max_bins, widest), seed=recipe.seed, predictionCol="prediction_boosted",
+            checkpointInterval=5, cacheNodeIds=False,
+        ).fit(grown)
+        kept = size
+        if validation is not None:
+            kept = best_size(trees.evaluateEachIteration(held, "absolute"), recipe.patience)
+        if validation is None or size == recipe.iterations or kept + recipe.patience <= size:
+            return PipelineModel(stages=[*encoding.stages, _first_trees(trees, kept, unit)])
+        size = min(recipe.iterations, 2 * size)
+
+
+def best_size(errors: list[float], patience: int) -> int:
+    """Trees up to the first best error that none of the next `patience` improves on."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
+
+
+def _first_trees(model: GBTRegressionModel, kept: int, unit: float) -> GBTRegressionModel:
+    """The first `kept` trees, their weights times `unit`."""
+    java, context = model._java_obj, SparkContext._active_spark_context
+    package = context._jvm.org.apache.spark.ml.regression
+    trees = context._gateway.new_array(package.DecisionTreeRegressionModel, kept)
+    weights = context._gateway.new_array(context._jvm.double, kept)
+    for k, (tree, weight) in enumerate(zip(java.trees()[:kept], model.treeWeights)):
+        trees[k], weights[k] = tree, weight * unit
+    short = GBTRegressionModel(package.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
+    return short.setPredictionCol(model.getPredictionCol())
 
 
 def tree_count(model: PipelineModel) -> int:
@@ -79,8 +116,11 @@ def tree_count(model: PipelineModel) -> int:
 
 
 def stopped_by(model: PipelineModel, recipe: Recipe) -> str:
-    """`cap` if the tree limit ended the fit, else `validation`."""
-    return "cap" if tree_count(model) >= recipe.iterations else "validation"
+    """`validation` if the patience after the last tree kept ran out within the tree limit, else `cap`.
+
+    No tolerance ends a fit: any lower validation error counts as better.
+    """
+    return "cap" if tree_count(model) + recipe.patience > recipe.iterations else "validation"
 
 
 def _settled(records: DataFrame, allow_cap: bool) -> DataFrame:

@@ -157,6 +157,19 @@ def test_boosted_trees_learn_and_tune(spark):
     assert all(r["n"] == 120 for r in out.values()) and out["selected"]["mae_seconds"] < 40
 
 
+def test_boosting_goes_on_while_validation_improves(spark):
+    rows_ = departures(spark, 300).withColumn("delay_seconds", F.expr("600 * int(substr(stop_number, 2)) + 40 * hour"))
+    recipe = boosted.Recipe(depth=2, iterations=40, learning_rate=0.2, patience=5)
+    model, records = boosted.select_depth(rows_, rows_, [recipe], allow_cap=True)
+    alone = boosted.fit_trees(rows_, boosted.Recipe(depth=2, iterations=1))
+    record = records.first()
+    assert record["tree_count"] > 5 and record["mae_seconds"] < 0.8 * boosted._mae(boosted.score(alone, rows_))
+    assert abs(record["mae_seconds"] - boosted._mae(boosted.score(model, rows_))) < 1e-6
+    assert record["stopped_by"] == ("cap" if record["tree_count"] > 35 else "validation")
+    assert boosted.best_size([5.0, 4.0, 4.5, 4.2, 3.9, 4.0, 4.0, 1.0], 2) == 2
+    assert boosted.best_size([5.0, 4.0, 4.5, 4.2, 3.9, 4.0, 4.0, 1.0], 3) == 8
+
+
 def test_scoring_reports_unseen_and_importance(spark):
     train = departures(spark, 200)
     model = boosted.fit_trees(train, boosted.Recipe(depth=3, iterations=2))
