@@ -25,7 +25,8 @@ FEATURES = 1 << 12  # hashed feature space
 
 # HTML's void, raw-text and block-level elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg math iframe object textarea select title canvas audio video".split())
+RAW = set("script style noscript iframe textarea title".split())
+INERT = set("template svg math object select canvas audio video".split())  # hidden up to their end or their parent's
 BLOCK = set("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option
     p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -34,7 +35,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SCOPE = set("ul ol table dl div article section main aside nav body form td th blockquote header footer".split())
 P_ENDS = BLOCK - {"p", "html", "head", "body", "button", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "option", "optgroup"}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)|[^=>]++|=)*+)>|<[!?/][^>]*>""", re.S)
 NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 HIDDEN = re.compile(r"""\shidden(?=[\s>=]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 WHITE = re.compile(r"\s+")
@@ -60,6 +61,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
     at, linked, anchors, hidden = 0, 0, 0, 0
+    inert = -1  # place in the stack of the outermost open one of INERT
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -76,7 +78,9 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal hidden
+        nonlocal hidden, inert
+        if to <= inert:
+            inert = -1
         for _, names in stack[to:]:
             hidden -= "\0" in names
         del stack[to:]
@@ -96,19 +100,29 @@ def blocks(page: str) -> list[Block]:
         if match[1]:
             if tag == "a":
                 anchors = max(0, anchors - 1)
-            elif tag in BLOCK:
-                close()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        pop(k)
-                        break
+            elif tag in BLOCK or tag in INERT:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+                if 0 <= k < inert:
+                    pop(inert)
+                if tag in BLOCK and inert < 0:
+                    close()
+                if k >= 0:
+                    pop(k)
             continue
         if tag in RAW:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else n
+            continue
+        if tag in INERT:
             if not match[3].endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
-            if tag in BLOCK:
-                close()
+                if inert < 0:
+                    inert = len(stack)
+                stack.append((tag, frozenset({"\0"})))
+                hidden += 1
+            continue
+        if inert >= 0:
+            if tag in BLOCK and tag not in VOID:
+                stack.append((tag, frozenset()))
             continue
         if tag == "br" or tag in ("img", "wbr"):
             add("\n" if tag == "br" else "")

@@ -30,6 +30,15 @@ def test_blocks():
     assert inner.tags == ("article", "p") and "post" in inner.names and inner.linked == 4
 
 
+def test_malformed_pages_keep_their_text():
+    assert texts("<div><video src=x/></div><article><p>Real text</p></article>") == ["Real text"]
+    assert texts("<form><select><option>a</form><p>Real text") == ["Real text"]
+    assert texts("<p title=John's>It's one</p><p>two's</p>") == ["It's one", "two's"]
+    assert texts('<p title="a>b" id=c\'d="e>f<p id = \'>\'>g') == ["f", "g"]
+    assert texts("<p>a <object><p>alt</p><br></object> b</p>") == ["a b"]
+    assert texts("<p>one</p><script>open <p>two") == ["one"]
+
+
 def brute_path(chain, page):
     score = chain.scores(page)
     total = lambda y: sum(score[t, v] for t, v in enumerate(y)) + sum(chain.steps[a, b] for a, b in zip(y, y[1:]))
