@@ -4,7 +4,7 @@ Every 400-byte window has an anchor, its least k-gram by hash, so equal windows
 anchors at equal places. The windows of one anchor form a segment; segments whose anchor
 k-gram stands once in the corpus cannot repeat and go no further. The rest meet by anchor.
 Their bytes are read as content-defined phrases, a suffix array over the phrases finds
-which runs of phrases stand twice, and windows inside such runs are compared on their bytes.
+which runs of phrases stand twice, and windows inside such runs are compared by 64-bit hashes of their bytes.
 Anchors with very many segments take another exact way: their windows are counted by hash.
 """
 
