@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lagline.llm import bpe_codec, html_crf, license_scan, lyndon_dedup, packing, parity_join, rp_forest, rule_cascade, sanitize, sharding
+from lagline.llm import angular_negatives, bpe_codec, html_crf, license_scan, lyndon_dedup, metric_tree, packing, parity_join, rp_forest, rule_cascade, sanitize, sharding
 from lagline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 def prepare(spark: SparkSession) -> SparkSession:
     """The library's settings, and Arrow batches that stay small where rows are long."""
     configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     return spark
 
 
@@ -193,3 +194,46 @@ def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return html_crf.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x) FOR x IN embedding::DOUBLE[]] AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), scored AS (
+  SELECT a.k AS ak, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.k <> b.k AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY ak ORDER BY score DESC, vec_id) AS place FROM scored WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.ak, place ORDER BY n.score DESC, n.vec_id)::INT AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.ak = n.ak AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+@query(OP11_SQL)
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return angular_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0, label)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, [floor(256 * x) FOR x IN embedding::DOUBLE[]] AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), scored AS (
+  SELECT a.k, a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.k <> b.k AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@query(OP12_SQL)
+def op12_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
