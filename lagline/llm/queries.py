@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lagline.llm import angular_negatives, bpe_codec, html_crf, license_scan, lyndon_dedup, metric_tree, packing, parity_join, rp_forest, rule_cascade, sanitize, sharding
+from lagline.llm import angular_negatives, bpe_codec, html_crf, lexical_blocks, license_scan, lyndon_dedup, metric_tree, packing, parity_join, rp_forest, rule_cascade, sanitize, sharding
 from lagline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,32 @@ FROM scored QUALIFY rank <= 5
 @query(OP12_SQL)
 def op12_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), sums AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0
+), tf AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM d) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, sums GROUP BY term, n_docs
+), i AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark
+), asked AS (
+  SELECT i, item_id, term, count(*) AS c FROM (SELECT i, item_id, unnest(t) AS term FROM i) GROUP BY ALL
+), scored AS (
+  SELECT i, item_id, doc_id, k, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(t) * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN d USING (k), sums GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query(OP13_SQL)
+def op13_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_blocks.rank(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
