@@ -217,9 +217,9 @@ def searched(cells: DataFrame, queries: DataFrame, blocks: DataFrame, index: Ind
     def run(batches):
         last, body = None, None
         for batch in batches:
-            for number, own, held in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if number != last:
-                    last, body = number, pickle.loads(held)
+            for dim, number, own, held in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if (dim, number) != last:
+                    last, body = (dim, number), pickle.loads(held)
                 own, out = pickle.loads(own), []
                 for query, band, ids, scores in index.search(own, body, most):
                     out.append((np.full(len(ids), own["id"][query]), np.full(len(ids), band, np.int32), ids, scores))
@@ -227,7 +227,7 @@ def searched(cells: DataFrame, queries: DataFrame, blocks: DataFrame, index: Ind
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["class", "band", "id", "score"])
 
     joined = cells.select("dim", "qblock", "block").join(queries, ["dim", "qblock"]).join(blocks.select("dim", "block", "body"), ["dim", "block"])
-    return joined.select("block", "queries", "body").mapInArrow(run, "class bigint, band int, id bigint, score bigint")
+    return joined.select("dim", "block", "queries", "body").mapInArrow(run, "class bigint, band int, id bigint, score bigint")
 
 
 def first_hits(found: DataFrame, most: int) -> DataFrame:
