@@ -51,41 +51,77 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYT
             at = end
 
 
+PRIME = U64((1 << 31) - 1)
+STRIP = 1 << 14
+
+
+def fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same residue modulo the Mersenne prime 2^31 - 1: from below 2^63 to below 2^33, from there to 2^31 + 4."""
+    return (x & PRIME) + (x >> U64(31))
+
+
+def residue(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2^63, without dividing."""
+    x = fold(fold(x))
+    return x - PRIME * (x >= PRIME)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ... modulo the prime, by doubling."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done:done + more] = residue(out[:more] * U64(pow(base, done, int(PRIME))))
+        done += more
+    return out
+
+
 class SpanHash:
-    """64-bit hashes of arbitrary spans of one byte buffer, from one running sum.
+    """Hashes of arbitrary spans of one byte buffer, from two running sums.
 
-    A polynomial over the ring of 64-bit integers with an odd base, over a random value
-    per byte; equal bytes give equal hashes wherever they stand.
+    Two polynomials modulo a prime, over a random value per byte: 62 bits, spread over 64.
+    Equal bytes give equal hashes wherever they stand. Modulo a power of two the Thue-Morse
+    word and its complement would collide whatever the base; modulo a prime a word of n bytes
+    collides with a given other one at n in 2^31 bases at most, in both sums at its square.
     """
 
-    BYTES = draws(11, 256)
-    BASE = 0x9E3779B97F4A7C15
-    _powers: tuple[np.ndarray, np.ndarray] | None = None
+    BYTES = draws(11, 512).reshape(2, 256) % (PRIME - U64(1)) + U64(1)
+    BASES = (1_173_741_829, 1_918_734_321)  # fixed values, of large order modulo the prime
+    _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
     def __init__(self, data: np.ndarray):
-        if SpanHash._powers is None or len(SpanHash._powers[0]) <= len(data):
+        if not SpanHash._powers or len(SpanHash._powers[0][0]) <= len(data):
             n = max(len(data) + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-            inverse = pow(self.BASE, -1, 1 << 64)
-            SpanHash._powers = tuple(
-                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]), dtype=np.uint64)
-                for b in (self.BASE, inverse)
-            )
-        self.power, self.inverse = SpanHash._powers
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.BYTES[data] * self.power[:len(data)], out=self.sums[1:])
+            SpanHash._powers = [(powers(b, n), powers(pow(b, -1, int(PRIME)), n)) for b in self.BASES]
+        self.sums = np.zeros((2, len(data) + 1), np.uint64)
+        for k, (power, _) in enumerate(self._powers):
+            for a in range(0, len(data), STRIP):  # strips that stay in the processor's cache
+                own = data[a:a + STRIP]
+                np.cumsum(fold(self.BYTES[k][own] * power[a:a + len(own)]), out=self.sums[k, a + 1:a + 1 + len(own)])
+                self.sums[k, a + 1:a + 1 + len(own)] += self.sums[k, a]
+
+    def _name(self, start, end) -> np.ndarray:
+        high, low = (
+            residue(fold(sums[end] - sums[start]) * inverse[start]) for sums, (_, inverse) in zip(self.sums, self._powers)
+        )
+        return high << U64(31) | low
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hashes of data[start:end]; the length takes part."""
         with np.errstate(over="ignore"):
-            raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
-            return mix(raw + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+            return mix(self._name(start, end) + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
     def every(self, width: int) -> np.ndarray:
         """Hashes of all windows of `width` bytes, by start."""
-        n = len(self.sums) - width
+        n = self.sums.shape[1] - width
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n])
+        out = np.empty(n, np.uint64)
+        for a in range(0, n, STRIP):
+            b = min(a + STRIP, n)
+            out[a:b] = mix(self._name(slice(a, b), slice(a + width, b + width)))
+        return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
