@@ -113,7 +113,7 @@ class AngleIndex:
             rows = rows[meets]
             if not len(rows):
                 continue
-            scores = products(query, length, body["vector"][rows], longest)
+            scores = products(query[None, :], length, body["vector"][rows], longest)[0]
             for band, least, last in bands:
                 hit = np.flatnonzero((scores >= least) & (scores <= last))
                 hit = hit[np.lexsort((body["id"][rows[hit]], ~scores[hit]))[:most]]

@@ -60,12 +60,12 @@ def least_ids(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
-def products(query: np.ndarray, length: float, vectors: np.ndarray, longest: float) -> np.ndarray:
-    """Integer inner products; those beyond the range of a long stay at its end."""
+def products(queries: np.ndarray, length: float, vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Integer inner products by query and vector, given the longest of each; those beyond the range of a long stay at its end."""
     if length * longest < EXACT / 2:
-        return (vectors @ query).astype(np.int64)
-    q = [int(x) for x in query]
-    return np.array([min(max(sum(a * int(b) for a, b in zip(q, v)), LEAST), MOST) for v in vectors], np.int64)
+        return (queries @ vectors.T).astype(np.int64)
+    q, v = ([[int(x) for x in row] for row in side] for side in (queries, vectors))
+    return np.array([[min(max(sum(a * b for a, b in zip(x, y)), LEAST + 1), MOST) for y in v] for x in q], np.int64).reshape(len(q), len(v))
 
 
 def pivots(rows: DataFrame) -> np.ndarray:

@@ -77,6 +77,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+class Powers:
+    """Powers of the bases and of their inverses, grown on demand; a copy sent to tasks starts empty."""
+
+    def __init__(self):
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __reduce__(self):
+        return Powers, ()
+
+    def upto(self, bases: tuple[int, ...], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.tables or len(self.tables[0][0]) <= n:
+            n = max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
+            self.tables = [(powers(b, n), powers(pow(b, -1, int(PRIME)), n)) for b in bases]
+        return self.tables
+
+
 class SpanHash:
     """Hashes of arbitrary spans of one byte buffer, from two running sums.
 
@@ -88,14 +104,12 @@ class SpanHash:
 
     BYTES = draws(11, 512).reshape(2, 256) % (PRIME - U64(1)) + U64(1)
     BASES = (1_173_741_829, 1_918_734_321)  # fixed values, of large order modulo the prime
-    _powers: list[tuple[np.ndarray, np.ndarray]] = []
+    _powers = Powers()
 
     def __init__(self, data: np.ndarray):
-        if not SpanHash._powers or len(SpanHash._powers[0][0]) <= len(data):
-            n = max(len(data) + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-            SpanHash._powers = [(powers(b, n), powers(pow(b, -1, int(PRIME)), n)) for b in self.BASES]
+        self._tables = self._powers.upto(self.BASES, len(data))
         self.sums = np.zeros((2, len(data) + 1), np.uint64)
-        for k, (power, _) in enumerate(self._powers):
+        for k, (power, _) in enumerate(self._tables):
             for a in range(0, len(data), STRIP):  # strips that stay in the processor's cache
                 own = data[a:a + STRIP]
                 np.cumsum(fold(self.BYTES[k][own] * power[a:a + len(own)]), out=self.sums[k, a + 1:a + 1 + len(own)])
@@ -103,7 +117,7 @@ class SpanHash:
 
     def _name(self, start, end) -> np.ndarray:
         high, low = (
-            residue(fold(sums[end] - sums[start]) * inverse[start]) for sums, (_, inverse) in zip(self.sums, self._powers)
+            residue(fold(sums[end] - sums[start]) * inverse[start]) for sums, (_, inverse) in zip(self.sums, self._tables)
         )
         return high << U64(31) | low
 

@@ -98,36 +98,54 @@ class Tree:
             groups = np.array_split(members, min(FAN, -(-len(members) // PAGE)))
         return groups
 
-    def best(self, query: np.ndarray, square: float, low: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the `most` highest scores from `low` on, ties by smaller id."""
-        length = float(np.sqrt(square))
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        start = float(gaps(square, self.square[self.route[0]], self.vectors[self.route[0]] @ query))
-        heap = [(-float(ceiling(square, self.longest[0], start - self.radius[0])), 0, start)]
-        while heap and -heap[0][0] >= low:
-            _, node, distance = heapq.heappop(heap)
-            below = slice(self.first[node], self.last[node])
+    def best(self, queries: np.ndarray, squares: np.ndarray, lows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of shape (queries, most): the highest scores from each query's low on, ties by smaller id.
+
+        Nodes are visited by the best bound of the queries that may still find something below
+        them; each query has its own bounds and its own least score, which rises as it finds
+        better ones. Places that stay empty have the score LEAST and the id MOST.
+        """
+        lows = lows.copy()
+        ids, scores = np.full((len(queries), most), MOST), np.full((len(queries), most), LEAST)
+        length, floor = np.sqrt(squares), lows.astype(float)
+        start = gaps(squares, self.square[self.route[0]], queries @ self.vectors[self.route[0]])
+        bound = ceiling(squares, self.longest[0], start - self.radius[0])
+        heap = [(-float(bound.max()), 0, np.arange(len(queries)), bound, start)]
+        while heap:
+            _, node, who, bound, distance = heapq.heappop(heap)
+            open_ = bound >= floor[who]
+            who, distance = who[open_], distance[open_]
+            if not len(who):
+                continue
+            below = np.arange(self.first[node], self.last[node])
             if self.leaf[node]:
-                rows = np.arange(below.start, below.stop)
-                rows = rows[ceiling(square, self.square[below], np.abs(distance - self.away[below])) >= low]
-                if not len(rows):
+                limit = ceiling(squares[who][:, None], self.square[below][None, :], np.abs(distance[:, None] - self.away[below][None, :]))
+                near = limit >= floor[who][:, None]
+                who, rows = who[near.any(axis=1)], below[near.any(axis=0)]
+                if not len(who):
                     continue
-                made = products(query, length, self.vectors[rows], float(np.sqrt(self.square[rows].max())))
-                hit = made >= low
-                ids, scores = np.concatenate([ids, self.ids[rows[hit]]]), np.concatenate([scores, made[hit]])
-                order = np.lexsort((ids, ~scores))[:most]  # ~s falls as s rises and cannot overflow
-                ids, scores = ids[order], scores[order]
-                if len(ids) == most:
-                    low = max(low, int(scores[-1]))
-                continue
-            kids = np.arange(below.start, below.stop)
-            kids = kids[ceiling(square, self.longest[below], np.abs(distance - self.up[below]) - self.radius[below]) >= low]
-            if not len(kids):
+                made = products(queries[who], float(length[who].max()), self.vectors[rows], float(np.sqrt(self.square[rows].max())))
+                hit = (made >= lows[who][:, None]).any(axis=1)
+                who, made = who[hit], made[hit]
+                made = np.concatenate([scores[who], np.where(made >= lows[who][:, None], made, LEAST)], axis=1)
+                name = np.concatenate([ids[who], np.broadcast_to(self.ids[rows], (len(who), len(rows)))], axis=1)
+                name = np.where(made == LEAST, MOST, name)
+                order = np.lexsort((name, ~made), axis=-1)[:, :most]  # ~s falls as s rises and cannot overflow
+                scores[who], ids[who] = np.take_along_axis(made, order, axis=1), np.take_along_axis(name, order, axis=1)
+                lows[who] = np.maximum(lows[who], scores[who, most - 1])
+                floor[who] = lows[who]
                 continue
-            away = gaps(square, self.square[self.route[kids]], self.vectors[self.route[kids]] @ query)
-            bound = ceiling(square, self.longest[kids], away - self.radius[kids])
-            for kid in np.flatnonzero(bound >= low):
-                heapq.heappush(heap, (-float(bound[kid]), int(kids[kid]), float(away[kid])))
+            known = np.abs(distance[:, None] - self.up[below][None, :]) - self.radius[below][None, :]
+            near = ceiling(squares[who][:, None], self.longest[below][None, :], known) >= floor[who][:, None]
+            for kid, here in zip(below, near.T):
+                asking = who[here]
+                if not len(asking):
+                    continue
+                away = gaps(squares[asking], self.square[self.route[kid]], queries[asking] @ self.vectors[self.route[kid]])
+                bound = ceiling(squares[asking], self.longest[kid], away - self.radius[kid])
+                some = bound >= floor[asking]
+                if some.any():
+                    heapq.heappush(heap, (-float(bound.max()), int(kid), asking[some], bound[some], away[some]))
         return ids, scores
 
 
@@ -151,11 +169,10 @@ class MetricTree:
         return np.where(bound >= low[:, None], bound, -np.inf).max(axis=0)
 
     def search(self, queries: dict, body: dict, most: int):
-        tree = Tree.of(body)
-        for k, query in enumerate(queries["vector"]):
-            ids, scores = tree.best(query, float(queries["square"][k]), int(queries["lows"][k][0]), most)
-            if len(ids):
-                yield k, 0, ids, scores
+        ids, scores = Tree.of(body).best(queries["vector"], queries["square"], np.array([x[0] for x in queries["lows"]]), most)
+        for k in np.flatnonzero((ids != MOST).any(axis=1) | (scores != LEAST).any(axis=1)):
+            full = (ids[k] != MOST) | (scores[k] != LEAST)
+            yield int(k), 0, ids[k][full], scores[k][full]
 
 
 def top_products(embeddings: DataFrame, is_query, most: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

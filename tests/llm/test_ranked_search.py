@@ -34,7 +34,7 @@ def scores(rows, at, keep):
     found = []
     for n, (i, v, k) in enumerate(rows):
         if n != at and len(v) == len(own[1]) and keep(k, own[2]):
-            found.append((i, min(max(sum(a * b for a, b in zip(own[1], v)), -2**63), 2**63 - 1)))
+            found.append((i, min(max(sum(a * b for a, b in zip(own[1], v)), -2**63 + 1), 2**63 - 1)))
     return sorted(found, key=order)
 
 
@@ -107,9 +107,9 @@ def test_the_tree_skips(spark):
     seen = []
     wrapped = metric_tree.products
     try:
-        metric_tree.products = lambda q, n, v, m: seen.append(len(v)) or wrapped(q, n, v, m)
-        for query in tree.vectors[:40]:
-            tree.best(query, float(query @ query), -(1 << 63), 5)
+        metric_tree.products = lambda q, n, v, m: seen.append(len(q) * len(v)) or wrapped(q, n, v, m)
+        own = tree.vectors[:40]
+        tree.best(own, (own ** 2).sum(axis=1), np.full(40, -(1 << 63)), 5)
     finally:
         metric_tree.products = wrapped
     assert sum(seen) < 0.4 * 40 * 2000
