@@ -17,7 +17,7 @@ from lagline.llm.queries import prepare
 from lagline.session import ensure_checkpoint_dir
 
 
-_LEFT: list[str] = []
+_LEFT: dict[str, list[str]] = {}  # by input folder: what the last stage staged
 
 
 def stage_of(function):
@@ -29,10 +29,11 @@ def stage_of(function):
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         prepare(spark)
-        staging.release(spark, _LEFT)
+        staging.release(spark, _LEFT.pop(sf_dir, []))
+        staging.tidy(spark)
         mark = len(staging.written())
         frame = function(spark, docs, sf_dir)
-        _LEFT[:] = staging.written(mark)
+        _LEFT[sf_dir] = staging.written(mark)
         return frame
 
     return run_stage
@@ -85,12 +86,16 @@ ORACLE_SQL = None  # tokens and sketches have no SQL form; tests/llm holds the b
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each stored in the shared folder."""
+    """All stages over `documents`, each stored in the shared folder until the next one is written."""
     prepare(spark)
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            staging.release(spark, [last])
+        last = path
+    staging.release(spark, _LEFT.pop(sf_dir, []))
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,9 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> int:
         if name in _WRITTEN:
             _WRITTEN.remove(name)
     return removed
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of frames that nobody holds any more, so that Spark removes their shuffle files."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
