@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lagline.llm.kit import U64, SpanHash, binary_rows, byte_buffer, chunked, map_rows, ragged
 from lagline.llm.suffixes import longest_shared
-from lagline.staging import staged
+from lagline.staging import release, staged, tidy, written
 
 LENGTH = 400
 GRAM = 24  # bytes of an anchor
@@ -200,7 +200,8 @@ def _counted_runs(bodies: DataFrame, length: int) -> DataFrame:
     hot = bodies.where(F.col("n") > HOT).select("key", F.col("first").cast("bigint"), "body")
     windows = staged(hot.mapInArrow(run, "key binary, start bigint, name bigint"), "windows")
     place = F.xxhash64("key", "start")
-    twice = windows.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("name")
+    # Stored, so that the rows of a hot window can be split in the join.
+    twice = staged(windows.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("name"), "twice")
     return windows.join(twice, "name").select("key", "start", (F.col("start") + length).alias("end"))
 
 
@@ -234,11 +235,15 @@ def remove_repeats(documents: DataFrame, text: str = "text", length: int = LENGT
     Null and empty texts have no bytes. Columns with the added names are replaced. Windows
     are compared by 64-bit hashes of their bytes, texts by md5.
     """
+    mark = len(written())
     documents = documents.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_text")
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     copies = documents.select(key.alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__copies")).where("__copies > 1")
     spans = find_repeats(documents, text, length).withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans")
     facts = staged(copies.join(spans, "__key", "full"), "repeats")
+    del spans
+    release(documents.sparkSession, written(mark)[:-1])
+    tidy(documents.sparkSession)
     held = documents.withColumn("__key", key).join(facts, "__key", "left")
     names = held.columns
     at = {n: names.index(n) for n in (text, "__spans", "__copies")}

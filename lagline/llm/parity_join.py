@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lagline.llm.components import components
 from lagline.llm.kit import U64, SpanHash, byte_buffer, chunked, draws, mix, ragged, word_spans
-from lagline.staging import staged
+from lagline.staging import release, staged, tidy, written
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100  # similarity as a ratio of whole numbers
@@ -368,24 +368,34 @@ def text_components(documents: DataFrame, text_col: str = "text", numerator: int
     """
     if 2 * numerator < denominator:
         raise ValueError("similarities below one half need more bands")
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, mark = documents.sparkSession, len(written())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text_col), F.lit(""))
     keyed = documents.select(F.md5(body).alias("key"), body.alias("text"))
     rows = staged(_sets(keyed).dropDuplicates(["key"]), "sets")
     classes = staged(
         rows.where("n > 0").groupBy("class").agg(F.min_by(F.struct("key", "n", "sketch"), "key").alias("r")).select("class", "r.*"), "classes")
     meetings = staged(_meetings(keyed, numerator, denominator, parts), "meetings")
+    since = len(written()) - 1
     stars = staged(_stars(meetings), "stars")
+    release(spark, written(since)[:-1])
+    since = len(written())
     first = stars.groupBy("member").agg(F.max_by("leader", F.struct("n", F.negative("leader"))).alias("leader"))
     first = first.select(F.col("leader").alias("a"), F.col("member").alias("b"))
     links = staged(_verified(keyed, classes, _close(classes, first, numerator, denominator), numerator, denominator), "links")
+    release(spark, written(since)[:-1])
     # Components that are close merge first, by few pairs; then every pair left between two is looked at.
     for nearest in (*[True] * MERGE_ROUNDS, False):
         rest = _across(stars, components(links), classes, numerator, denominator, nearest)
         more = _verified(keyed, classes, rest, numerator, denominator)
         links = staged(links.unionByName(more).distinct(), "links")
+        del rest, more
+        release(spark, written(since)[:-1])
+        tidy(spark)
     roots = components(links).withColumnRenamed("node", "class")
-    return rows.join(roots, "class", "left").select("key", "n", F.coalesce("root", "class").alias("root"))
+    named = staged(rows.join(roots, "class", "left").select("key", "n", F.coalesce("root", "class").alias("root")), "components")
+    release(spark, written(mark)[:-1])
+    return named
 
 
 def _key(text_col: str):
@@ -416,7 +426,7 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Ids that are null come last. Rows of equal id and text count as one row. Rows without
     shingles all stay. All columns pass through.
     """
-    named = staged(text_components(documents, text_col, numerator, denominator), "components")
+    named = text_components(documents, text_col, numerator, denominator)
     ids = documents.select(_key(text_col).alias("key"), F.col(id_col).alias("__id"))
     order = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("key").alias("key"))
     chosen = (
@@ -424,10 +434,13 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .groupBy("root").agg(F.min_by(F.struct("key", "__id", "rows"), order).alias("c"))
         .select(F.col("c.key").alias("__key"), F.col("c.__id").alias("__id"), F.col("c.rows").alias("__rows"))
     )
-    none = named.where("n = 0").select(F.col("key").alias("__key"))
-    rows = documents.withColumn("__key", _key(text_col))
-    held = rows.join(staged(chosen, "chosen"), "__key").where(F.col(id_col).eqNullSafe(F.col("__id")))
+    every = named.where("n = 0").select(F.col("key").alias("__key"), F.lit(None).cast(documents.schema[id_col].dataType).alias("__id"), F.lit(0).cast("bigint").alias("__rows"))
+    # Which rows stay is settled on keys and ids; the texts then move once.
+    decided = staged(chosen.unionByName(every), "decided")
     names = documents.columns
-    once = held.where("__rows = 1").select(*names)
-    several = held.where("__rows > 1").dropDuplicates(["__key"]).select(*names)
-    return once.unionByName(several).unionByName(rows.join(none, "__key", "left_semi").select(*names))
+    held = documents.withColumn("__key", _key(text_col)).join(decided, "__key").where(
+        (F.col("__rows") == 0) | F.col(id_col).eqNullSafe(F.col("__id")))
+    kept = held.where("__rows < 2").select(*names)
+    if decided.where("__rows > 1").isEmpty():
+        return kept
+    return kept.unionByName(held.where("__rows > 1").dropDuplicates(["__key"]).select(*names))
