@@ -103,6 +103,7 @@ def signal_features(
     lag_seconds: float = REVISION_LAG_SECONDS,
     trip_max_age_seconds: float = TRIP_MAX_AGE_SECONDS,
     passage_max_age_seconds: float = PASSAGE_MAX_AGE_SECONDS,
+    bucket_seconds: int = 3600,
 ) -> DataFrame:
     """Features of the fixed rules; no outcome is read here."""
     dated = _dated(observations).where(F.col("scheduled_departure_utc").isNotNull())
@@ -118,7 +119,7 @@ def signal_features(
     ).drop("current", "earlier", "reason")
     request = [*EVENT, "horizon_minutes"]
     signalled = with_upstream(
-        revised, trips, trip_stops, request, trip_max_age_seconds, passage_max_age_seconds
+        revised, trips, trip_stops, request, trip_max_age_seconds, passage_max_age_seconds, bucket_seconds=bucket_seconds
     )
     return fixed_rules(signalled)
 

@@ -41,11 +41,14 @@ def live_events(observations: DataFrame, unicode_aware: bool = True) -> DataFram
     return _identity(first, "route_number", "stop_number", "variant_name", "scheduled_departure_raw", unicode_aware)
 
 
+def identified_outcomes(outcomes: DataFrame, unicode_aware: bool = True) -> DataFrame:
+    """Measured departures with their match key; all its columns are null where a part is missing or refused."""
+    return _identity(outcomes, "route_number", "stop_number", "route_destination", "scheduled_time", unicode_aware)
+
+
 def outcome_keys(outcomes: DataFrame, unicode_aware: bool = True) -> DataFrame:
     """One row per match key: how many outcomes share it, and the outcome when only one does."""
-    keyed = _identity(
-        outcomes, "route_number", "stop_number", "route_destination", "scheduled_time", unicode_aware
-    ).where(F.col("match_instant").isNotNull())
+    keyed = identified_outcomes(outcomes, unicode_aware).where(F.col("match_instant").isNotNull())
     outcome = F.struct("row_id", F.col("deviation").cast("double").alias("deviation"))
     return keyed.groupBy(*MATCH).agg(
         F.count(F.lit(1)).alias("outcomes"), F.min(outcome).alias("outcome")

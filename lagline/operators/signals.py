@@ -169,6 +169,37 @@ def latest_trip_snapshot(
     return joined.withColumn("trip_reason", trip_reason(max_age_seconds))
 
 
+UPSTREAM_FIELDS = [
+    "upstream_response_index", "upstream_event_key", "upstream_stop_key", "upstream_delay_seconds",
+    "upstream_scheduled_departure_utc", "upstream_estimated_departure_utc", "upstream_estimated_passage_age_seconds",
+]
+PROXY_KIND = "earlier_stop_api_estimate_proxy"  # fixed value
+
+
+def last_passed(
+    dated: DataFrame, response: list[str], max_passage_age_seconds: float = PASSAGE_MAX_AGE_SECONDS, zone: str = LOCAL_ZONE
+) -> DataFrame:
+    """Add `proxy` to every stop of a dated response: the last stop scheduled strictly before
+    it that the response estimates as just passed when it was received.
+
+    A running maximum along the schedule answers every stop of a response at once, so any
+    number of requests for it only look their target up. Needs `offset` and `scheduled_utc`.
+    """
+    age = age_at(F.col("received_at_utc"), F.col("_estimated"))
+    stop_key = F.col("stop_key").cast("string") if "stop_key" in dated.columns else F.lit(None).cast("string")
+    values = [
+        F.col("position"), F.col("event_key"), stop_key, epoch_seconds(F.col("_estimated")) - epoch_seconds(F.col("scheduled_utc")),
+        F.col("scheduled_utc"), F.col("_estimated"), age,
+    ]
+    passed = F.when(
+        ~F.coalesce(F.col("cancelled"), F.lit(False)) & age.between(0, max_passage_age_seconds),
+        F.struct(*[v.alias(f) for v, f in zip(values, UPSTREAM_FIELDS)]),
+    )
+    before = W.partitionBy(*response).orderBy("offset").rangeBetween(W.unboundedPreceding, -1)
+    estimated = with_instant_near_schedule(dated, "_estimated", "estimated_clock", "scheduled_utc", zone)
+    return estimated.withColumn("_passed", passed).withColumn("proxy", F.max("_passed").over(before)).drop("_passed", "_estimated")
+
+
 def with_upstream(
     current: DataFrame,
     trips: DataFrame,
@@ -177,28 +208,58 @@ def with_upstream(
     max_age_seconds: float = TRIP_MAX_AGE_SECONDS,
     max_passage_age_seconds: float = PASSAGE_MAX_AGE_SECONDS,
     zone: str = LOCAL_ZONE,
+    bucket_seconds: int = 3600,
 ) -> DataFrame:
     """Full earlier-stop signal per as-of row: snapshot checks, dated stops, nearest proxy.
 
     `current` needs `request` (unique), trip_key, bus_key, cutoff_utc, target_key and
-    anchor_utc; `trip_stops` one row per stop with `snapshot_id`.
+    anchor_utc, and may name its own `current_snapshot_id`; `trip_stops` has one row per stop
+    with `snapshot_id`, and may have `stop_key`. A response is dated once per first midnight
+    that its requests imply - one, unless schedules of different days share it - so the work
+    follows the stops of the chosen responses, not stops times requests.
     """
-    chosen = latest_trip_snapshot(current, trips, max_age_seconds)
+    chosen = latest_trip_snapshot(current, trips, max_age_seconds, bucket_seconds)
     open_rows = chosen.where(F.col("trip_reason").isNull()).select(
-        *request, "target_key", "anchor_utc", F.col("trip.tie").alias("snapshot_id"),
-        F.col("trip.at").alias("received_at_utc"),
-    )
-    stops = open_rows.join(trip_stops, "snapshot_id")
-    signals = upstream_from_stops(
-        resolve_trip_schedule(stops, request, zone), request, "received_at_utc", max_passage_age_seconds, zone
-    ).withColumnRenamed("trip_reason", "_stop_reason")
-    # A response without stops cannot contain its target.
-    unresolved = F.when(F.col("trip_reason").isNull() & F.col("_seen").isNull(), F.lit("trip_date_unresolved"))
+        *request, "target_key", F.col("trip.tie").alias("snapshot_id"), F.col("trip.at").alias("received_at_utc"),
+        local_of(F.col("anchor_utc"), zone).alias("_anchor"),
+    )
+    used = trip_stops.join(open_rows.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+    placed = clock_offsets(used, ["snapshot_id"])
+    targets = placed.groupBy("snapshot_id", F.col("event_key").alias("target_key")).agg(
+        F.count(F.lit(1)).alias("_targets"), F.max("offset").alias("_target_offset"),
+    )
+    datable = (F.col("_targets") == 1) & (F.col("_target_offset") % DAY == seconds_of_day(F.col("_anchor")))
+    asked = open_rows.join(targets, ["snapshot_id", "target_key"], "left").withColumn(
+        "_midnight", F.when(datable, plus_seconds(F.col("_anchor"), -F.col("_target_offset"))))
+    response = ["snapshot_id", "_base"]
+    bases = asked.where(F.col("_midnight").isNotNull()).select("snapshot_id", "received_at_utc", F.col("_midnight").alias("_base")).distinct()
+    dated = bases.join(placed, "snapshot_id").withColumn(
+        "scheduled_utc", utc_of_unambiguous(plus_seconds(F.col("_base"), F.col("offset")), zone))
+    undated = F.count_if(F.col("scheduled_utc").isNull()).over(W.partitionBy(*response))
+    whole = F.col("_ordered") & (F.col("_span") <= HALF_DAY) & (undated == 0)
+    facts = last_passed(dated.withColumn("_resolved", F.coalesce(whole, F.lit(False))), response, max_passage_age_seconds, zone).select(
+        F.col("snapshot_id"), F.col("_base").alias("_midnight"), F.col("event_key").alias("target_key"), "_resolved",
+        F.coalesce("cancelled", F.lit(False)).alias("_gone"), F.col("position").alias("_target_index"), "proxy",
+    )
+    told = asked.join(facts, ["snapshot_id", "_midnight", "target_key"], "left").select(*request, "_resolved", "_gone", "_target_index", "proxy")
+    reason = (
+        F.when(F.col("trip_reason").isNotNull(), F.col("trip_reason"))
+        .when(~F.coalesce("_resolved", F.lit(False)), F.lit("trip_date_unresolved"))
+        .when(F.col("_gone"), F.lit("trip_target_cancelled"))
+        .when(F.col("proxy").isNull(), F.lit("recent_earlier_stop_proxy_missing"))
+    )
+    usable = lambda value: F.when(F.col("upstream_reason").isNull(), value)
+    anchor = F.col("current_snapshot_id") if "current_snapshot_id" in current.columns else F.lit(None).cast("string")
     return (
-        chosen.join(signals.withColumn("_seen", F.lit(True)), request, "left")
-        .withColumn("upstream_reason", F.coalesce("trip_reason", "_stop_reason", unresolved))
-        .withColumn("upstream_snapshot_id", F.when(F.col("upstream_reason").isNull(), F.col("trip.tie")))
-        .drop("trip_reason", "_stop_reason", "_seen", "trip")
+        chosen.join(told, request, "left").withColumn("upstream_reason", reason)
+        .withColumns({f: usable(F.col(f"proxy.{f}")) for f in UPSTREAM_FIELDS})
+        .withColumns({
+            "upstream_snapshot_id": usable(F.col("trip.tie")), "upstream_received_at_utc": usable(F.col("trip.at")),
+            "upstream_bus_key": usable(F.col("bus_key")), "upstream_trip_key": usable(F.col("trip_key")),
+            "target_response_index": usable(F.col("_target_index")), "date_anchor_snapshot_id": usable(anchor),
+            "progress_measurement_kind": usable(F.lit(PROXY_KIND)),
+        })
+        .drop("trip_reason", "_resolved", "_gone", "_target_index", "proxy", "trip")
     )
 
 

@@ -296,6 +296,39 @@ FROM (SELECT *, {local} AS due_at, {moved} AS moved, {late} AS late,
     )
 
 
+def linked_responses(engine: str) -> str:
+    """Every event as a trip response for the trip of its `linked_observations` row."""
+    trip = "concat('trip', cast(user_id AS string), '-', cast(event_id % 2 AS string))"
+    return f"""
+SELECT cast(event_id AS string) AS snapshot_id, {trip} AS trip_key, cast({second(engine)} AS timestamp) AS received_at_utc,
+       cast(CASE WHEN event_id % 43 = 0 THEN 500 ELSE 200 END AS integer) AS http_status,
+       CASE WHEN event_id % 47 = 0 THEN 'timeout' END AS error_kind,
+       CASE WHEN event_id % 53 = 0 THEN 'other' ELSE {trip} END AS payload_trip_key,
+       CASE WHEN event_id % 13 = 0 THEN 'spare' ELSE concat('bus', cast(user_id AS string)) END AS payload_bus_key
+FROM {{events}}"""
+
+
+def linked_response_stops(engine: str) -> str:
+    """The stops of each `linked_responses` row: five on the way, two hours apart, then one
+    per event type at the schedule itself; some out of order, missing, doubled or cancelled."""
+    due = plus(engine, day_start(engine), f"(3 - {day_number(engine)} % 3) * 86400")
+    scheduled = plus(engine, "due", "-21600 - CASE WHEN p < 5 THEN (5 - p) * 7200 WHEN event_id % 19 = 0 AND p = 5 THEN -600 ELSE 0 END")
+    estimated = plus(engine, "scheduled", "(event_id * 7 + p * 131) % 4201 - 600")
+    positions = one_per(engine, [str(p) for p in range(10)])
+    names = ["view", "click", "purchase", "signup", "error"]
+    target = " ".join(f"WHEN {5 + k} THEN '{n}'" for k, n in enumerate(names))
+    clock = lambda c: wall_text(engine, c, "HH:mm:ss", "%H:%M:%S")
+    return f"""
+SELECT cast(event_id AS string) AS snapshot_id, p AS position, event_id,
+       CASE WHEN p < 5 THEN CASE WHEN event_id % 31 = 0 AND p = 4 THEN 'view' ELSE concat('s', cast(p AS string)) END
+            ELSE CASE p {target} END END AS event_key,
+       concat('stop', cast(p AS string)) AS stop_key, {clock("scheduled")} AS scheduled_clock,
+       CASE WHEN (event_id + p) % 17 = 0 THEN NULL ELSE {clock("estimated")} END AS estimated_clock,
+       (event_id + p) % 23 = 0 AS cancelled, scheduled AS due_at
+FROM (SELECT *, {estimated} AS estimated FROM (SELECT *, {scheduled} AS scheduled FROM (
+  SELECT *, {due} AS due, {positions} AS p FROM {{events}}) e) t) u"""
+
+
 def requests(engine: str) -> str:
     """Every event as a first-attempt request for its user's stop."""
     return f"""

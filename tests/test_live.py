@@ -318,3 +318,27 @@ def test_poll_gaps_bridge_blocks(spark):
     out = {r["stop"]: r for r in audit.poll_gaps(spark.createDataFrame(data, "stop string, requested_at timestamp")).collect()}
     assert (out["s"]["polls"], out["s"]["median_gap_seconds"], out["s"]["max_gap_seconds"]) == (5, 60.0, 86280.0)
     assert out["lone"]["polls"] == 1 and out["lone"]["median_gap_seconds"] is None
+
+
+def test_requests_share_a_dated_response(spark):
+    """Targets of one response look their proxy up; stops at the target's own time do not count, and each anchor day is dated apart."""
+    request = "trip_key string, cutoff_utc timestamp, bus_key string, target_key string, anchor_utc timestamp, current_snapshot_id string"
+    day = timedelta(days=1)
+    asked = [("trip-a", CUT, "bus-a", key, due, f"now-{key}") for key, due in (
+        ("b", DUE - timedelta(minutes=8)), ("c", DUE), ("d", DUE), ("twice", DUE), ("away", DUE))] + [("trip-a", CUT + day, "bus-a", "c", DUE + day, "next")]
+    heads = spark.createDataFrame([("trip-a", f"r{n}", datetime(2026, 9, 15, 0, 24) + n * day, 200, None, "trip-a", "bus-a") for n in (0, 1)], TRIPS)
+    stops = [("a", "19:20:00", "19:21:00", False), ("b", "19:22:00", "19:23:00", False), ("x", "19:30:00", "19:23:30", False),
+             ("c", "19:30:00", "19:31:00", False), ("d", "19:30:00", None, False), ("twice", "19:31:00", None, False), ("twice", "19:32:00", None, False)]
+    lines = spark.createDataFrame([(f"r{n}", i, *e, f"key-{i}") for n in (0, 1) for i, e in enumerate(stops)], f"{STOPS}, stop_key string")
+    found = {r["current_snapshot_id"]: r for r in signals.with_upstream(
+        spark.createDataFrame(asked, request), heads, lines, ["trip_key", "target_key", "cutoff_utc"]).collect()}
+    got = {k: (r["upstream_reason"], r["upstream_event_key"], r["upstream_stop_key"], r["target_response_index"], r["upstream_snapshot_id"]) for k, r in found.items()}
+    assert got == {
+        "now-b": (None, "a", "key-0", 1, "r0"), "now-c": (None, "b", "key-1", 3, "r0"), "now-d": (None, "b", "key-1", 4, "r0"),
+        "now-twice": ("trip_date_unresolved", None, None, None, None), "now-away": ("trip_date_unresolved", None, None, None, None),
+        "next": (None, "b", "key-1", 3, "r1"),
+    }
+    row = found["now-c"]
+    assert (row["upstream_delay_seconds"], row["upstream_estimated_passage_age_seconds"], row["date_anchor_snapshot_id"]) == (60, 60, "now-c")
+    assert (row["upstream_bus_key"], row["upstream_trip_key"], row["progress_measurement_kind"]) == ("bus-a", "trip-a", signals.PROXY_KIND)
+    assert row["upstream_scheduled_departure_utc"] == DUE - timedelta(minutes=8)

@@ -208,3 +208,31 @@ def test_outcome_files(spark, folder):
     with open(f"{folder}/plain.json", "w") as f:
         json.dump([row], f)
     assert capture.read_outcomes_json(spark, f"{folder}/plain.json").first()["location"]["coordinates"] == [-97.1, 49.5]
+
+
+def test_unmatched_events_leave_with_a_status(spark):
+    """An event without outcome leaves when the slower side's watermark has passed it, one without a key at once; a restart loses nothing."""
+    from lagline.streaming.outcomes import late_outcomes
+    from lagline.streaming.replay import replayed, row_of
+
+    at = datetime(2026, 9, 15)
+    key = "match_route string, match_stop string, match_destination string, match_instant timestamp"
+    event, found = f"trip_key string, {key}, landed_at timestamp", f"{key}, row_id string, deviation double, landed_at timestamp"
+    day = timedelta(days=1)
+    events = spark.createDataFrame([("t", "BLUE", "1", "x", at, at), ("u", "BLUE", "2", "x", at, at), ("v", None, None, None, None, at),
+                                    ("w", "BLUE", "1", "x", at + day, at + day)], event)
+    outcomes = spark.createDataFrame([("BLUE", "1", "x", at, "m", -90.0, at + 2 * day), ("BLUE", "1", "x", at, "n", 5.0, at + 2 * day)], found)
+    far = lambda frame, n: row_of(frame, match_route="~", match_stop="~", match_destination="~", match_instant=at + n * 30 * day)
+    table = replayed(
+        spark, {"events": (events, "landed_at"), "outcomes": (outcomes, "landed_at")},
+        lambda s: late_outcomes(s["events"].drop("landed_at"), s["outcomes"].drop("landed_at"), "3 days"), steps=2,
+        closing=[{"events": far(events, n), "outcomes": far(outcomes, n)} for n in (1, 2)])
+    assert rows(table.where("trip_key is not null"), "trip_key", "status", "row_id") == [
+        ("t", "matched", "m"), ("t", "matched", "n"), ("u", "no_exact_outcome", None), ("v", "invalid_live_identity", None), ("w", "no_exact_outcome", None)]
+
+
+def test_replay_of_nothing(spark):
+    from lagline.streaming.replay import replayed
+
+    empty = spark.createDataFrame([], "name string, at timestamp")
+    assert replayed(spark, {"rows": (empty, "at")}, lambda s: s["rows"].select("name"), steps=2).count() == 0
