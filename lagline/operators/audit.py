@@ -112,24 +112,24 @@ def poll_gaps(requests: DataFrame, stop: str = "stop", at: str = "requested_at",
     """Per stop: polls, median and longest gap between consecutive requests in seconds.
 
     Gaps are taken inside time blocks; a table with one row per stop and block bridges
-    them. The median comes from the two-step quantile search, as gaps never repeat.
+    them. Requests are read and sorted once. The median comes from `exact_quantiles`, as
+    gaps never repeat.
     """
     rows = requests.select(F.col(stop).alias("stop"), epoch_seconds(F.col(at)).alias("_t")).withColumn(
         "_b", F.floor(F.col("_t") / block_seconds)
     )
     previous = F.lag("_t").over(W.partitionBy("stop", "_b").orderBy("_t"))
-    inside = rows.select("stop", (F.col("_t") - previous).alias("gap")).where(F.col("gap").isNotNull())
-    ends = rows.groupBy("stop", "_b").agg(
-        F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count(F.lit(1)).alias("_n")
-    )
+    stepped = staged(rows.withColumn("gap", F.col("_t") - previous), "gaps")
+    blocks = staged(stepped.groupBy("stop", "_b").agg(
+        F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count(F.lit(1)).alias("_n"), F.max("gap").alias("_longest")
+    ), "blocks")
     before = F.lag("_last").over(W.partitionBy("stop").orderBy("_b"))
-    between = ends.select("stop", (F.col("_first") - before).alias("gap")).where(F.col("gap").isNotNull())
-    gaps = inside.unionByName(between)
-    longest = gaps.groupBy("stop").agg(F.max("gap").alias("max_gap_seconds"))
-    median = exact_quantiles(gaps, ["stop"], "gap", {"median_gap_seconds": 0.5}, width=1.0)
-    polls = ends.groupBy("stop").agg(F.sum("_n").alias("polls"))
+    bridged = blocks.withColumn("gap", F.col("_first") - before)
+    facts = bridged.groupBy("stop").agg(F.sum("_n").alias("polls"), F.greatest(F.max("gap"), F.max("_longest")).alias("max_gap_seconds"))
+    median = exact_quantiles(stepped.select("stop", "gap").unionByName(bridged.select("stop", "gap")), ["stop"], "gap", {"median_gap_seconds": 0.5})
+    named = median.withColumnRenamed("stop", "_stop")
     return (
-        polls.join(longest, "stop", "left").join(median, "stop", "left")
+        facts.join(named, F.col("stop").eqNullSafe(F.col("_stop")), "left")
         .select("stop", "polls", F.round("median_gap_seconds", 3).alias("median_gap_seconds"),
                 F.round("max_gap_seconds", 3).alias("max_gap_seconds"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lagline.functions.quantiles import exact_quantiles
+from lagline.staging import staged
 
 METRIC_COLUMNS = [
     "n", "mae_seconds", "rmse_seconds", "median_absolute_error_seconds", "p90_absolute_error_seconds",
@@ -26,7 +27,7 @@ def error_metrics(
 
     Median-type predictions give half-second errors, so equal errors are counted
     before any group comes together. With `continuous` predictions nothing repeats;
-    their quantiles come from the two-step search instead.
+    their quantiles come from a search by repeated splitting instead.
     """
     error = (finite(F.col(predicted)) - finite(F.col(actual))).alias("_e")
     if continuous:
@@ -64,11 +65,11 @@ def _moments(e: Column, w: Column, n: Column) -> list[Column]:
 
 
 def _continuous_metrics(errors: DataFrame, keys: list[str]) -> DataFrame:
-    one = F.lit(1)
+    one, errors = F.lit(1), staged(errors, "errors")  # read once, however often the rows are costly to make
     moments = errors.groupBy(*keys).agg(*_moments(F.col("_e"), one, F.count(one)))
     quantiles = exact_quantiles(
         errors.withColumn("_a", F.abs("_e")), keys, "_a",
-        {"median_absolute_error_seconds": 0.5, "p90_absolute_error_seconds": 0.9}, width=1.0,
+        {"median_absolute_error_seconds": 0.5, "p90_absolute_error_seconds": 0.9},
     )
     named = quantiles.withColumnsRenamed({k: f"_q_{k}" for k in keys})
     condition = F.lit(True)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lagline.functions import quantiles
 from lagline.functions.quantiles import exact_quantiles
 from lagline.models import boosted, features, tuning
 from lagline.operators import lookup, metrics, profile, sets
@@ -65,13 +66,31 @@ def test_quantiles_equal_brute_force(spark):
     data = [("a", float(v)) for v in draw.normal(0, 500, 501)] + [("b", float(v)) for v in draw.normal(0, 1, 40)]
     data += [("c", 7.0)] * 100 + [(None, 1.5), (None, 2.5)]
     df = spark.createDataFrame(data, "g string, v double")
-    out = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", {"m": 0.5, "h": 0.9, "z": 0.0, "o": 1.0}, 10.0).collect()}
+    out = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", {"m": 0.5, "h": 0.9, "z": 0.0, "o": 1.0}).collect()}
     for g in ("a", "b", "c", None):
         values = [v for k, v in data if k == g]
         for name, q in (("m", 0.5), ("h", 0.9), ("z", 0), ("o", 1)):
             assert abs(out[g][name] - np.quantile(values, q)) < 1e-9
 
 
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_quantiles_of_hot_groups_narrow_down(spark, monkeypatch, keys):
+    """Equal values, spreads of hundreds of digits and one group with most rows: every interval shrinks until few values are left."""
+    monkeypatch.setattr(quantiles, "ENOUGH", 5)
+    monkeypatch.setattr(quantiles, "SPLITS", 8)
+    draw = np.random.default_rng(5)
+    data = [("a", float(v)) for v in draw.standard_normal(700)] + [("a", 0.25)] * 400 + [("b", v) for v in (-1e308, 1e308, 0.0, -0.0, 1e-300, 3.0)]
+    data += [(None, 5.0)] * 40 + [("c", None), ("d", 2.0)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(3)
+    out = {r["g"] if keys else "all": r for r in quantiles.exact_quantiles(df, keys, "v", {"m": 0.5, "h": 0.9, "z": 0.0, "o": 1.0}).collect()}
+    groups = {k: [v for g, v in data if v is not None and (g == k or not keys)] for k in (("a", "b", None, "d") if keys else ("all",))}
+    assert set(out) == set(groups)
+    for g, values in groups.items():
+        for name, q in (("m", 0.5), ("h", 0.9), ("z", 0), ("o", 1)):
+            assert out[g][name] == pytest.approx(np.quantile(values, q), rel=1e-12, abs=1e-12), (g, name)
+    assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+
+
 def test_populations(spark):
     df = spark.createDataFrame(
         [("test", True, 10, 0.0), ("test", False, 100, 0.0)], "split string, baseline_eligible boolean, delay_seconds bigint, p double"
