@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 
@@ -67,30 +69,28 @@ def residue(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0, base^1, ... modulo the prime, by doubling."""
-    out = np.ones(n, np.uint64)
+    """base^0, base^1, ... modulo the prime, by doubling; half as wide as what they are multiplied with."""
+    out = np.ones(n, np.uint32)
     done = 1
     while done < n:
         more = min(done, n - done)
-        out[done:done + more] = residue(out[:more] * U64(pow(base, done, int(PRIME))))
+        out[done:done + more] = residue(out[:more].astype(np.uint64) * U64(pow(base, done, int(PRIME))))
         done += more
     return out
 
 
-class Powers:
-    """Powers of the bases and of their inverses, grown on demand; a copy sent to tasks starts empty."""
+def power_tables(bases: tuple[int, ...], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of the bases and of their inverses up to n, at least.
 
-    def __init__(self):
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def __reduce__(self):
-        return Powers, ()
-
-    def upto(self, bases: tuple[int, ...], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        if not self.tables or len(self.tables[0][0]) <= n:
-            n = max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-            self.tables = [(powers(b, n), powers(pow(b, -1, int(PRIME)), n)) for b in bases]
-        return self.tables
+    Tasks get their code by value, and so would get these tables; held by a module of their
+    own, they are made once in every process and never travel.
+    """
+    shared = sys.modules.setdefault("span_hash_tables", types.ModuleType("span_hash_tables"))
+    tables = vars(shared).setdefault("tables", {})
+    if bases not in tables or len(tables[bases][0][0]) <= n:
+        size = max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
+        tables[bases] = [(powers(b, size), powers(pow(b, -1, int(PRIME)), size)) for b in bases]
+    return tables[bases]
 
 
 class SpanHash:
@@ -104,10 +104,9 @@ class SpanHash:
 
     BYTES = draws(11, 512).reshape(2, 256) % (PRIME - U64(1)) + U64(1)
     BASES = (1_173_741_829, 1_918_734_321)  # fixed values, of large order modulo the prime
-    _powers = Powers()
 
     def __init__(self, data: np.ndarray):
-        self._tables = self._powers.upto(self.BASES, len(data))
+        self._tables = power_tables(self.BASES, len(data))
         self.sums = np.zeros((2, len(data) + 1), np.uint64)
         for k, (power, _) in enumerate(self._tables):
             for a in range(0, len(data), STRIP):  # strips that stay in the processor's cache
