@@ -11,7 +11,7 @@ from lagline.functions.clock import (
 from lagline.functions.once import with_columns_once
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.functions.text import destination_match_key
-from lagline.operators.asof import age_at, asof_backward
+from lagline.operators.asof import age_at
 from lagline.operators.signals import clock_offsets
 
 ANCHOR_MAX_AGE_SECONDS = 7200
@@ -42,6 +42,45 @@ def dated_anchors(observations: DataFrame) -> DataFrame:
     )
 
 
+def recent_anchors(headers: DataFrame, anchors: DataFrame, look_back: int, max_age_seconds: float) -> DataFrame:
+    """(snapshot_id, anchor_event, anchor_utc, anchor): what may date each response.
+
+    Anchors and responses of a trip are read in time order, once, and every response takes
+    the places of the `look_back` anchors before it. A span of time is as long as the age
+    bound and an anchor stands in its own and the next one, so no response looks further and
+    a trip that owns much of the data splits by time. Bus and age are judged before anything
+    is moved on, and anchors of one event and schedule leave the task as the newest of them.
+    Trips, times or buses that are null date nothing; a response without a bus is called ''.
+    """
+    width = F.lit(max(float(max_age_seconds), 1.0))
+    span = F.floor(epoch_seconds(F.col("received_at_utc")) / width)
+    known = F.col("trip_key").isNotNull() & F.col("received_at_utc").isNotNull()
+    fact = F.struct("place", "anchor_destination", "anchor_event", "anchor_utc", "anchor_bus", "received_at_utc")
+    offered = anchors.where(known).select(
+        "trip_key", F.explode(F.array(span, span + 1)).alias("_span"), "received_at_utc", F.lit(0).alias("_side"), "place",
+        fact.alias("_anchor"), F.lit(None).cast(headers.schema["snapshot_id"].dataType).alias("snapshot_id"),
+        F.lit(None).cast("string").alias("_bus"),
+    )
+    asked = headers.where(known).select(
+        "trip_key", span.alias("_span"), "received_at_utc", F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("place"),
+        F.lit(None).cast(offered.schema["_anchor"].dataType).alias("_anchor"), "snapshot_id",
+        F.coalesce("payload_bus_key", F.lit("")).alias("_bus"),
+    )
+    together = W.partitionBy("trip_key", "_span")
+    so_far = together.orderBy("received_at_utc", "_side", "place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = together.orderBy("_newest").rangeBetween(1 - look_back, W.currentRow)
+    at = F.col("received_at_utc")
+    usable = lambda a: (a["anchor_bus"] == F.col("_bus")) & (age_at(at, a["received_at_utc"]) <= max_age_seconds)
+    return (
+        offered.unionByName(asked)
+        .withColumn("_newest", F.max("place").over(so_far)).where(F.col("_newest").isNotNull())
+        .withColumn("_seen", F.collect_list("_anchor").over(near)).where("_side = 1")
+        .select("snapshot_id", F.explode(F.filter("_seen", usable)).alias("_a"))
+        .groupBy("snapshot_id", F.col("_a.anchor_event").alias("anchor_event"), F.col("_a.anchor_utc").alias("anchor_utc"))
+        .agg(F.max(F.struct("_a.place", "_a.anchor_destination")).alias("anchor"))
+    )
+
+
 def anchored_stops(
     trip_stops: DataFrame,
     anchors: DataFrame,
@@ -55,30 +94,12 @@ def anchored_stops(
     bus; among those the bus must match and the age be at most `max_age_seconds`.
     `undated_responses` lists the responses that no anchor dates.
     """
-    response = ["snapshot_id"]
-    timed = clock_offsets(trip_stops, response)
+    timed = clock_offsets(trip_stops, ["snapshot_id"])
     headers = timed.groupBy("snapshot_id").agg(
         *[F.first(c).alias(c) for c in ("payload_trip_key", "payload_bus_key", "received_at_utc", "_ordered", "_span")]
     ).withColumnRenamed("payload_trip_key", "trip_key")
-    latest = asof_backward(
-        headers, anchors, ["trip_key"], "received_at_utc", "received_at_utc", "place", [], name="newest"
-    )
-    candidates = (
-        latest.where(F.col("newest").isNotNull() & F.col("_ordered") & (F.col("_span") <= HALF_DAY))
-        .withColumn(
-            "place",
-            F.explode(
-                F.sequence(F.greatest(F.lit(1), F.col("newest.tie") - (look_back - 1)), F.col("newest.tie"))
-            ),
-        )
-        .select("snapshot_id", "trip_key", "payload_bus_key", F.col("received_at_utc").alias("_received"), "place")
-        .join(anchors.drop("snapshot_id"), ["trip_key", "place"])
-        .where(
-            # A response without a bus is called ''; an anchor without one never matches.
-            (F.col("anchor_bus") == F.coalesce("payload_bus_key", F.lit("")))
-            & (age_at(F.col("_received"), F.col("received_at_utc")) <= max_age_seconds)
-        )
-    )
+    datable = headers.where(F.col("_ordered") & (F.col("_span") <= HALF_DAY))
+    candidates = recent_anchors(datable, anchors, look_back, max_age_seconds)
     targets = timed.groupBy("snapshot_id", F.col("event_key").alias("anchor_event")).agg(
         F.count(F.lit(1)).alias("_same"), F.max("offset").alias("_target_offset")
     )
@@ -88,8 +109,7 @@ def anchored_stops(
         .where((F.col("_same") == 1) & (F.col("_target_offset") % DAY == seconds_of_day(anchor_local)))
         .withColumn("base", plus_seconds(anchor_local, -F.col("_target_offset")))
         # Anchors agreeing on the base date every stop alike; keep the newest of each.
-        .groupBy("snapshot_id", "base")
-        .agg(F.max(F.struct("place", "anchor_destination")).alias("anchor"))
+        .groupBy("snapshot_id", "base").agg(F.max("anchor").alias("anchor"))
     )
     dated = timed.join(fitting, "snapshot_id").withColumn(
         "scheduled_utc", utc_of_unambiguous(plus_seconds(F.col("base"), F.col("offset")), zone)

@@ -342,3 +342,31 @@ def test_requests_share_a_dated_response(spark):
     assert (row["upstream_delay_seconds"], row["upstream_estimated_passage_age_seconds"], row["date_anchor_snapshot_id"]) == (60, 60, "now-c")
     assert (row["upstream_bus_key"], row["upstream_trip_key"], row["progress_measurement_kind"]) == ("bus-a", "trip-a", signals.PROXY_KIND)
     assert row["upstream_scheduled_departure_utc"] == DUE - timedelta(minutes=8)
+
+
+def test_recent_anchors_equal_brute_force(spark):
+    """Ties in time, null trips, times and buses, anchors beyond the look-back and beyond the age."""
+    import random
+
+    rng, start = random.Random(5), datetime(2026, 9, 1)
+    moment = lambda: start + timedelta(seconds=600 * rng.randrange(60))
+    received = sorted((f"t{rng.randrange(3)}", moment()) for _ in range(240))
+    placed, seen = [], {}
+    for trip, at in received:
+        seen[trip] = seen.get(trip, 0) + 1
+        placed.append((trip, seen[trip], at, f"s{len(placed)}", DUE + timedelta(days=rng.randrange(2)), rng.choice("ab"), rng.choice(["x", "y", None]), "d"))
+    asked = [(f"r{i}", rng.choice(["t0", "t1", "t2", "t9", None]), rng.choice(["x", "y", "z", None]), moment()) for i in range(150)] + [("late", "t0", "x", None)]
+    anchors = spark.createDataFrame(placed, "trip_key string, place bigint, received_at_utc timestamp, snapshot_id string, anchor_utc timestamp, anchor_event string, anchor_bus string, anchor_destination string")
+    headers = spark.createDataFrame(asked, "snapshot_id string, trip_key string, payload_bus_key string, received_at_utc timestamp")
+    for look_back, age in ((4, 3600.0), (50, 7200.0), (1, 100000.0)):
+        expected = {}
+        for name, trip, bus, at in asked:
+            past = [p for p in placed if at is not None and p[0] == trip and p[2] <= at][-look_back:]
+            for p in past:
+                if p[6] == (bus or "") and (at - p[2]).total_seconds() <= age:
+                    expected[name, p[5], p[4]] = p[1]
+        found = trips.recent_anchors(headers, anchors, look_back, age)
+        got = {(r["snapshot_id"], r["anchor_event"], r["anchor_utc"]): r["anchor"]["place"] for r in found.collect()}
+        assert got == expected and expected
+    assert trips.recent_anchors(headers.where("false"), anchors, 4, 3600.0).count() == 0
+    assert trips.recent_anchors(headers, anchors.where("false"), 4, 3600.0).count() == 0
