@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lagline.operators import clean, policy, profile, spatial, timing
-from lagline.sinks.exports import write_route_groups
+from lagline.sinks.builds import Build
+from lagline.sinks.exports import with_key_text
 from lagline.sinks.tables import write_table
 from lagline.sources.capture import bundle_fingerprint, source_manifest
 from lagline.sources.reports import require_times
@@ -26,7 +29,9 @@ def build_history(
     """Clean once into a stored visits table, then derive every result from it.
 
     All routes are summarised in one pass; only the write splits by route. `sources`
-    names the input files, whose sizes and digests then join the source report.
+    names the input files, whose sizes and digests then join the source report. The output is
+    a committed build: its tables count once the file that states routes, groups, coverage,
+    rules and sources stands beside them. Results are returned as stored.
     """
     require_times(reports.where(F.col("type") == spatial.FULL_BUS))
     write_table(clean.clean_visits(raw, cutoff), f"{work}/visits", partition_by=["day"])
@@ -39,15 +44,28 @@ def build_history(
     groups = timing.timing_groups(
         visits, min_observations=min_observations, min_dates=min_dates, reports=profiles
     )
-    write_route_groups(groups, f"{output}/timing")
-    write_route_groups(evidence, f"{output}/report_evidence")
+    build = Build(spark, output)
+    stored = {
+        "timing": build.write("timing", with_key_text(groups), "json", ["route"]),
+        "evidence": build.write("report_evidence", with_key_text(evidence), "json", ["route"]),
+    }
+    counted = [
+        stored[name].groupBy("route").agg(F.count(F.lit(1)).alias(f"{name}_groups")) for name in ("timing", "evidence")
+    ]
     results = {
         "audit": clean.clean_audit(raw, cutoff), "coverage": coverage,
-        "report_audit": spatial.match_audit(screened, matched), "policy": policy.summarize_policy(evidence),
+        "report_audit": spatial.match_audit(screened, matched), "policy": policy.summarize_policy(stored["evidence"]),
+        "routes": counted[0].join(counted[1], "route", "full_outer").na.fill(0),
     }
     if sources:
         results["manifest"] = source_manifest(spark, sources)
         results["fingerprint"] = bundle_fingerprint(results["manifest"], cutoff)
+    range_of = {"start": F.min("day"), "end": F.max("day")}
     for name, frame in results.items():
-        frame.write.mode("errorifexists").json(f"{output}/{name}")
-    return {**results, "visits": visits, "timing": groups, "evidence": evidence, "matched": matched}
+        stored[name] = build.write(name, frame, "json", facts=range_of if name == "coverage" else None)
+    build.commit(
+        grouping=clean.GROUP, cutoff=cutoff, minObservations=min_observations, minDates=min_dates, policy=asdict(rules),
+        eligibleGroups=build.tables["timing"]["rows"], reportGroups=build.tables["report_evidence"]["rows"],
+        routes=build.tables["routes"]["rows"], coverage=build.tables["coverage"]["facts"],
+    )
+    return {**stored, "visits": visits, "matched": matched}

@@ -20,12 +20,6 @@ def with_key_text(groups: DataFrame) -> DataFrame:
     return groups.withColumn("group_key", group_key_json(*[F.col(c) for c in GROUP]))
 
 
-def write_route_groups(groups: DataFrame, path: str) -> None:
-    """One JSON folder per route, groups keyed by their text key."""
-    keyed = with_key_text(groups).hint("rebalance", F.col("route"))
-    keyed.write.mode("errorifexists").partitionBy("route").json(path)
-
-
 def dictionary(rows: DataFrame, column: str, code: str, value_order: Column | None = None, record: str | None = None) -> DataFrame:
     """(value, code, rows): dense codes from 0, by `value_order` of the distinct values or
     by the first `record` that holds them."""

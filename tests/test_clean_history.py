@@ -1,15 +1,18 @@
 """The small end-to-end history build, from archives to stored results."""
 
 import zipfile
+from dataclasses import asdict
 from datetime import datetime, timedelta
 
 import pytest
 
 from lagline.operators import clean
+from lagline.operators.policy import RatioPolicy
 from lagline.plans.history_build import build_history
 from lagline.schemas import DEPARTURE_COLUMNS
 from lagline.sources.capture import bundle_fingerprint, source_manifest
 from lagline.sources.departures import read_departures_csv, read_departures_history
+from lagline.sinks.builds import committed, verify_build
 from lagline.sources.reports import read_reports
 from tests.conftest import rows
 
@@ -101,6 +104,11 @@ def test_history_build(spark, folder, inputs):
     stored = spark.read.json(f"{folder}/out/timing")
     assert stored.first()["group_key"] == '["F8","1","downtown","weekday",12]' and stored.first()["route"] == "F8"
     assert spark.read.json(f"{folder}/out/report_evidence").count() == 1
+    stated = committed(spark, f"{folder}/out")
+    assert (stated["eligibleGroups"], stated["reportGroups"], stated["routes"], stated["policy"]) == (1, 1, 1, asdict(RatioPolicy()))
+    assert stated["coverage"] == {"start": "2025-07-01", "end": "2026-01-12"}
+    assert rows(out["routes"]) == [("F8", 1, 1)]
+    assert out["policy"].count() > 0 and rows(verify_build(spark, f"{folder}/out").where("not as_written")) == []
 
 
 def test_archive_must_hold_one_csv(spark, folder):
