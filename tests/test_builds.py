@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lagline.plans.lookup_build import build_lookup
 from lagline.sinks import builds
 from tests.conftest import rows
 
@@ -55,3 +56,16 @@ def test_digest_tells_tables_apart(spark):
     assert base == take(make(("y", "z"), ("x", None)).select("b", "a"))
     assert len({base, take(make((None, "x"), ("y", "z"))), take(make(("x", None), ("y", "z"), ("y", "z"))), take(make(("x", None)))}) == 4
     assert take(make(("x", "y")).where("false")) == (0, 0)
+
+
+def test_lookup_job_needs_training_before_evaluation(spark, folder):
+    columns = ("row_id string, stop_number string, destination string, day_type string, hour int, delay_seconds bigint, "
+               "scheduled_time_local timestamp_ntz, baseline_eligible boolean, valid_required_fields boolean, flag_invalid_location boolean, split string")
+    row = lambda i, split, day, delay=60: (f"r{i}", "1", "d", "Weekday", 8, delay, datetime(2026, 1, day, 8), True, True, i == 0, split)
+    data = [row(i, "train", 1 + i) for i in range(4)] + [row(8, "validation", 10, 90), row(9, "test", 12, 180)]
+    out = build_lookup(spark.createDataFrame(data, columns), f"{folder}/good", minimum_count=2)
+    assert builds.committed(spark, f"{folder}/good")["testMae"] == 120.0
+    assert rows(out["predictions"], "row_id", "prediction_seconds") == [("r8", 60.0), ("r9", 60.0)] and out["review"].count() == 1
+    with pytest.raises(ValueError, match="training and evaluation"):
+        build_lookup(spark.createDataFrame([*data, row(7, "train", 11)], columns), f"{folder}/bad", minimum_count=2)
+    assert builds.committed(spark, f"{folder}/bad") is None
