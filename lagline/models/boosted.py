@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from lagline.functions.clock import epoch_seconds
@@ -15,7 +15,9 @@ from lagline.models import tuning
 from lagline.models.features import CATEGORICAL, FEATURES, with_features
 from lagline.operators.lookup import fit_lookup, predict_lookup
 from lagline.operators.metrics import error_metrics
-from lagline.staging import staged
+from lagline.staging import release, staged, written
+
+STRIDE = 16  # trees grown between two writes of the rows and their sums
 
 
 @dataclass(frozen=True)
@@ -56,11 +58,9 @@ def encoder(recipe: Recipe) -> Pipeline:
 def fit_trees(training: DataFrame, recipe: Recipe, validation: DataFrame | None = None) -> PipelineModel:
     """Absolute-loss boosting; with `validation` rows it keeps the trees up to their best one.
 
-    Encoders see training rows only. The encoded rows are stored once, as every tree
-    reads them again. Later trees fit the signs of errors, so labels are in units of their own
-    mean absolute deviation while trees grow, and the trees' weights bring seconds back.
-    Fits cannot be resumed, but a longer one begins with the same trees: sizes double until
-    patience has run out.
+    Encoders see training rows only. Later trees fit the signs of errors, so labels are in
+    units of their own mean absolute deviation while trees grow, and the trees' weights bring
+    seconds back.
     """
     train = with_features(training).withColumn("_holdout", F.lit(False))
     rows = train
@@ -71,21 +71,49 @@ def fit_trees(training: DataFrame, recipe: Recipe, validation: DataFrame | None
     label = F.col("delay_seconds").cast("double")
     middle = training.agg(F.percentile(label, 0.5)).first()[0]
     unit = training.agg(F.avg(F.abs(label - middle))).first()[0] or 1.0
-    encoded = staged(encoding.transform(rows).select("features", (label / unit).alias("label"), "_holdout"))
-    grown, held = encoded.where("not _holdout"), encoded.where("_holdout")
-    size = recipe.iterations if validation is None else min(recipe.iterations, recipe.patience + recipe.patience // 4 + 1)
-    while True:
-        trees = GBTRegressor(
-            lossType="absolute", maxDepth=recipe.depth, maxIter=size, stepSize=recipe.learning_rate,
-            maxBins=max(recipe.max_bins, widest), seed=recipe.seed, predictionCol="prediction_boosted",
-            checkpointInterval=5, cacheNodeIds=False,
-        ).fit(grown)
-        kept = size
-        if validation is not None:
-            kept = best_size(trees.evaluateEachIteration(held, "absolute"), recipe.patience)
-        if validation is None or size == recipe.iterations or kept + recipe.patience <= size:
-            return PipelineModel(stages=[*encoding.stages, _first_trees(trees, kept, unit)])
-        size = min(recipe.iterations, 2 * size)
+    encoded = encoding.transform(rows).select("features", (label / unit).alias("label"), "_holdout")
+    trees, errors = grow(encoded, recipe, max(recipe.max_bins, widest))
+    kept = best_size(errors, recipe.patience) if errors else len(trees)
+    return PipelineModel(stages=[*encoding.stages, _ensemble(trees[:kept], recipe.learning_rate, unit)])
+
+
+def grow(encoded: DataFrame, recipe: Recipe, bins: int) -> tuple[list[DecisionTreeRegressionModel], list[float]]:
+    """(trees, held-out error after each) of absolute-loss boosting on (features, label, _holdout).
+
+    The first tree fits the labels, each later one the signs of the errors left. The sum so
+    far is a column of the rows, and the rows are written again after STRIDE trees, so a round
+    costs one tree and at most STRIDE predictions however many trees there are. The errors of
+    a stride are one aggregate; it ends the growth once patience has run out. Without held-out
+    rows there are no errors, and all `iterations` trees grow.
+    """
+    spark = encoded.sparkSession
+    mark = len(written())
+    state = staged(encoded.withColumn("_sum", F.lit(0.0)), "boosting")
+    checked = not state.where("_holdout").isEmpty()
+    trees: list[DecisionTreeRegressionModel] = []
+    errors: list[float] = []
+    try:
+        while len(trees) < recipe.iterations and (not errors or best_size(errors, recipe.patience) + recipe.patience > len(errors)):
+            moved, gaps = state, []
+            for _ in range(min(STRIDE, recipe.iterations - len(trees))):
+                left = F.col("label") - F.col("_sum")
+                target = F.when(left < 0, -1.0).otherwise(1.0) if trees else F.col("label")
+                tree = DecisionTreeRegressor(
+                    labelCol="_target", predictionCol="_tree", maxDepth=recipe.depth, maxBins=bins, seed=recipe.seed,
+                ).fit(moved.where("not _holdout").select("features", target.alias("_target")))
+                weight = recipe.learning_rate if trees else 1.0
+                trees.append(tree)
+                moved = tree.transform(moved).withColumn("_sum", F.col("_sum") + weight * F.col("_tree")).drop("_tree")
+                gaps.append(f"_gap{len(gaps)}")
+                moved = moved.withColumn(gaps[-1], F.abs(F.col("label") - F.col("_sum")))
+            last, state = written(mark), staged(moved, "boosting")
+            if checked:
+                errors += list(state.where("_holdout").agg(*[F.avg(g) for g in gaps]).first())
+            state = state.drop(*gaps)
+            release(spark, last)
+    finally:
+        release(spark, written(mark))
+    return trees, errors
 
 
 def best_size(errors: list[float], patience: int) -> int:
@@ -99,16 +127,16 @@ def best_size(errors: list[float], patience: int) -> int:
     return best + 1
 
 
-def _first_trees(model: GBTRegressionModel, kept: int, unit: float) -> GBTRegressionModel:
-    """The first `kept` trees, their weights times `unit`."""
-    java, context = model._java_obj, SparkContext._active_spark_context
+def _ensemble(trees: list[DecisionTreeRegressionModel], rate: float, unit: float) -> GBTRegressionModel:
+    """One model of all trees: the first counts whole, the others by `rate`, in units of `unit`."""
+    context = SparkContext._active_spark_context
     package = context._jvm.org.apache.spark.ml.regression
-    trees = context._gateway.new_array(package.DecisionTreeRegressionModel, kept)
-    weights = context._gateway.new_array(context._jvm.double, kept)
-    for k, (tree, weight) in enumerate(zip(java.trees()[:kept], model.treeWeights)):
-        trees[k], weights[k] = tree, weight * unit
-    short = GBTRegressionModel(package.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
-    return short.setPredictionCol(model.getPredictionCol())
+    own = context._gateway.new_array(package.DecisionTreeRegressionModel, len(trees))
+    weights = context._gateway.new_array(context._jvm.double, len(trees))
+    for k, tree in enumerate(trees):
+        own[k], weights[k] = tree._java_obj, unit * (rate if k else 1.0)
+    name = GBTRegressor().uid
+    return GBTRegressionModel(package.GBTRegressionModel(name, own, weights, trees[0].numFeatures)).setPredictionCol("prediction_boosted")
 
 
 def tree_count(model: PipelineModel) -> int:

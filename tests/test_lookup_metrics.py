@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from lagline.functions import quantiles
@@ -189,6 +190,23 @@ def test_boosting_goes_on_while_validation_improves(spark):
     assert boosted.best_size([5.0, 4.0, 4.5, 4.2, 3.9, 4.0, 4.0, 1.0], 3) == 8
 
 
+@pytest.mark.parametrize("stride", [1, 4, 16])
+def test_boosting_from_stored_sums_grows_the_trees_of_one_fit(spark, monkeypatch, stride):
+    monkeypatch.setattr(boosted, "STRIDE", stride)
+    rows_ = departures(spark, 300).withColumn("delay_seconds", F.expr("600 * int(substr(stop_number, 2)) + 40 * hour"))
+    recipe = boosted.Recipe(depth=3, iterations=9, learning_rate=0.2)
+    train = features.with_features(rows_)
+    encoded = boosted.encoder(recipe).fit(train).transform(train).select(
+        "features", (F.col("delay_seconds") / 1000.0).alias("label"), F.lit(False).alias("_holdout"))
+    trees, errors = boosted.grow(encoded, recipe, recipe.max_bins)
+    whole = GBTRegressor(
+        lossType="absolute", maxDepth=3, maxIter=9, stepSize=0.2, maxBins=recipe.max_bins, seed=recipe.seed).fit(encoded)
+    assert len(trees) == 9 and errors == []
+    assert [t.toDebugString.split("\n", 1)[1] for t in trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.trees]
+    alone = boosted._ensemble(trees, 0.2, 1.0).transform(encoded).select("prediction_boosted")
+    assert [round(r[0], 9) for r in alone.collect()] == [round(r[0], 9) for r in whole.transform(encoded).select("prediction").collect()]
+
+
 def test_scoring_reports_unseen_and_importance(spark):
     train = departures(spark, 200)
     model = boosted.fit_trees(train, boosted.Recipe(depth=3, iterations=2))
