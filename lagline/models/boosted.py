@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import SparkContext
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
@@ -15,9 +16,10 @@ from lagline.models import tuning
 from lagline.models.features import CATEGORICAL, FEATURES, with_features
 from lagline.operators.lookup import fit_lookup, predict_lookup
 from lagline.operators.metrics import error_metrics
-from lagline.staging import release, staged, written
+from lagline.staging import release, staged
 
 STRIDE = 16  # trees grown between two writes of the rows and their sums
+AT_ONCE = 4  # recipes fitted at the same time
 
 
 @dataclass(frozen=True)
@@ -77,42 +79,49 @@ def fit_trees(training: DataFrame, recipe: Recipe, validation: DataFrame | None
     return PipelineModel(stages=[*encoding.stages, _ensemble(trees[:kept], recipe.learning_rate, unit)])
 
 
-def grow(encoded: DataFrame, recipe: Recipe, bins: int) -> tuple[list[DecisionTreeRegressionModel], list[float]]:
+def grow(encoded: DataFrame, recipe: Recipe, bins: int, opening: int | None = None) -> tuple[list[DecisionTreeRegressionModel], list[float]]:
     """(trees, held-out error after each) of absolute-loss boosting on (features, label, _holdout).
 
-    The first tree fits the labels, each later one the signs of the errors left. The sum so
-    far is a column of the rows, and the rows are written again after STRIDE trees, so a round
-    costs one tree and at most STRIDE predictions however many trees there are. The errors of
-    a stride are one aggregate; it ends the growth once patience has run out. Without held-out
-    rows there are no errors, and all `iterations` trees grow.
+    The first tree fits the labels, each later one the signs of the errors left. One fit grows
+    the `opening` trees: all without held-out rows, else a few more than the patience asks for
+    at least. After that the sum so far is a column of the rows, and the rows are written again
+    after STRIDE trees, so a tree more costs one tree and at most STRIDE predictions however
+    many there are. The errors of a stride are one aggregate; growth ends once patience has
+    run out. Without held-out rows there are no errors, and all `iterations` trees grow.
     """
     spark = encoded.sparkSession
-    mark = len(written())
-    state = staged(encoded.withColumn("_sum", F.lit(0.0)), "boosting")
+    own: list[str] = []
+    state = staged(encoded, "boosting", own)
     checked = not state.where("_holdout").isEmpty()
-    trees: list[DecisionTreeRegressionModel] = []
-    errors: list[float] = []
+    if opening is None:
+        opening = recipe.patience + recipe.patience // 4 + 1 if checked else recipe.iterations
     try:
+        first = GBTRegressor(
+            lossType="absolute", maxDepth=recipe.depth, maxIter=min(opening, recipe.iterations), stepSize=recipe.learning_rate,
+            maxBins=bins, seed=recipe.seed, predictionCol="_sum", checkpointInterval=5, cacheNodeIds=False,
+        ).fit(state.where("not _holdout"))
+        trees: list[DecisionTreeRegressionModel] = list(first.trees)
+        errors: list[float] = first.evaluateEachIteration(state.where("_holdout"), "absolute") if checked else []
+        state = first.transform(state)
         while len(trees) < recipe.iterations and (not errors or best_size(errors, recipe.patience) + recipe.patience > len(errors)):
             moved, gaps = state, []
             for _ in range(min(STRIDE, recipe.iterations - len(trees))):
                 left = F.col("label") - F.col("_sum")
-                target = F.when(left < 0, -1.0).otherwise(1.0) if trees else F.col("label")
+                target = F.when(left < 0, -1.0).otherwise(1.0)
                 tree = DecisionTreeRegressor(
                     labelCol="_target", predictionCol="_tree", maxDepth=recipe.depth, maxBins=bins, seed=recipe.seed,
                 ).fit(moved.where("not _holdout").select("features", target.alias("_target")))
-                weight = recipe.learning_rate if trees else 1.0
                 trees.append(tree)
-                moved = tree.transform(moved).withColumn("_sum", F.col("_sum") + weight * F.col("_tree")).drop("_tree")
+                moved = tree.transform(moved).withColumn("_sum", F.col("_sum") + recipe.learning_rate * F.col("_tree")).drop("_tree")
                 gaps.append(f"_gap{len(gaps)}")
                 moved = moved.withColumn(gaps[-1], F.abs(F.col("label") - F.col("_sum")))
-            last, state = written(mark), staged(moved, "boosting")
+            state = staged(moved, "boosting", own)
             if checked:
                 errors += list(state.where("_holdout").agg(*[F.avg(g) for g in gaps]).first())
             state = state.drop(*gaps)
-            release(spark, last)
+            release(spark, [own.pop(0)])
     finally:
-        release(spark, written(mark))
+        release(spark, own)
     return trees, errors
 
 
@@ -190,9 +199,7 @@ def select_depth(
     says nothing about the best size, so it is an error unless `allow_cap`.
     """
     records, best, best_mae = [], None, float("inf")
-    for recipe in recipes:
-        model = fit_trees(training, recipe, validation)
-        mae = _mae(score(model, validation))
+    for recipe, model, mae in _fitted(training, validation, recipes):
         records.append((recipe.name, recipe.depth, tree_count(model), stopped_by(model, recipe), mae))
         if mae < best_mae:
             best, best_mae = model, mae
@@ -201,6 +208,20 @@ def select_depth(
     return best, _settled(spark.createDataFrame(records, schema), allow_cap)
 
 
+def _fitted(training: DataFrame, validation: DataFrame, recipes: list[Recipe]) -> list[tuple[Recipe, PipelineModel, float]]:
+    """(recipe, model, validation error) in the order given.
+
+    A level of a tree is a short job, so the recipes' jobs share the cluster.
+    """
+
+    def fitted(recipe: Recipe) -> tuple[Recipe, PipelineModel, float]:
+        model = fit_trees(training, recipe, validation)
+        return recipe, model, _mae(score(model, validation))
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(training.sparkSession)(fitted), recipes))
+
+
 def _mae(scored: DataFrame) -> float:
     return scored.agg(F.avg(F.abs(F.col("prediction_boosted") - F.col("delay_seconds")))).first()[0]
 
@@ -216,9 +237,8 @@ def cross_validate(rows: DataFrame, plan: tuning.Plan, recipes: list[Recipe], al
         train, validation = tuning.fold_rows(development, plan, fold)
         if train.isEmpty() or validation.isEmpty():
             raise ValueError("a fold is empty")
-        for recipe in recipes:
-            model = fit_trees(train, recipe, validation)
-            records.append((recipe.name, number, tree_count(model), stopped_by(model, recipe), _mae(score(model, validation))))
+        for recipe, model, mae in _fitted(train, validation, recipes):
+            records.append((recipe.name, number, tree_count(model), stopped_by(model, recipe), mae))
     schema = "candidate string, fold int, tree_count int, stopped_by string, mae_seconds double"
     return _settled(rows.sparkSession.createDataFrame(records, schema), allow_cap)
 

@@ -190,15 +190,15 @@ def test_boosting_goes_on_while_validation_improves(spark):
     assert boosted.best_size([5.0, 4.0, 4.5, 4.2, 3.9, 4.0, 4.0, 1.0], 3) == 8
 
 
-@pytest.mark.parametrize("stride", [1, 4, 16])
-def test_boosting_from_stored_sums_grows_the_trees_of_one_fit(spark, monkeypatch, stride):
+@pytest.mark.parametrize("stride, opening", [(1, 6), (4, 1), (16, 3)])
+def test_boosting_from_stored_sums_grows_the_trees_of_one_fit(spark, monkeypatch, stride, opening):
     monkeypatch.setattr(boosted, "STRIDE", stride)
     rows_ = departures(spark, 300).withColumn("delay_seconds", F.expr("600 * int(substr(stop_number, 2)) + 40 * hour"))
     recipe = boosted.Recipe(depth=3, iterations=9, learning_rate=0.2)
     train = features.with_features(rows_)
     encoded = boosted.encoder(recipe).fit(train).transform(train).select(
         "features", (F.col("delay_seconds") / 1000.0).alias("label"), F.lit(False).alias("_holdout"))
-    trees, errors = boosted.grow(encoded, recipe, recipe.max_bins)
+    trees, errors = boosted.grow(encoded, recipe, recipe.max_bins, opening)
     whole = GBTRegressor(
         lossType="absolute", maxDepth=3, maxIter=9, stepSize=0.2, maxBins=recipe.max_bins, seed=recipe.seed).fit(encoded)
     assert len(trees) == 9 and errors == []
