@@ -3,12 +3,14 @@
 Every tree splits recursively along a random direction at the sample's median; vectors near
 a split go to both sides, so a close pair rarely parts, and several trees make up for it.
 Vectors are compared inside leaves only, by cosine, and a pair that shares several leaves
-counts in the first. Equal vectors are one class with a weight before anything is compared.
+counts in the first. Leaves that the sample was too small to split are split again, each by a
+sample of its own, until none is too large or it is too dense to part. Equal vectors are one class with a weight before anything is compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,6 +23,7 @@ SPILL = 0.75  # half-width of the overlap, in standard deviations of a projected
 LEAF_ROWS = 3000  # a node of about so many vectors is not split further
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 2_000_000  # bounds of the sample the splits are fitted on
 SAMPLE_LEAST = 64  # a node with fewer sample rows is not split further
+LEAF_SAMPLE = 5_000  # sample rows that a leaf too large is split by, SAMPLE_VALUES components at most
 BLOCK = 1024  # vectors of one leaf that one task compares, per side
 
 
@@ -101,6 +104,95 @@ def _routed(classes: DataFrame, forest: Forest) -> DataFrame:
         run, f"class bigint, label {kind}, dim int, members bigint, unit binary, leaves array<bigint>")
 
 
+def _direction(leaf: int, node: int, dim: int) -> np.ndarray:
+    direction = np.random.default_rng((leaf, node)).standard_normal(dim)
+    return direction / np.linalg.norm(direction)
+
+
+def leaf_splits(unit: np.ndarray, leaf: int, rows: int, margin: float, leaf_rows: int) -> dict[int, float]:
+    """Thresholds by node of one leaf of `rows` vectors, of which `unit` is a sample; none if it is too dense to part."""
+    nodes, todo = {}, [(0, np.arange(len(unit)))]
+    while todo:
+        node, members = todo.pop()
+        if len(members) < 2 * SAMPLE_LEAST or len(members) * rows <= leaf_rows * len(unit):
+            continue
+        at = unit[members] @ _direction(leaf, node, unit.shape[1])
+        middle = float(np.median(at))
+        sides = members[at < middle + margin], members[at >= middle - margin]
+        if max(map(len, sides)) > 0.9 * len(members):
+            continue
+        nodes[node] = middle
+        todo += [(2 * node + 1, sides[0]), (2 * node + 2, sides[1])]
+    return nodes
+
+
+def _parted(unit: np.ndarray, leaf: int, nodes: dict[int, float], margin: float) -> list[tuple[np.ndarray, int]]:
+    """(rows, node) of every end of a leaf's splits."""
+    out, todo = [], [(0, np.arange(len(unit)))]
+    while todo:
+        node, members = todo.pop()
+        if not len(members):
+            continue
+        if node not in nodes:
+            out.append((members, node))
+            continue
+        at = unit[members] @ _direction(leaf, node, unit.shape[1])
+        todo += [(2 * node + 1, members[at < nodes[node] + margin]), (2 * node + 2, members[at >= nodes[node] - margin])]
+    return out
+
+
+def _split_again(routed: DataFrame, spill: float, threshold: float, leaf_rows: int) -> DataFrame:
+    """`routed` with no leaf of over twice `leaf_rows` vectors but those too dense to part.
+
+    Each round counts the leaves, fits the splits of those too large in one task a leaf from
+    at most about LEAF_SAMPLE of its rows, and deals their rows anew; the splits meet the rows by an
+    ordinary join, so a leaf's rows may spread over tasks. A leaf that cannot be parted gets
+    a negative number, which says that it is done.
+    """
+    kind = routed.schema["label"].dataType.simpleString()
+    key = ["label", "dim", "leaf"]
+    scale = spill * np.sqrt(2 - 2 * threshold)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        unit = np.frombuffer(b"".join(pdf.sort_values("class")["unit"]), np.float64).reshape(len(pdf), -1)
+        nodes = leaf_splits(unit, int(first["leaf"]), int(first["n"]), scale / np.sqrt(unit.shape[1]), leaf_rows)
+        return pd.DataFrame({"label": pdf["label"].iloc[:1].values, "dim": [first["dim"]], "leaf": [first["leaf"]],
+                             "nodes": [list(nodes)], "middles": [list(nodes.values())]})
+
+    def deal(batches):
+        for pdf in batches:
+            for (_, dim, leaf), rows in pdf.groupby(key, sort=False):
+                nodes = {} if rows["nodes"].iloc[0] is None else dict(zip(rows["nodes"].iloc[0], rows["middles"].iloc[0]))
+                unit = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
+                for members, node in _parted(unit, int(leaf), nodes, scale / np.sqrt(dim)):
+                    yield pd.DataFrame({"class": rows["class"].to_numpy()[members], "leaf": leaf, "node": node if nodes else -1})
+
+    while True:
+        large = (
+            routed.select("label", "dim", F.explode("leaves").alias("leaf")).where("leaf >= 0").groupBy(*key)
+            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * leaf_rows)
+        )
+        large = staged(large, "large")
+        if large.isEmpty():
+            return routed
+        inside = routed.select("label", "dim", "class", "unit", F.explode("leaves").alias("leaf")).join(large, key)
+        most = F.greatest(F.lit(4 * SAMPLE_LEAST), F.least(F.lit(LEAF_SAMPLE), F.floor(F.lit(SAMPLE_VALUES) / F.col("dim"))))
+        chosen = F.pmod(F.xxhash64("class", "leaf"), F.lit(1 << 30)) < most / F.col("n") * (1 << 30)
+        splits = inside.where(chosen).groupBy(*key).applyInPandas(
+            fit, f"label {kind}, dim int, leaf bigint, nodes array<bigint>, middles array<double>")
+        dealt = inside.join(staged(splits, "splits"), key, "left").select(*key, "class", "unit", "nodes", "middles").mapInPandas(
+            deal, "class bigint, leaf bigint, node bigint")
+        # A leaf's new number is a hash of the old one and the node; equal numbers by chance only join two leaves.
+        new = F.when(F.col("node") < 0, F.bitwise_not("leaf")).otherwise(F.shiftrightunsigned(F.xxhash64("leaf", "node"), 1))
+        moved = dealt.select("class", "leaf", new.alias("new")).groupBy("class").agg(
+            F.collect_set("leaf").alias("left"), F.collect_set("new").alias("entered"))
+        none = F.array().cast("array<bigint>")
+        leaves = F.array_union(F.array_except("leaves", F.coalesce("left", none)), F.coalesce("entered", none))
+        routed = staged(routed.join(moved, "class", "left").select(
+            "class", "label", "dim", "members", "unit", F.array_sort(leaves).alias("leaves")), "routed")
+
+
 def _earlier(leaves: list, leaf: int) -> np.ndarray:
     """0/1 by vector and leaf, for the leaves before `leaf`: a positive product of two rows says that they met before."""
     lists = [[x for x in own if x < leaf] for own in leaves]
@@ -168,7 +260,7 @@ def link_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     picked = [r[0] for r in classes.select("vector").where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < chance).limit(2 * most).collect()]
     sample = unit_vectors(np.array([v + [0.0] * (width - len(v)) for v in picked])) if picked else np.zeros((0, 1))
     forest = Forest(sample, total, trees, spill, threshold, leaf_rows)
-    routed = staged(_routed(classes, forest), "routed")
+    routed = _split_again(staged(_routed(classes, forest), "routed"), spill, threshold, leaf_rows)
     in_leaf = routed.select("label", "dim", "class", F.explode("leaves").alias("leaf"))
     large = (
         in_leaf.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("n"))

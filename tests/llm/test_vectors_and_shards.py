@@ -1,6 +1,7 @@
 """Vector links against all pairs, and shards against their law."""
 
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +69,25 @@ def test_recall_and_no_false_links(spark, monkeypatch, block):
     assert sum(f == w for f, w in pairs) >= 0.95 * len(pairs)
 
 
+def test_large_leaves_are_split_again_by_their_own_sample(spark, monkeypatch):
+    monkeypatch.setattr(rp_forest, "SAMPLE_ROWS", 256)
+    monkeypatch.setattr(rp_forest, "LEAF_SAMPLE", 300)
+    seen = []
+    again = rp_forest._split_again
+    monkeypatch.setattr(rp_forest, "_split_again", lambda *a: seen.append((a[0], again(*a))) or seen[-1][1])
+    rows = planted(seed=2)
+    found, want = got(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA), leaf_rows=50), exact(rows)
+    before, after = ([r["leaves"] for r in f.orderBy("class").collect()] for f in seen[0])
+    labels = [r[0] for r in seen[0][1].orderBy("class").select("label").collect()]
+    sizes = Counter((label, leaf) for label, own in zip(labels, after) for leaf in own)
+    assert max(Counter((label, leaf) for label, own in zip(labels, before) for leaf in own).values()) > 300
+    assert max(n for (_, leaf), n in sizes.items() if leaf >= 0) <= 100
+    assert any(leaf < 0 for _, leaf in sizes) and all(after)  # the dense group stays whole
+    pairs = list(zip(found, want))
+    assert all(f[0] == w[0] and f[1] <= w[1] for f, w in pairs)
+    assert sum(f[1] for f in found) >= 0.95 * sum(w[1] for w in want)
+
+
 def test_odd_vectors(spark):
     one, nan, inf = [1.0, 0.0], float("nan"), float("inf")
     rows = [
