@@ -80,5 +80,8 @@ def rank_candidates(records: DataFrame) -> DataFrame:
     )
 
 
-def best_candidate(scores: DataFrame, name: str = "candidate", score: str = "mae_seconds") -> DataFrame:
-    return scores.agg(F.min_by(name, F.struct(score, name)).alias(name), F.min(score).alias(score))
+def best_candidate(
+    scores: DataFrame, name: str = "candidate", score: str = "mae_seconds", by: list[str] | None = None
+) -> DataFrame:
+    """The lowest score and its candidate, of equal ones the first by name; one row for each value of `by`."""
+    return scores.groupBy(*by or []).agg(F.min_by(name, F.struct(score, name)).alias(name), F.min(score).alias(score))

@@ -159,11 +159,18 @@ UNION ALL SELECT 'reference', {number}, 2, avg(abs(delay_seconds - {median})) FR
 UNION ALL SELECT 'by_stop', {number}, 3 + {number}, avg(abs(p.delay_seconds - coalesce(m, {median}))) FROM (SELECT * FROM {rows}) p LEFT JOIN {by_stop} s USING (stop_number)"""
 
 
-@query(f"""{PREPARED_CTE}, records AS ({" UNION ALL ".join(_fold_record_sql(i, *f) for i, f in enumerate(FOLDS, 1))})
+RECORDS_CTE = f"""{PREPARED_CTE}, records AS ({" UNION ALL ".join(_fold_record_sql(i, *f) for i, f in enumerate(FOLDS, 1))})"""
+
+
+@query(f"""{RECORDS_CTE}
 SELECT candidate, round(avg(mae_seconds), 6) AS mean_validation_mae_seconds, floor(median(tree_count))::bigint AS final_tree_count,
        count(*) AS folds FROM records GROUP BY candidate""")
 def candidate_rank(spark, sf_dir):
     """Rolling-origin folds scored with three lookup candidates, then ranked."""
+    return rounded(tuning.rank_candidates(_fold_records(spark, sf_dir)), 6, "mean_validation_mae_seconds")
+
+
+def _fold_records(spark, sf_dir):
     rows = stored(spark, sf_dir)
     records = None
     for number, fold in enumerate(PLAN.folds, 1):
@@ -182,7 +189,14 @@ def candidate_rank(spark, sf_dir):
             "candidate", F.lit(number).alias("fold"), sizes[F.col("candidate")].alias("tree_count"), "mae_seconds"
         )
         records = part if records is None else records.unionByName(part)
-    return rounded(tuning.rank_candidates(records), 6, "mean_validation_mae_seconds")
+    return records
+
+
+@query(f"""{RECORDS_CTE}
+SELECT fold, arg_min(candidate, (mae_seconds, candidate)) AS candidate, round(min(mae_seconds), 6) AS mae_seconds FROM records GROUP BY fold""")
+def best_candidates(spark, sf_dir):
+    """The candidate with the lowest error of every fold; of equal ones the first by name."""
+    return rounded(tuning.best_candidate(_fold_records(spark, sf_dir), by=["fold"]), 6, "mae_seconds")
 
 
 @query()

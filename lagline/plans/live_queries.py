@@ -238,7 +238,7 @@ def unique_match(spark, sf_dir):
     return _links(spark, sf_dir).drop("measured_schedule_utc")
 
 
-@query(f"""{LINK_CTE}, obs2 AS (
+JUDGED_CTE = f"""{LINK_CTE}, obs2 AS (
   SELECT *, scheduled_departure_utc AS due FROM ({oracle(observations)}) x),
 paired AS (
   SELECT o.* REPLACE (l.trip_key AS trip_key, l.scheduled_stop_key AS scheduled_stop_key), o.snapshot_id AS sid
@@ -258,18 +258,31 @@ judged AS (
          WHEN epoch(cutoff) - epoch(received_at_utc) > {MAX_AGE} THEN 'snapshot_stale' WHEN cancelled THEN 'cancelled_at_cutoff'
          WHEN est IS NULL THEN 'estimate_missing'
          WHEN epoch(due) - deviation <= epoch(cutoff) THEN 'already_departed_at_cutoff' END AS exclusion
-  FROM picked WHERE place = 1),
+  FROM picked WHERE place = 1)"""
+
+
+@query(f"""{JUDGED_CTE},
 errors AS (
   SELECT horizon_minutes, 'api' AS method, est - actual AS e, trip_key, est FROM judged WHERE exclusion IS NULL
   UNION ALL SELECT horizon_minutes, 'on_time', -actual, trip_key, est FROM judged WHERE exclusion IS NULL)
 SELECT horizon_minutes, method, {MEASURES}, count(DISTINCT trip_key) AS distinct_trips, bool_and(est = 0) AS all_predictions_equal_schedule
 FROM errors GROUP BY ALL""")
 def live_evaluation(spark, sf_dir):
+    return rounded(evaluate.horizon_scores(_ledger(spark, sf_dir)), 6, *MEASURED)
+
+
+def _ledger(spark, sf_dir):
     links = _links(spark, sf_dir)
     keys = view(spark, sf_dir, linked_observations, parse_heavy=True).select("snapshot_id", "trip_key", "scheduled_stop_key")
     observed = _observations(spark, sf_dir).drop("trip_key", "scheduled_stop_key").join(keys, "snapshot_id")
-    ledger = staged(evaluate.forecast_ledger(observed, links, HORIZONS, MAX_AGE))
-    return rounded(evaluate.horizon_scores(ledger), 6, *MEASURED)
+    return staged(evaluate.forecast_ledger(observed, links, HORIZONS, MAX_AGE))
+
+
+@query(f"""{JUDGED_CTE}
+SELECT horizon_minutes, exclusion, count(*) AS events FROM judged WHERE exclusion IS NOT NULL GROUP BY ALL""")
+def live_exclusions(spark, sf_dir):
+    """Why events have no forecast at a horizon, counted by reason."""
+    return evaluate.exclusion_counts(_ledger(spark, sf_dir))
 
 
 STOPS_CTE = f"""
