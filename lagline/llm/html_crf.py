@@ -45,20 +45,27 @@ AGAINST = set("""ad ads advert advertisement sponsor sponsored promo banner nav
     footer foot sidebar side aside widget related recommended share social cookie cookies consent notice gdpr alert popup modal overlay
     comment comments reply respond disqus form login signup subscribe newsletter search copyright legal pagination pager tags meta
     toolbar""".split())
+KNOWN = FOR | AGAINST
 
 
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    tags: tuple[str, ...]  # of its ancestors, each once, the innermost last
+    names: frozenset[str]  # those of its ancestors' names that are in FOR or AGAINST
     linked: int  # characters inside links
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. White space inside a block, line breaks too, becomes one space."""
+    """Leaf blocks in page order. White space inside a block, line breaks too, becomes one space.
+
+    Open elements are known by tag and name, so work follows the page's length at any depth.
+    """
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    places: dict[str, list[int]] = {}  # where in the stack a tag is open
+    scopes: list[int] = []
+    told: dict[str, int] = {}  # open elements by name
     parts: list[str] = []
     at, linked, anchors, hidden = 0, 0, 0, 0
     inert = -1  # place in the stack of the outermost open one of INERT
@@ -73,7 +80,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), linked))
+            inner = stack[-1][0] if stack else None
+            out.append(Block(text, (*(t for t in places if t != inner), *([inner] if stack else [])), frozenset(told), linked))
         parts.clear()
         linked = 0
 
@@ -81,17 +89,41 @@ def blocks(page: str) -> list[Block]:
         nonlocal hidden, inert
         if to <= inert:
             inert = -1
-        for _, names in stack[to:]:
+        for tag, names in reversed(stack[to:]):
             hidden -= "\0" in names
+            if len(places[tag]) == 1:
+                del places[tag]
+            else:
+                places[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+            for name in names & KNOWN:
+                told[name] -= 1
+                if not told[name]:
+                    del told[name]
         del stack[to:]
 
+    def push(tag: str, names: frozenset[str]) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        for name in names & KNOWN:
+            told[name] = told.get(name, 0) + 1
+        stack.append((tag, names))
+
     n = len(page)
+    last = page.rfind(">") + 1  # no tag ends behind it
     while at < n:
-        match = TAG.search(page, at)
-        if match is None:
-            add(page[at:])
+        start = page.find("<", at, last)
+        if start < 0:
+            comment = page.find("<!--", at)
+            add(page[at:] if comment < 0 else page[at:comment])
             break
-        add(page[at:match.start()])
+        match = TAG.match(page, start)
+        add(page[at:start + (match is None)])
+        if match is None:
+            at = start + 1
+            continue
         at = match.end()
         tag = match[2]
         if tag is None:
@@ -101,7 +133,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 anchors = max(0, anchors - 1)
             elif tag in BLOCK or tag in INERT:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+                k = places[tag][-1] if tag in places else -1
                 if 0 <= k < inert:
                     pop(inert)
                 if tag in BLOCK and inert < 0:
@@ -117,12 +149,12 @@ def blocks(page: str) -> list[Block]:
             if not match[3].endswith("/") or tag not in ("svg", "math"):
                 if inert < 0:
                     inert = len(stack)
-                stack.append((tag, frozenset({"\0"})))
+                push(tag, frozenset({"\0"}))
                 hidden += 1
             continue
         if inert >= 0:
             if tag in BLOCK and tag not in VOID:
-                stack.append((tag, frozenset()))
+                push(tag, frozenset())
             continue
         if tag == "br" or tag in ("img", "wbr"):
             add("\n" if tag == "br" else "")
@@ -139,17 +171,14 @@ def blocks(page: str) -> list[Block]:
         close()
         anchors = 0
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in P_ENDS else set())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                pop(k)
-                break
-            if stack[k][0] in SCOPE:
-                break
+        ended = max((places[t][-1] for t in ends if t in places), default=-1)
+        if ended >= 0 and ended >= (scopes[-1] if scopes else 0):
+            pop(ended)
         names = frozenset(w for g in NAMES.findall(match[3]) for w in re.split(r"[^a-z]+", "".join(g).lower()) if w) if match[3] else frozenset()
         if match[3] and HIDDEN.search(match[3]):
             names |= {"\0"}
             hidden += 1
-        stack.append((tag, names))
+        push(tag, names)
     close()
     return out
 

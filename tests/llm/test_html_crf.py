@@ -4,6 +4,7 @@ import html
 import itertools
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +46,14 @@ def brute_path(chain, page):
     return max(total(y) for y in itertools.product((0, 1), repeat=len(page))), total
 
 
+def test_work_follows_the_length_of_deep_and_unclosed_markup():
+    for page in ("<div class='post x'>x" * 50_000, "<a " * 300_000, "x>" + "<a " * 300_000, "<h1>x" * 50_000 + "</p>" * 50_000, "<p><td>" + "<h2>x" * 50_000):
+        started = time.perf_counter()
+        h.features(h.blocks(page))
+        assert time.perf_counter() - started < 20
+    assert texts("<p>a<!-- b > c") == ["a"] and texts("a<!-- b") == ["a"] and texts("<p>a<!-->b") == ["a"] and texts("x>" + "<a " * 3) == ["x>" + "<a " * 2 + "<a"] and texts("<p>a < b <c") == ["a < b <c"]
+
+
 def test_viterbi_against_all_paths():
     draw = np.random.default_rng(2)
     chain = h.Chain(draw.standard_normal((h.FEATURES, 2)), draw.standard_normal((2, 2)), draw.standard_normal((2, 2)))
