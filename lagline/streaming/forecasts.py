@@ -7,27 +7,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lagline.operators.asof import EVENT, MAX_AGE_SECONDS, REVISION_LAG_SECONDS, SIGNAL_HORIZONS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEPT = "received_ms bigint, snapshot_id string, cancelled boolean, delay double, bus_key string"
+READ = ["received_ms", "scheduled_ms", "snapshot_id", "cancelled", "estimated_delay_seconds", "bus_key"]
 OUTPUT = (
     "trip_key string, scheduled_stop_key string, scheduled_departure_raw string, horizon_minutes double, "
     "reason string, snapshot_id string, estimated_delay_seconds double, revision_reason string, "
     "revision_seconds double"
 )
+Forecast = Row(*[c.split(" ")[0] for c in OUTPUT.split(", ")])
+HELD_ROWS = 256  # rows of one event in memory before they are cut to those that state needs
 
 
 class HorizonForecasts(StatefulProcessor):
-    """One timer per cutoff, and one that forgets the event half an hour past its schedule.
+    """One timer at a time: the next cutoff, at last the moment that forgets the event, half an hour past its schedule.
 
     A pending forecast needs the last row at its cutoff and the last one a lag earlier, so
     state holds at most two rows per horizon however often the event is captured, in any
-    order. Rows later than the forgetting time are ignored.
+    order. Rows later than the forgetting time are ignored. Cutoffs that the watermark passes at
+    once are judged in one call, so an event costs a call per batch that moves it, not one per horizon.
     """
 
     def __init__(self, horizons: list[float], max_age: float, lag: float, forget_minutes: float = 30):
@@ -39,48 +42,35 @@ class HorizonForecasts(StatefulProcessor):
         fields = ", ".join(c.replace(" ", ": ") for c in KEPT.split(", "))
         self.event = handle.getValueState("event", f"scheduled_ms bigint, done array<double>, rows array<struct<{fields}>>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         scheduled, done, kept = self._read()
         new = scheduled is None
-        for frame in rows:
-            frame = frame[frame["received_ms"] <= frame["scheduled_ms"] + self.forget_ms]
-            if len(frame):
-                scheduled = int(frame["scheduled_ms"].iloc[-1])
-                kept += self._reduced(frame, scheduled, done)
+        for row in rows:
+            if row.received_ms <= row.scheduled_ms + self.forget_ms:
+                scheduled = row.scheduled_ms
+                kept.append((row.received_ms, row.snapshot_id, row.cancelled, row.estimated_delay_seconds, row.bus_key))
+                if len(kept) >= HELD_ROWS:
+                    kept = self._needed(scheduled, done, kept)
         if scheduled is not None:
             if new:
-                for moment in [*[self._cutoff(scheduled, h) for h in self.horizons], scheduled + self.forget_ms]:
-                    self.handle.registerTimer(max(moment, watermark + 1))
+                self._wake(scheduled, done, timerValues.getCurrentWatermarkInMs())
             self._write(scheduled, done, kept)
         return iter([])
 
-    def _reduced(self, frame: pd.DataFrame, scheduled: int, done: list[float]) -> list[tuple]:
-        """The rows of a batch that a pending cutoff, or the one a lag earlier, reads last."""
-        frame = frame.sort_values(["received_ms", "snapshot_id"], kind="stable")
-        lag = int(self.lag * 1000)
-        limits = [c - d for c in (self._cutoff(scheduled, h) for h in self.horizons if h not in done) for d in (0, lag)]
-        places = frame["received_ms"].searchsorted(limits, side="right") - 1
-        picked = frame.iloc[sorted({int(p) for p in places if p >= 0})]
-        none = lambda value, kind: None if pd.isna(value) else kind(value)
-        return [
-            (int(at), name, none(cancelled, bool), none(delay, float), bus)
-            for at, name, cancelled, delay, bus in zip(*(picked[c] for c in (
-                "received_ms", "snapshot_id", "cancelled", "estimated_delay_seconds", "bus_key")))
-        ]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         scheduled, done, rows = self._read()
         if scheduled is None:
             return iter([])
-        expiry = expiredTimerInfo.getExpiryTimeInMs()
-        due = [h for h in self.horizons if h not in done and self._cutoff(scheduled, h) <= expiry]
+        expiry, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        passed = lambda moment: moment <= expiry or moment < watermark
+        due = [h for h in self.horizons if h not in done and passed(self._cutoff(scheduled, h))]
         judged = [self._judge(key, rows, scheduled, h) for h in due]
-        if expiry >= scheduled + self.forget_ms:
+        if passed(scheduled + self.forget_ms):
             self.event.clear()
         else:
+            self._wake(scheduled, done + due, watermark)
             self._write(scheduled, done + due, rows)
-        return iter([pd.DataFrame(judged)] if judged else [])
+        return iter(judged)
 
     def close(self) -> None:
         pass
@@ -89,11 +79,18 @@ class HorizonForecasts(StatefulProcessor):
         state = self.event.get()
         return (state[0], list(state[1]), [tuple(r) for r in state[2]]) if state else (None, [], [])
 
+    def _wake(self, scheduled: int, done: list[float], watermark: int) -> None:
+        pending = [self._cutoff(scheduled, h) for h in self.horizons if h not in done]
+        self.handle.registerTimer(max(min([*pending, scheduled + self.forget_ms]), watermark + 1))
+
     def _write(self, scheduled: int, done: list[float], rows: list[tuple]) -> None:
+        self.event.update((scheduled, done, sorted(self._needed(scheduled, done, rows), key=lambda r: (r[0], r[1]))))
+
+    def _needed(self, scheduled: int, done: list[float], rows: list[tuple]) -> list[tuple]:
+        """The rows that a pending cutoff, or the one a lag earlier, reads last."""
         lag = int(self.lag * 1000)
         cutoffs = [self._cutoff(scheduled, h) for h in self.horizons if h not in done]
-        needed = {self._last(rows, limit) for c in cutoffs for limit in (c, c - lag)} - {None}
-        self.event.update((scheduled, done, sorted(needed, key=lambda r: (r[0], r[1]))))
+        return list({self._last(rows, limit) for c in cutoffs for limit in (c, c - lag)} - {None})
 
     @staticmethod
     def _cutoff(scheduled: int, minutes: float) -> int:
@@ -103,7 +100,7 @@ class HorizonForecasts(StatefulProcessor):
     def _last(rows: list[tuple], limit: float):
         return max((r for r in rows if r[0] <= limit), key=lambda r: (r[0], r[1]), default=None)
 
-    def _judge(self, key, rows: list[tuple], scheduled: int, minutes: float) -> dict:
+    def _judge(self, key, rows: list[tuple], scheduled: int, minutes: float) -> Row:
         cutoff = self._cutoff(scheduled, minutes)
         now = self._last(rows, cutoff)
         reason = revision = change = None
@@ -118,8 +115,7 @@ class HorizonForecasts(StatefulProcessor):
         if reason is None:
             revision, change = self._revise(rows, now, cutoff)
         usable = now if reason is None else (None,) * 5
-        names = [c.split(" ")[0] for c in OUTPUT.split(", ")]
-        return dict(zip(names, [*key, float(minutes), reason, usable[1], usable[3], revision, change]))
+        return Forecast(*key, float(minutes), reason, usable[1], usable[3], revision, change)
 
     def _revise(self, rows: list[tuple], now: tuple, cutoff: int):
         limit = cutoff - int(self.lag * 1000)
@@ -156,8 +152,9 @@ def horizon_forecasts(
         observations.withWatermark("received_at_utc", late)
         .withColumns({"received_ms": millis("received_at_utc"), "scheduled_ms": millis("scheduled_departure_utc")})
         .where(F.col("scheduled_ms").isNotNull() & F.greatest(*[F.col(c).isNull() for c in EVENT]).eqNullSafe(F.lit(False)))
+        .select(*EVENT, "received_at_utc", *READ)
         .groupBy(*EVENT)
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=HorizonForecasts(horizons, max_age_seconds, lag_seconds),
             outputStructType=OUTPUT, outputMode="append", timeMode="EventTime",
         )

@@ -236,3 +236,31 @@ def test_replay_of_nothing(spark):
 
     empty = spark.createDataFrame([], "name string, at timestamp")
     assert replayed(spark, {"rows": (empty, "at")}, lambda s: s["rows"].select("name"), steps=2).count() == 0
+
+
+def test_one_timer_judges_all_passed_cutoffs():
+    from types import SimpleNamespace
+
+    class Value:
+        held = None
+        get = lambda self: self.held
+        update = lambda self, value: setattr(self, "held", value)
+        clear = lambda self: setattr(self, "held", None)
+
+    value, timers = Value(), []
+    handle = SimpleNamespace(getValueState=lambda *_: value, registerTimer=timers.append)
+    watermark = lambda at: SimpleNamespace(getCurrentWatermarkInMs=lambda: at)
+    processor, minute = forecasts.HorizonForecasts([1, 5, 10, 20], 600, 180), 60_000
+    processor.init(handle)
+    Read = forecasts.Row(*forecasts.READ)
+    # The event is captured often, so that rows are cut to those needed on the way.
+    taken = [Read(at * 1000, 100 * minute, f"s{at:05d}", False, float(at), "bus") for at in range(79 * 60, 100 * 60)]
+    assert list(processor.handleInputRows(("t", "s", "x"), iter(taken), watermark(0))) == []
+    assert timers == [80 * minute] and len(value.held[2]) == 7
+    fired = SimpleNamespace(getExpiryTimeInMs=lambda: 80 * minute)
+    told = list(processor.handleExpiredTimer(("t", "s", "x"), watermark(96 * minute), fired))
+    assert [(r.horizon_minutes, r.snapshot_id) for r in told] == [(20.0, "s04800"), (10.0, "s05400"), (5.0, "s05700")]
+    assert timers == [80 * minute, 99 * minute] and value.held[1] == [20.0, 10.0, 5.0]
+    last = SimpleNamespace(getExpiryTimeInMs=lambda: 99 * minute)
+    told = list(processor.handleExpiredTimer(("t", "s", "x"), watermark(131 * minute), last))
+    assert [r.snapshot_id for r in told] == ["s05940"] and value.held is None
