@@ -75,8 +75,9 @@ def instant_issue(text: Column, zone: str = LOCAL_ZONE, instant: Column | None =
 
 def clock_seconds(text: Column) -> Column:
     """Seconds after midnight of `H:MM:SS` text with hours 0-47, else null."""
-    parts = [F.regexp_extract(text, r"^(\d{1,2}):(\d{2}):(\d{2})$", i).try_cast("bigint") for i in (1, 2, 3)]
-    hour, minute, second = parts
+    colon = F.instr(text, ":")  # after one or two digits, so the parts stand at known places
+    places = ((F.lit(1), colon - 1), (colon + 1, F.lit(2)), (colon + 4, F.lit(2)))
+    hour, minute, second = (F.substring(text, at, length).try_cast("bigint") for at, length in places)
     return F.when(
         text.rlike(CLOCK_ONLY) & (hour < 48) & (minute < 60) & (second < 60), hour * 3600 + minute * 60 + second
     )
@@ -91,6 +92,11 @@ def plus_seconds(moment: Column, seconds: Column) -> Column:
     return moment + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
+def plus_whole_seconds(moment: Column, seconds: Column) -> Column:
+    """`plus_seconds` for whole seconds, without a decimal per row."""
+    return F.timestamp_add("SECOND", seconds.cast("bigint"), moment)
+
+
 def seconds_of_day(local: Column) -> Column:
     return (F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)).cast("bigint")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lagline.functions.clock import (
-    DAY, HALF_DAY, LOCAL_ZONE, epoch_seconds, instant_of, local_of, plus_seconds, seconds_of_day,
+    DAY, HALF_DAY, LOCAL_ZONE, epoch_seconds, instant_of, local_of, plus_whole_seconds, seconds_of_day,
     utc_of_unambiguous, with_instant_near_schedule,
 )
 from lagline.functions.once import with_columns_once
@@ -13,9 +13,11 @@ from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.functions.text import destination_match_key
 from lagline.operators.asof import age_at
 from lagline.operators.signals import clock_offsets
+from lagline.staging import staged
 
 ANCHOR_MAX_AGE_SECONDS = 7200
 ANCHOR_LOOK_BACK = 50
+GUARD = 3 * 3600  # seconds around a response that must know no change of the clock
 TRIP = ["trip_date", "trip_key", "bus_key"]
 
 
@@ -94,34 +96,55 @@ def anchored_stops(
     bus; among those the bus must match and the age be at most `max_age_seconds`.
     `undated_responses` lists the responses that no anchor dates.
     """
+    heads = ["payload_trip_key", "payload_bus_key", "received_at_utc"]
     timed = clock_offsets(trip_stops, ["snapshot_id"])
-    headers = timed.groupBy("snapshot_id").agg(
-        *[F.first(c).alias(c) for c in ("payload_trip_key", "payload_bus_key", "received_at_utc", "_ordered", "_span")]
-    ).withColumnRenamed("payload_trip_key", "trip_key")
-    datable = headers.where(F.col("_ordered") & (F.col("_span") <= HALF_DAY))
-    candidates = recent_anchors(datable, anchors, look_back, max_age_seconds)
-    targets = timed.groupBy("snapshot_id", F.col("event_key").alias("anchor_event")).agg(
-        F.count(F.lit(1)).alias("_same"), F.max("offset").alias("_target_offset")
+    own = [c for c in timed.columns if c not in ("snapshot_id", *heads, "_ordered", "_span")]
+    # One row per response from here on: its stops, bounded by one payload, travel as one list.
+    responses = staged(
+        timed.groupBy("snapshot_id").agg(
+            *[F.first(c).alias(c) for c in (*heads, "_ordered", "_span")], F.collect_list(F.struct(*own)).alias("_stops"),
+        ).where(F.col("_ordered") & (F.col("_span") <= HALF_DAY)), "responses",
     )
-    anchor_local = local_of(F.col("anchor_utc"), zone)
-    fitting = (
-        candidates.join(targets, ["snapshot_id", "anchor_event"])
-        .where((F.col("_same") == 1) & (F.col("_target_offset") % DAY == seconds_of_day(anchor_local)))
-        .withColumn("base", plus_seconds(anchor_local, -F.col("_target_offset")))
-        # Anchors agreeing on the base date every stop alike; keep the newest of each.
-        .groupBy("snapshot_id", "base").agg(F.max("anchor").alias("anchor"))
-    )
-    dated = timed.join(fitting, "snapshot_id").withColumn(
-        "scheduled_utc", utc_of_unambiguous(plus_seconds(F.col("base"), F.col("offset")), zone)
+    headers = responses.select("snapshot_id", *heads).withColumnRenamed("payload_trip_key", "trip_key")
+    offers = (
+        recent_anchors(headers, anchors, look_back, max_age_seconds)
+        .withColumn("_local", local_of(F.col("anchor_utc"), zone))
+        .groupBy("snapshot_id").agg(F.collect_list(F.struct("anchor_event", "_local", "anchor")).alias("_offers"))
     )
-    per_base = dated.groupBy("snapshot_id", "base").agg(
-        F.count_if(F.col("scheduled_utc").isNull()).alias("_undated"), F.first("anchor").alias("anchor")
-    )
-    best = (
-        per_base.where("_undated = 0").groupBy("snapshot_id")
-        .agg(F.max(F.struct("anchor", "base")).alias("_best")).select("snapshot_id", F.col("_best.base").alias("base"))
+    moment = lambda base, stop: utc_of_unambiguous(plus_whole_seconds(base, stop["offset"]), zone)
+
+    def fit(offer):
+        """The offer's anchor and the first midnight it implies; null unless it names one stop at its own time."""
+        hits = F.filter("_stops", lambda stop: stop["event_key"] == offer["anchor_event"])
+        at = F.get(hits, F.lit(0))["offset"]
+        fits = (F.size(hits) == 1) & (at % DAY == seconds_of_day(offer["_local"]))
+        return F.struct(offer["anchor"].alias("anchor"), F.when(fits, plus_whole_seconds(offer["_local"], -at)).alias("base"))
+
+    fitting = (
+        with_columns_once(responses.join(offers, "snapshot_id"), {
+            "_fits": F.filter(F.transform("_offers", fit), lambda f: f["base"].isNotNull())})
+        .where(F.size("_fits") > 0).drop("_offers")
     )
-    return dated.join(best, ["snapshot_id", "base"]).drop("_ordered", "_span", "base")
+    offsets = F.transform("_stops", lambda stop: stop["offset"])
+    # Anchors agreeing on the base date every stop alike, so each base is judged once. Where the zone
+    # keeps its distance from UTC from hours before the first stop to hours after the last, which one
+    # look at either end tells, no time is skipped or repeated; other bases are judged stop by stop.
+    reach = {"_from": F.array_min(offsets) - GUARD, "_to": F.array_max(offsets) + GUARD}
+    distance = lambda wall: F.unix_micros(F.to_utc_timestamp(wall.cast("timestamp"), zone)) - F.unix_micros(wall.cast("timestamp"))
+
+    def judged(fit):
+        first, last = (distance(plus_whole_seconds(fit["base"], F.col(c))) for c in reach)
+        return F.struct(fit["anchor"].alias("anchor"), fit["base"].alias("base"), F.when(first == last, first).alias("distance"))
+
+    steady = with_columns_once(fitting.withColumns(reach), {"_fits": F.transform("_fits", judged)})
+    whole = lambda f: f["distance"].isNotNull() | F.forall("_stops", lambda stop: moment(f["base"], stop).isNotNull())
+    dated = with_columns_once(steady, {"_best": F.array_max(F.filter("_fits", whole))}).where(F.col("_best").isNotNull())
+    rows = dated.select("snapshot_id", *heads, "_best", F.explode("_stops").alias("_stop")).select(
+        "snapshot_id", *heads, "_stop.*", F.col("_best.anchor").alias("anchor"), F.col("_best.base").alias("_base"), F.col("_best.distance").alias("_distance"))
+    local = plus_whole_seconds(F.col("_base"), F.col("offset"))
+    near = F.timestamp_micros(F.unix_micros(local.cast("timestamp")) + F.col("_distance"))
+    return rows.withColumn(
+        "scheduled_utc", F.when(F.col("_distance").isNotNull(), near).otherwise(utc_of_unambiguous(local, zone))).drop("_base", "_distance")
 
 
 def undated_responses(trip_stops: DataFrame, dated: DataFrame) -> DataFrame:
@@ -147,7 +170,7 @@ def consistent_captures(stops: DataFrame) -> DataFrame:
     """Flag responses whose stops or times differ from the trip's first response."""
     listed = F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("position", "event_key", "scheduled_utc")))), 256)
     # A list covers one response's stops, bounded by one payload.
-    captures = stops.groupBy(*TRIP, "snapshot_id", "received_at_utc").agg(listed.alias("_schedule"))
+    captures = staged(stops.groupBy(*TRIP, "snapshot_id", "received_at_utc").agg(listed.alias("_schedule")), "captures")
     first = captures.groupBy(*TRIP).agg(
         F.min_by("_schedule", F.struct("received_at_utc", "snapshot_id")).alias("_first"),
         F.count(F.lit(1)).alias("_n"),

@@ -83,7 +83,7 @@ def undated_trip_responses(spark, sf_dir):
 def trip_captures(spark, sf_dir):
     """Dated responses by trip, marked where the schedule is not the one first captured."""
     named = trips.trip_identity(_dated(spark, sf_dir, _stops(spark, sf_dir)))
-    return _ntz(trips.consistent_captures(staged(named)), "received_at_utc")
+    return _ntz(trips.consistent_captures(named), "received_at_utc")
 
 
 @query(f"""{CAPTURES_CTE}, documents AS (

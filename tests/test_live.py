@@ -370,3 +370,29 @@ def test_recent_anchors_equal_brute_force(spark):
         assert got == expected and expected
     assert trips.recent_anchors(headers.where("false"), anchors, 4, 3600.0).count() == 0
     assert trips.recent_anchors(headers, anchors.where("false"), 4, 3600.0).count() == 0
+
+
+def test_dating_moves_no_stop_rows_for_bases_or_targets(spark):
+    stops = spark.createDataFrame(
+        [("r", p, e, "trip", "bus", datetime(2026, 9, 15, 0, 25), c) for p, (e, c) in enumerate([("a", "23:50:00"), ("b", "00:10:00"), ("c", "0:20:00")])],
+        "snapshot_id string, position int, event_key string, payload_trip_key string, payload_bus_key string, received_at_utc timestamp, scheduled_clock string")
+    anchors = spark.createDataFrame(
+        [("trip", n, datetime(2026, 9, 15, 0, n), f"o{n}", at, e, "bus", "Downtown") for n, (e, at) in enumerate([
+            ("b", datetime(2026, 9, 15, 5, 10)), ("c", datetime(2026, 9, 15, 5, 20)), ("a", datetime(2026, 9, 15, 5, 50))], 1)],
+        "trip_key string, place bigint, received_at_utc timestamp, snapshot_id string, anchor_utc timestamp, anchor_event string, anchor_bus string, anchor_destination string")
+    dated = trips.anchored_stops(stops, anchors)
+    plan = dated._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # Joins by base or target once dealt out and sorted every stop again.
+    assert not [line for line in dealt if "base#" in line or "event_key#" in line]
+    found = rows(dated.select("event_key", "scheduled_utc", "anchor.place"))
+    # The newest anchor names a stop at another time of day; the one before it dates the whole response.
+    assert found == [("a", datetime(2026, 9, 15, 4, 50), 2), ("b", datetime(2026, 9, 15, 5, 10), 2), ("c", datetime(2026, 9, 15, 5, 20), 2)]
+
+
+def test_clock_seconds_equal_the_shape(spark):
+    from lagline.functions.clock import clock_seconds
+
+    texts = ["0:00:00", "00:00:59", "7:05:09", "47:59:59", "48:00:00", "12:60:00", "12:00:60", "1:2:3", "123:00:00", "", "x", "12:00:00 ", "12:00", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", clock_seconds(F.col("t")).alias("v"))
+    assert {r.t: r.v for r in frame.collect()} == dict.fromkeys(texts) | {"0:00:00": 0, "00:00:59": 59, "7:05:09": 25509, "47:59:59": 172799}
