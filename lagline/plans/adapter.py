@@ -27,26 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Give every core a part of an input too small to split.
+TASK_BYTES = 4 << 20  # of a stored table whose rows are costly, for one task; about 200,000 events
 
-    A file of one row group is one task, whatever the work per row. Inputs with at least
-    one split per core, so all large ones, pass unchanged.
+
+def spread(frame: DataFrame, key: str, parts: int = 1) -> DataFrame:
+    """Give every core a part of an input too small to split, and a large one at least `parts` parts.
+
+    A file of one row group is one task, whatever the work per row, and a split may hold as
+    much as the input divided by the cores. Inputs with enough splits pass unchanged.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores, key)
+    wanted = max(frame.sparkSession.sparkContext.defaultParallelism, parts)
+    return frame if frame.rdd.getNumPartitions() >= wanted else frame.repartition(wanted, key)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
 def view(spark: SparkSession, sf_dir: str, sql, parse_heavy: bool = False) -> DataFrame:
     """Run one of the views below over the parquet tables of a scale folder.
 
-    `parse_heavy` spreads an input whose rows are costly to read.
+    `parse_heavy` spreads an input whose rows are costly to read: the parts grow in number
+    with the input, not in size.
     """
     text = sql(SPARK)
     names = [n for n in ("events", "orders", "lineitem") if "{" + n + "}" in text]
     tables = {n: table(spark, sf_dir, n) for n in names}
     if parse_heavy:
-        tables = {n: spread(t, t.columns[0]) for n, t in tables.items()}
+        parts = {n: -(-stored_bytes(spark, f"{sf_dir.rstrip('/')}/{n}.parquet") // TASK_BYTES) for n in tables}
+        tables = {n: spread(t, t.columns[0], parts[n]) for n, t in tables.items()}
     return spark.sql(text, **tables)
 
 

@@ -396,3 +396,22 @@ def test_clock_seconds_equal_the_shape(spark):
     texts = ["0:00:00", "00:00:59", "7:05:09", "47:59:59", "48:00:00", "12:60:00", "12:00:60", "1:2:3", "123:00:00", "", "x", "12:00:00 ", "12:00", None]
     frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", clock_seconds(F.col("t")).alias("v"))
     assert {r.t: r.v for r in frame.collect()} == dict.fromkeys(texts) | {"0:00:00": 0, "00:00:59": 59, "7:05:09": 25509, "47:59:59": 172799}
+
+
+def test_redaction_looks_behind_escapes_and_marks(spark):
+    texts = ['{"\\u0061pi-key":"k"}', '{"a_p_i-key":1}', '{"note":"a\\u0020b&c"}', '{"AuthorIzation":[1]}', '{ "kept":1.50 }', "a b&c", "plain"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [r[0] for r in frame.select(normalize.redact(F.col("t"), "a b&c")).collect()] == [
+        '{"api-key": "[REDACTED]"}', '{"a_p_i-key": "[REDACTED]"}', '{"note": "[REDACTED]"}', '{"AuthorIzation": "[REDACTED]"}', '{ "kept":1.50 }', "[REDACTED]", "plain"]
+
+
+def test_costly_views_have_parts_in_proportion_to_the_input(spark, folder, monkeypatch):
+    from lagline.plans import adapter
+
+    spark.range(5000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id AS user_id", "'view' AS event_type", "cast(id AS double) AS value", "'' AS props",
+    ).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    size = adapter.stored_bytes(spark, f"{folder}/events.parquet")
+    monkeypatch.setattr(adapter, "TASK_BYTES", size // 50)
+    parts = adapter.view(spark, folder, adapter.envelopes, parse_heavy=True)
+    assert parts.rdd.getNumPartitions() >= 50 and parts.count() == 5000
