@@ -19,6 +19,7 @@ from lagline.operators.metrics import error_metrics
 from lagline.staging import release, staged
 
 STRIDE = 16  # trees grown between two writes of the rows and their sums
+FILE_ROWS = 100_000  # rows of one stored file; Spark ML holds a split's rows as objects
 AT_ONCE = 4  # recipes fitted at the same time
 
 
@@ -91,7 +92,7 @@ def grow(encoded: DataFrame, recipe: Recipe, bins: int, opening: int | None = No
     """
     spark = encoded.sparkSession
     own: list[str] = []
-    state = staged(encoded, "boosting", own)
+    state = staged(encoded, "boosting", own, FILE_ROWS)
     checked = not state.where("_holdout").isEmpty()
     if opening is None:
         opening = recipe.patience + recipe.patience // 4 + 1 if checked else recipe.iterations
@@ -115,7 +116,7 @@ def grow(encoded: DataFrame, recipe: Recipe, bins: int, opening: int | None = No
                 moved = tree.transform(moved).withColumn("_sum", F.col("_sum") + recipe.learning_rate * F.col("_tree")).drop("_tree")
                 gaps.append(f"_gap{len(gaps)}")
                 moved = moved.withColumn(gaps[-1], F.abs(F.col("label") - F.col("_sum")))
-            state = staged(moved, "boosting", own)
+            state = staged(moved, "boosting", own, FILE_ROWS)
             if checked:
                 errors += list(state.where("_holdout").agg(*[F.avg(g) for g in gaps]).first())
             state = state.drop(*gaps)

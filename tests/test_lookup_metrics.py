@@ -257,3 +257,20 @@ def test_report_summary_view(spark):
     assert rows(profile.filter_reports(df, "2026-01-01", "2026-02-28", query="SOUTH"), "rid") == [("a",), ("c",)]
     empty = {(r["part"], r["member"]): r["records"] for r in profile.report_summary(df.where("false"), "2025-12-31", "2026-01-01").collect()}
     assert (empty[("month", "2025-12")], empty[("month", "2026-01")], empty[("records", "all")]) == (0, 0, 0)
+
+
+def test_boosting_rows_are_dealt_out_however_few_tasks_write_them(spark, monkeypatch):
+    from lagline import staging
+
+    monkeypatch.setattr(boosted, "FILE_ROWS", 10)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    seen, held = [], boosted.staged
+    monkeypatch.setattr(boosted, "staged", lambda *a: seen.append(held(*a)) or seen[-1])
+    monkeypatch.setattr(boosted, "release", lambda *a: 0)
+    from pyspark.ml.linalg import Vectors
+
+    rows_ = spark.createDataFrame([(Vectors.dense([float(i)]), float(i % 7), False) for i in range(200)], ["features", "label", "_holdout"]).coalesce(1)
+    boosted.grow(rows_, boosted.Recipe(depth=1, iterations=1), 16)
+    most = seen[0].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    staging.release(spark)
+    assert most <= 40  # a split takes four files at most
