@@ -115,7 +115,7 @@ def with_instant_near_schedule(
     dated = with_columns_once(
         rows.withColumns({"_midnight": midnight, "_clock": clock_seconds(F.col(text))}),
         {
-            c: utc_of_unambiguous(plus_seconds(F.col("_midnight"), F.col("_clock") + shift * DAY), zone)
+            c: utc_of_unambiguous(plus_whole_seconds(F.col("_midnight"), F.col("_clock") + shift * DAY), zone)
             for c, shift in shifts.items()
         },
     )

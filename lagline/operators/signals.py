@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lagline.functions.clock import (
-    DAY, HALF_DAY, LOCAL_ZONE, clock_seconds, epoch_seconds, local_of, plus_seconds, seconds_of_day,
+    DAY, HALF_DAY, LOCAL_ZONE, clock_seconds, epoch_seconds, local_of, plus_seconds, plus_whole_seconds, seconds_of_day,
     utc_of_unambiguous, with_instant_near_schedule,
 )
 from lagline.operators.asof import age_at, asof_backward
@@ -230,11 +230,11 @@ def with_upstream(
     )
     datable = (F.col("_targets") == 1) & (F.col("_target_offset") % DAY == seconds_of_day(F.col("_anchor")))
     asked = open_rows.join(targets, ["snapshot_id", "target_key"], "left").withColumn(
-        "_midnight", F.when(datable, plus_seconds(F.col("_anchor"), -F.col("_target_offset"))))
+        "_midnight", F.when(datable, plus_whole_seconds(F.col("_anchor"), -F.col("_target_offset"))))
     response = ["snapshot_id", "_base"]
     bases = asked.where(F.col("_midnight").isNotNull()).select("snapshot_id", "received_at_utc", F.col("_midnight").alias("_base")).distinct()
     dated = bases.join(placed, "snapshot_id").withColumn(
-        "scheduled_utc", utc_of_unambiguous(plus_seconds(F.col("_base"), F.col("offset")), zone))
+        "scheduled_utc", utc_of_unambiguous(plus_whole_seconds(F.col("_base"), F.col("offset")), zone))
     undated = F.count_if(F.col("scheduled_utc").isNull()).over(W.partitionBy(*response))
     whole = F.col("_ordered") & (F.col("_span") <= HALF_DAY) & (undated == 0)
     facts = last_passed(dated.withColumn("_resolved", F.coalesce(whole, F.lit(False))), response, max_passage_age_seconds, zone).select(

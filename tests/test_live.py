@@ -415,3 +415,10 @@ def test_costly_views_have_parts_in_proportion_to_the_input(spark, folder, monke
     monkeypatch.setattr(adapter, "TASK_BYTES", size // 50)
     parts = adapter.view(spark, folder, adapter.envelopes, parse_heavy=True)
     assert parts.rdd.getNumPartitions() >= 50 and parts.count() == 5000
+
+
+def test_clocks_are_dated_without_decimals(spark):
+    frame = spark.createDataFrame([("23:59:00", datetime(2026, 9, 15, 5, 1)), ("00:02:00", datetime(2026, 9, 15, 5, 1))], "c string, due timestamp")
+    dated = with_instant_near_schedule(frame, "at", "c", "due")
+    assert "decimal" not in dated._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r["at"] for r in dated.collect()] == [datetime(2026, 9, 15, 4, 59), datetime(2026, 9, 15, 5, 2)]
