@@ -122,6 +122,17 @@ def chunk_keys(value: np.ndarray, offsets: np.ndarray, numerator: int, denominat
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def keys_of_texts(chunk: pa.RecordBatch, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a chunk's texts and the class of each; the work arrays are those of a megabyte of text at a time."""
+    keys, names = [], []
+    for piece in chunked([chunk], "text"):
+        value, offsets = shingle_sets(piece.column(piece.schema.get_field_index("text")))
+        key, owner = chunk_keys(value, offsets, numerator, denominator)
+        keys.append(key)
+        names.append(set_classes(value, offsets)[owner])
+    return np.concatenate(keys), np.concatenate(names)
+
+
 def bit_sketches(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """A parity bit sketch per set: every shingle flips one bit of a power of two, at least two bits a shingle."""
     out = []
@@ -164,9 +175,7 @@ def _meetings(keyed: DataFrame, numerator: int, denominator: int, parts: int) ->
 
     def emit(batches):
         for chunk in chunked(batches, "text", 8 << 20):
-            value, offsets = shingle_sets(chunk.column(0))
-            key, owner = chunk_keys(value, offsets, numerator, denominator)
-            name = set_classes(value, offsets)[owner]
+            key, name = keys_of_texts(chunk, numerator, denominator)
             bucket = (key % U64(buckets)).astype(np.int64)
             small = (key >> U64(32)).astype(np.uint32)
             order = np.lexsort((name, small, bucket))

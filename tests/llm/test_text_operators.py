@@ -5,8 +5,11 @@ import hashlib
 import os
 import random
 import struct
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +47,24 @@ def docs(spark):
     return [(r[0], r[1]) for r in queries.documents(spark, FOLDER).collect()]
 
 
+def test_near_duplicate_keys_need_little_memory_whatever_the_batch():
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices("abcdefghijklmnop", k=2000)) + f" {i}" for i in range(2000)]
+    whole = pa.record_batch({"text": texts})
+    peaks = {}
+    for rows in (200, 2000):
+        parity_join.keys_of_texts(whole.slice(0, rows), 80, 100)  # makes tables that stay
+        tracemalloc.start()
+        key, name = parity_join.keys_of_texts(whole.slice(0, rows), 80, 100)
+        peaks[rows] = tracemalloc.get_traced_memory()[1] - key.nbytes - name.nbytes
+        tracemalloc.stop()
+    value, offsets = parity_join.shingle_sets(whole.column(0))
+    keys, owner = parity_join.chunk_keys(value, offsets, 80, 100)
+    together = lambda k, n: np.sort(np.stack([k.view(np.int64), n]).T.copy().view("i8,i8").ravel())
+    assert np.array_equal(together(key, name), together(keys, parity_join.set_classes(value, offsets)[owner]))
+    assert peaks[2000] < 2 * peaks[200] + 3 * (key.nbytes + name.nbytes)
+
+
 @needs_tables
 @pytest.mark.parametrize("table", ["documents", "odd"])
 def test_near_duplicates(spark, odd, table):
