@@ -15,3 +15,8 @@ def with_columns_once(frame: DataFrame, columns: dict[str, Column]) -> DataFrame
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
     kept = [c for c in frame.columns if c not in columns]
     return frame.select(*kept, F.inline(F.array(row)))
+
+
+def let(value: Column, body) -> Column:
+    """`body` over a value that is computed once, for expressions inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

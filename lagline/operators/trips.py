@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lagline.functions.clock import (
-    DAY, HALF_DAY, LOCAL_ZONE, epoch_seconds, instant_of, local_of, plus_whole_seconds, seconds_of_day,
+    DAY, HALF_DAY, LOCAL_ZONE, clock_seconds, epoch_seconds, instant_of, local_of, plus_whole_seconds, seconds_of_day,
     utc_of_unambiguous, with_instant_near_schedule,
 )
-from lagline.functions.once import with_columns_once
+from lagline.functions.once import let, with_columns_once
 from lagline.functions.skew import HOT_ROWS, attach_by_key
 from lagline.functions.text import destination_match_key
 from lagline.operators.asof import age_at
-from lagline.operators.signals import clock_offsets
 from lagline.staging import staged
 
 ANCHOR_MAX_AGE_SECONDS = 7200
@@ -83,6 +82,44 @@ def recent_anchors(headers: DataFrame, anchors: DataFrame, look_back: int, max_a
     )
 
 
+HEADS = ["payload_trip_key", "payload_bus_key", "received_at_utc"]
+
+
+def response_rows(trip_stops: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """One row per trip response: its heads, its stops as one list, bounded by one payload, and
+    whether the list's clocks allow dates at all (`_dateable`; the list is null if not).
+
+    The heads stand on the stops, or in `headers`, which then meet finished lists instead of
+    every stop; responses that `headers` lacks are left out.
+    """
+    own = [c for c in trip_stops.columns if c not in ("snapshot_id", "position", *HEADS)]
+    carried = HEADS if headers is None else []
+    listed = F.collect_list(F.struct("position", "_clock", *own))
+    # Lists are made before the exchange, where a response's stops stand together, and put in order behind it.
+    rows = trip_stops.withColumn("_clock", clock_seconds(F.col("scheduled_clock"))).groupBy("snapshot_id").agg(
+        *[F.first(c).alias(c) for c in carried], F.array_sort(listed, _by_position).alias("_stops"))
+    if headers is not None:
+        rows = rows.join(headers.select("snapshot_id", *HEADS), "snapshot_id")
+    # As `clock_offsets`, inside the list.
+    fall = lambda stop, i: F.get("_stops", i - 1)["_clock"] - stop["_clock"]
+    rows = with_columns_once(rows, {"_falls": F.transform("_stops", fall)})
+    ordered = ~F.exists("_stops", lambda stop: stop["_clock"].isNull()) & ~F.exists(
+        "_falls", lambda f: F.coalesce((f > 0) & (f < HALF_DAY), F.lit(False)))
+    places = F.array_compact(F.transform("_falls", lambda f, i: F.when(f > 0, i)))
+    rows = with_columns_once(rows, {"_after": F.when(ordered, places)})
+    offset = lambda stop, i: stop["_clock"] + F.size(F.filter("_after", lambda x: x <= i)).cast("bigint") * DAY
+    dated = F.transform("_stops", lambda stop, i: stop.withField("offset", offset(stop, i)).dropFields("_clock"))
+    rows = with_columns_once(rows, {"_stops": F.when(F.col("_after").isNotNull(), dated)})
+    offsets = F.transform("_stops", lambda stop: stop["offset"])
+    dateable = F.coalesce(F.array_max(offsets) - F.array_min(offsets) <= HALF_DAY, F.lit(False))
+    return staged(
+        rows.select("snapshot_id", *HEADS, dateable.alias("_dateable"), F.when(dateable, F.col("_stops")).alias("_stops")), "responses")
+
+
+def _by_position(a, b):
+    return F.when(a["position"] < b["position"], -1).when(a["position"] > b["position"], 1).otherwise(0)
+
+
 def anchored_stops(
     trip_stops: DataFrame,
     anchors: DataFrame,
@@ -96,15 +133,19 @@ def anchored_stops(
     bus; among those the bus must match and the age be at most `max_age_seconds`.
     `undated_responses` lists the responses that no anchor dates.
     """
-    heads = ["payload_trip_key", "payload_bus_key", "received_at_utc"]
-    timed = clock_offsets(trip_stops, ["snapshot_id"])
-    own = [c for c in timed.columns if c not in ("snapshot_id", *heads, "_ordered", "_span")]
-    # One row per response from here on: its stops, bounded by one payload, travel as one list.
-    responses = staged(
-        timed.groupBy("snapshot_id").agg(
-            *[F.first(c).alias(c) for c in (*heads, "_ordered", "_span")], F.collect_list(F.struct(*own)).alias("_stops"),
-        ).where(F.col("_ordered") & (F.col("_span") <= HALF_DAY)), "responses",
-    )
+    return dated_stops(dated_responses(response_rows(trip_stops), anchors, look_back, max_age_seconds, zone), zone)
+
+
+def dated_responses(
+    responses: DataFrame,
+    anchors: DataFrame,
+    look_back: int = ANCHOR_LOOK_BACK,
+    max_age_seconds: float = ANCHOR_MAX_AGE_SECONDS,
+    zone: str = LOCAL_ZONE,
+) -> DataFrame:
+    """The rows of `response_rows` that an anchor dates, each with the best one (`_best`); see `anchored_stops`."""
+    heads = HEADS
+    responses = responses.where("_dateable").drop("_dateable")
     headers = responses.select("snapshot_id", *heads).withColumnRenamed("payload_trip_key", "trip_key")
     offers = (
         recent_anchors(headers, anchors, look_back, max_age_seconds)
@@ -115,10 +156,13 @@ def anchored_stops(
 
     def fit(offer):
         """The offer's anchor and the first midnight it implies; null unless it names one stop at its own time."""
+        def base(hits):
+            at = F.get(hits, F.lit(0))["offset"]
+            fits = (F.size(hits) == 1) & (at % DAY == seconds_of_day(offer["_local"]))
+            return F.when(fits, plus_whole_seconds(offer["_local"], -at))
+
         hits = F.filter("_stops", lambda stop: stop["event_key"] == offer["anchor_event"])
-        at = F.get(hits, F.lit(0))["offset"]
-        fits = (F.size(hits) == 1) & (at % DAY == seconds_of_day(offer["_local"]))
-        return F.struct(offer["anchor"].alias("anchor"), F.when(fits, plus_whole_seconds(offer["_local"], -at)).alias("base"))
+        return F.struct(offer["anchor"].alias("anchor"), let(hits, base).alias("base"))
 
     fitting = (
         with_columns_once(responses.join(offers, "snapshot_id"), {
@@ -134,13 +178,18 @@ def anchored_stops(
 
     def judged(fit):
         first, last = (distance(plus_whole_seconds(fit["base"], F.col(c))) for c in reach)
-        return F.struct(fit["anchor"].alias("anchor"), fit["base"].alias("base"), F.when(first == last, first).alias("distance"))
+        return F.struct(fit["anchor"].alias("anchor"), fit["base"].alias("base"), let(first, lambda d: F.when(d == last, d)).alias("distance"))
 
     steady = with_columns_once(fitting.withColumns(reach), {"_fits": F.transform("_fits", judged)})
     whole = lambda f: f["distance"].isNotNull() | F.forall("_stops", lambda stop: moment(f["base"], stop).isNotNull())
     dated = with_columns_once(steady, {"_best": F.array_max(F.filter("_fits", whole))}).where(F.col("_best").isNotNull())
-    rows = dated.select("snapshot_id", *heads, "_best", F.explode("_stops").alias("_stop")).select(
-        "snapshot_id", *heads, "_stop.*", F.col("_best.anchor").alias("anchor"), F.col("_best.base").alias("_base"), F.col("_best.distance").alias("_distance"))
+    return dated.select("snapshot_id", *heads, "_best", "_stops")
+
+
+def dated_stops(dated: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
+    """Every stop of `dated_responses` with its anchor and instant."""
+    rows = dated.select("snapshot_id", *HEADS, "_best", F.explode("_stops").alias("_stop")).select(
+        "snapshot_id", *HEADS, "_stop.*", F.col("_best.anchor").alias("anchor"), F.col("_best.base").alias("_base"), F.col("_best.distance").alias("_distance"))
     local = plus_whole_seconds(F.col("_base"), F.col("offset"))
     near = F.timestamp_micros(F.unix_micros(local.cast("timestamp")) + F.col("_distance"))
     return rows.withColumn(
@@ -148,7 +197,10 @@ def anchored_stops(
 
 
 def undated_responses(trip_stops: DataFrame, dated: DataFrame) -> DataFrame:
-    """(snapshot_id, reason) of responses that `anchored_stops` leaves out."""
+    """(snapshot_id, reason) of responses that `anchored_stops` leaves out.
+
+    Both sides may hold a row per stop or, as `response_rows` and `dated_responses` do, per response.
+    """
     return (
         trip_stops.select("snapshot_id").distinct().join(dated.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
         .withColumn("reason", F.lit("no_unambiguous_dated_anchor"))

@@ -51,23 +51,32 @@ captures AS (
 """
 
 
-def _stops(spark, sf_dir):
-    responses = view(spark, sf_dir, linked_responses).where("http_status = 200 and error_kind is null")
-    heads = responses.select("snapshot_id", "received_at_utc", "payload_trip_key", "payload_bus_key")
-    return view(spark, sf_dir, linked_response_stops).join(heads, "snapshot_id")
+DATING = ["snapshot_id", "position", "event_key", "scheduled_clock"]  # what dating reads of a stop
 
 
-def _dated(spark, sf_dir, stops):
+def _heads(spark, sf_dir):
+    return view(spark, sf_dir, linked_responses).where("http_status = 200 and error_kind is null").select("snapshot_id", *trips.HEADS)
+
+
+def _stop_rows(spark, sf_dir):
+    return view(spark, sf_dir, linked_response_stops, parse_heavy=True)
+
+
+def _responses(spark, sf_dir):
+    return trips.response_rows(_stop_rows(spark, sf_dir).select(*DATING), _heads(spark, sf_dir))
+
+
+def _dated(spark, sf_dir, responses):
     keys = view(spark, sf_dir, linked_observations, parse_heavy=True).select("snapshot_id", "trip_key", "scheduled_stop_key", "variant_name")
     observed = view(spark, sf_dir, observations).drop("trip_key", "scheduled_stop_key", "variant_name").join(keys, "snapshot_id")
     anchors = trips.dated_anchors(observed.withColumn("destination", F.lit(None).cast("string")))
-    return trips.anchored_stops(stops, anchors, LOOK_BACK, ANCHOR_MAX_AGE)
+    return trips.dated_responses(responses, anchors, LOOK_BACK, ANCHOR_MAX_AGE)
 
 
 @query(f"""{DATED_CTE} SELECT snapshot_id, position, event_key, make_timestamp(sched * 1000000) AS scheduled_utc, place, destination FROM dated""")
 def anchored_trip_stops(spark, sf_dir):
     """Stops of every trip response, dated by the newest of the trip's last anchors that fits."""
-    rows = _dated(spark, sf_dir, _stops(spark, sf_dir)).select(
+    rows = trips.dated_stops(_dated(spark, sf_dir, _responses(spark, sf_dir))).select(
         "snapshot_id", "position", "event_key", "scheduled_utc", "anchor.place", F.col("anchor.anchor_destination").alias("destination"))
     return _ntz(rows, "scheduled_utc")
 
@@ -75,14 +84,14 @@ def anchored_trip_stops(spark, sf_dir):
 @query(f"""{DATED_CTE} SELECT snapshot_id, 'no_unambiguous_dated_anchor' AS reason FROM responses ANTI JOIN best USING (snapshot_id)""")
 def undated_trip_responses(spark, sf_dir):
     """Responses that no anchor dates."""
-    stops = _stops(spark, sf_dir)
-    return trips.undated_responses(stops, _dated(spark, sf_dir, stops))
+    responses = _responses(spark, sf_dir)
+    return trips.undated_responses(responses, _dated(spark, sf_dir, responses))
 
 
 @query(f"{CAPTURES_CTE} SELECT * FROM captures")
 def trip_captures(spark, sf_dir):
     """Dated responses by trip, marked where the schedule is not the one first captured."""
-    named = trips.trip_identity(_dated(spark, sf_dir, _stops(spark, sf_dir)))
+    named = trips.trip_identity(trips.dated_stops(_dated(spark, sf_dir, _responses(spark, sf_dir))))
     return _ntz(trips.consistent_captures(named), "received_at_utc")
 
 
@@ -106,11 +115,11 @@ def measured_trip_stops(spark, sf_dir):
     text = lambda name: F.lit(None).cast("string").alias(name)
     place = F.col("position").cast("string")
     user = F.regexp_extract("payload_trip_key", "[0-9]+", 0)
-    stops = _stops(spark, sf_dir).select(
+    stops = _stop_rows(spark, sf_dir).join(_heads(spark, sf_dir), "snapshot_id").select(
         "*", F.when(F.col("position") == 6, user).otherwise(F.concat(F.lit("s"), place)).alias("stop_number"), text("stop_name"),
         F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), text("scheduled_arrival_clock"),
         text("estimated_arrival_clock"), text("schedule_type"), text("payload_variant_key"))
-    named = staged(trips.trip_identity(_dated(spark, sf_dir, stops)))
+    named = staged(trips.trip_identity(trips.dated_stops(_dated(spark, sf_dir, trips.response_rows(stops)))))
     documents, _ = trips.trip_documents(named, trips.consistent_captures(named))
     measured = trips.measured_stops(documents, view(spark, sf_dir, outcomes, parse_heavy=True))
     return _ntz(measured, "scheduled_utc").select(

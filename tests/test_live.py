@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lagline.functions.clock import instant_issue, instant_of, with_instant_near_schedule
 from lagline.functions.text import destination_match_key
 from lagline.operators import asof, audit, evaluate, link, normalize, signals, trips
+from lagline.operators.signals import clock_offsets
+from lagline.plans import catalog
 from tests.conftest import rows
 
 ENV = "snapshot_id string, resource_type string, resource_id string, received_at_utc timestamp, http_status int, error_kind string, payload_json string"
@@ -422,3 +424,30 @@ def test_clocks_are_dated_without_decimals(spark):
     dated = with_instant_near_schedule(frame, "at", "c", "due")
     assert "decimal" not in dated._jdf.queryExecution().optimizedPlan().toString().lower()
     assert [r["at"] for r in dated.collect()] == [datetime(2026, 9, 15, 4, 59), datetime(2026, 9, 15, 5, 2)]
+
+
+def test_listed_stops_have_the_offsets_of_single_ones(spark):
+    clocks = {"night": ["23:50:00", "00:10:00", "1:05:00"], "twice": ["47:00:00", "24:00:00", "1:00:00"], "back": ["10:00:00", "09:59:59", "10:01:00"],
+              "long": ["01:00:00", "14:00:00"], "blank": ["10:00:00", None, "10:05:00"], "odd": ["10:00:00", "soon"], "one": ["05:00:00"], "half": ["12:00:00", "00:00:00"]}
+    stops = spark.createDataFrame(
+        [(s, p, f"{s}{p}", datetime(2026, 9, 15), "trip", None, c) for s, texts in clocks.items() for p, c in reversed(list(enumerate(texts)))],
+        "snapshot_id string, position int, event_key string, received_at_utc timestamp, payload_trip_key string, payload_bus_key string, scheduled_clock string").repartition(5)
+    heads = stops.select("snapshot_id", *trips.HEADS).distinct()
+    single = clock_offsets(stops, ["snapshot_id"]).where("_ordered and _span <= 43200")
+    expected = rows(single, "snapshot_id", "position", "event_key", "offset")
+    assert {r[0] for r in expected} == {"night", "twice", "one", "half"}
+    for listed in (trips.response_rows(stops), trips.response_rows(stops.drop(*trips.HEADS), heads)):
+        assert listed.count() == len(clocks) and listed.where("_dateable = isnull(_stops)").isEmpty()
+        assert rows(listed.selectExpr("snapshot_id", "inline(_stops)"), "snapshot_id", "position", "event_key", "offset") == expected
+    assert trips.response_rows(stops.drop(*trips.HEADS), heads.where("snapshot_id = 'one'")).count() == 1
+
+
+def test_undated_responses_need_one_row_per_response(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = catalog.QUERIES["undated_trip_responses"](spark, "/root/testdata/sf0.001")
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Stops were once made, dealt out and counted again, and dated ones listed, only to name their responses.
+    assert "explode(_stops" not in plan and "explode([0,1,2" not in plan
