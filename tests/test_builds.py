@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lagline.plans.lookup_build import build_lookup
 from lagline.sinks import builds
+from lagline.sinks.tables import verify_metric
 from tests.conftest import rows
 
 SCHEMA = "a string, b string, x double, d date, t timestamp, m map<string,int>, l array<double>"
@@ -69,3 +70,16 @@ def test_lookup_job_needs_training_before_evaluation(spark, folder):
     with pytest.raises(ValueError, match="training and evaluation"):
         build_lookup(spark.createDataFrame([*data, row(7, "train", 11)], columns), f"{folder}/bad", minimum_count=2)
     assert builds.committed(spark, f"{folder}/bad") is None
+
+
+def test_a_reported_error_is_checked_by_one_aggregate(spark):
+    frame = spark.createDataFrame([(1.0, 61.0), (2.0, 2.0), (-5.0, 25.0)], "y double, p double")
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    verify_metric(frame, "y", "p", 30.0)
+    # The quantiles that came with it took a round of jobs for every narrowing.
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before <= 2
+    for bad in (30.1, None):
+        with pytest.raises(ValueError, match="reported"):
+            verify_metric(frame, "y", "p", bad)
+    with pytest.raises(Exception, match="finite"):
+        verify_metric(spark.createDataFrame([(1.0, float("nan"))], "y double, p double"), "y", "p", 0.0)
