@@ -67,6 +67,27 @@ def test_edges_copies_and_runs(spark, monkeypatch, seed, hot):
     assert answer(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute.repeats(rows)
 
 
+def test_common_passages_make_few_rows(spark, monkeypatch):
+    """Rows of hot anchors follow places of passages, not their windows."""
+    rows_of, stage = {}, lyndon_dedup.staged
+
+    def counted(frame, name="stage", *rest):
+        made = stage(frame, name, *rest)
+        rows_of[name] = made.count()
+        return made
+
+    monkeypatch.setattr(lyndon_dedup, "HOT", 10)
+    monkeypatch.setattr(lyndon_dedup, "staged", counted)
+    draw = random.Random(5)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 9))) for _ in range(n))
+    passages = [prose(n) for n in (90, 200, 340)]
+    rows = [(i, prose(40) + " " + passages[i % 3] + " " + prose(i % 50)) for i in range(60)]
+    assert answer(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute.repeats(rows)
+    repeated = sum(20 * (len(p) - lyndon_dedup.LENGTH + 1) for p in passages)
+    made = sum(rows_of.get(n, 0) for n in ("pieces", "windows"))
+    assert 0 < made < repeated / 4
+
+
 def test_clashing_columns_and_empty_table(spark):
     frame = spark.createDataFrame([(1, "t" * 500, "a", "b")], "doc_id bigint, text string, kept string, `key` string")
     got = lyndon_dedup.remove_repeats(frame).first()
