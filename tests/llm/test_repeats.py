@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,32 @@ def test_common_passages_make_few_rows(spark, monkeypatch):
     assert 0 < made < repeated / 4
 
 
+def test_a_common_passage_is_spread(spark):
+    """The places of one passage in many texts are marked in many tasks."""
+    draw = random.Random(6)
+    passage = bytes(draw.randrange(97, 123) for _ in range(lyndon_dedup.LENGTH + 20))
+    rows = [(7, 3000, b"%04d" % i, 5, 21, 63, passage) for i in range(2000)]
+    rows += [(7, 3000, b"x%04d" % i, 5, 21, 63, bytes([65 + i % 7]) * 10 + b"%04d" % i + passage[14:]) for i in range(1000)]
+    bodies = spark.createDataFrame(rows, "gram bigint, n bigint, key binary, first int, windows int, reach int, body binary")
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        found = lyndon_dedup._counted_runs(bodies, lyndon_dedup.LENGTH)
+        dealt = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        covered = {bytes(r["key"]): (r["a"], r["b"]) for r in found.groupBy("key").agg(F.min("start").alias("a"), F.max("end").alias("b")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(dealt) < sum(dealt) / 8
+    size, seen, want = lyndon_dedup.LENGTH, Counter(r[6][k:k + lyndon_dedup.LENGTH] for r in rows for k in range(r[4])), {}
+    for *_, key, first, windows, _, body in rows:
+        twice = [first + k for k in range(windows) if seen[body[k:k + size]] > 1]
+        want[key] = (twice[0], twice[-1] + size)
+    assert covered == want
+
+
 def test_clashing_columns_and_empty_table(spark):
     frame = spark.createDataFrame([(1, "t" * 500, "a", "b")], "doc_id bigint, text string, kept string, `key` string")
     got = lyndon_dedup.remove_repeats(frame).first()
